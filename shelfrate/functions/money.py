@@ -19,10 +19,24 @@ from shelfrate.schemas import MONEY
 MONEY_SCALE = 2
 MIN_MARGIN_PCT = 10
 
-_ZERO = F.lit(Decimal("0"))
-_HUNDRED = F.lit(Decimal("100"))
-_CENT_FACTOR = F.lit(Decimal("0.01"))
-_MARGIN_FACTOR = F.lit(Decimal(100 + MIN_MARGIN_PCT) / Decimal(100))
+
+
+# Literals are built per call: module import must not need a SparkContext
+# (Python workers import this module too).
+def _zero() -> Column:
+    return F.lit(Decimal("0"))
+
+
+def _hundred() -> Column:
+    return F.lit(Decimal("100"))
+
+
+def _cent() -> Column:
+    return F.lit(Decimal("0.01"))
+
+
+def _margin_factor() -> Column:
+    return F.lit(Decimal(100 + MIN_MARGIN_PCT) / Decimal(100))
 
 
 def _c(x) -> Column:
@@ -42,7 +56,7 @@ def _sql(name: str) -> str:
 def max_zero(m) -> Column:
     """Floor at zero; NULL stays NULL (``greatest`` alone would skip it)."""
     m = _c(m)
-    return F.when(m.isNull(), F.lit(None)).otherwise(F.greatest(m, _ZERO))
+    return F.when(m.isNull(), F.lit(None)).otherwise(F.greatest(m, _zero()))
 
 
 def to_scale(m) -> Column:
@@ -63,7 +77,7 @@ def format_money(m) -> Column:
 def raw_discounted(base, discount_type, discount_value) -> Column:
     """Price under a discount before rounding and flooring (NULL without a type)."""
     base, t, v = _c(base), _c(discount_type), _c(discount_value)
-    return (F.when(t == "PERCENTAGE", base * (_HUNDRED - v) * _CENT_FACTOR)
+    return (F.when(t == "PERCENTAGE", base * (_hundred() - v) * _cent())
             .when(t == "FIXED_AMOUNT", base - v))
 
 
@@ -102,7 +116,7 @@ def effective_price_strict(base, discount_type=None, discount_value=None) -> Col
 def margin_floor_price(base, vendor_cost) -> Column:
     """Lift the base price to cost * 1.10 when below it, then 2 decimals."""
     base, cost = _c(base), _c(vendor_cost)
-    floor = cost * _MARGIN_FACTOR
+    floor = cost * _margin_factor()
     lifted = F.when(cost.isNotNull() & (base < floor), floor).otherwise(base)
     return to_scale(lifted)
 
