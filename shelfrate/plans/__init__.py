@@ -5,4 +5,5 @@ def load_catalog():
     """Import every query module so its entries register; return (queries, oracle)."""
     from shelfrate.plans import catalog
     from shelfrate.plans import pricing_queries  # noqa: F401
+    from shelfrate.plans import materialize_queries  # noqa: F401
     return catalog.QUERIES, catalog.ORACLE
