@@ -6,4 +6,5 @@ def load_catalog():
     from shelfrate.plans import catalog
     from shelfrate.plans import pricing_queries  # noqa: F401
     from shelfrate.plans import materialize_queries  # noqa: F401
+    from shelfrate.plans import feed_queries  # noqa: F401
     return catalog.QUERIES, catalog.ORACLE

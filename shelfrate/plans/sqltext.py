@@ -92,3 +92,59 @@ priced AS (
 state AS (
   SELECT *, {price} AS effective_price FROM priced)""".format(
     live=live(), price=price_sql("base_price", "discount_type", "discount_value"))
+
+
+def uuid_sql(namespace: str, key: str) -> str:
+    """X15 in SQL (same text as ``functions.text.deterministic_uuid``)."""
+    h = f"md5('{namespace}:' || CAST({key} AS VARCHAR))"
+    return (f"(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' "
+            f"|| substr({h}, 17, 4) || '-' || substr({h}, 21, 12))")
+
+
+NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"
+DECIMAL_TEXT = r"^\d+(\.\d+)?\z"
+
+
+def _len_sql(col: str, lo: int, hi: int) -> str:
+    return (f"CASE WHEN {col} IS NULL THEN '{col}: Required' "
+            f"WHEN length({col}) < {lo} THEN '{col}: String must contain at least {lo} character(s)' "
+            f"WHEN length({col}) > {hi} THEN '{col}: String must contain at most {hi} character(s)' END")
+
+
+VALIDATED_CTE = f"""stocknum AS (
+  SELECT *, CASE WHEN stock_quantity IS NULL THEN NULL
+                 WHEN regexp_matches(stock_quantity, '^\\s*\\z') THEN CAST(0 AS DOUBLE)
+                 WHEN regexp_matches(stock_quantity, '{NUMBER_TEXT}')
+                   THEN TRY_CAST(trim(stock_quantity) AS DOUBLE) END AS num,
+            TRY_CAST(base_price AS DECIMAL(28,16)) AS bnum,
+            CASE WHEN vendor_cost <> '' THEN TRY_CAST(vendor_cost AS DECIMAL(28,16)) END AS cnum
+  FROM feed),
+issues AS (
+  SELECT *, NULLIF(concat_ws('; ',
+      {_len_sql('sku', 1, 64)},
+      {_len_sql('name', 1, 255)},
+      {_len_sql('category_name', 1, 255)},
+      CASE WHEN base_price IS NULL THEN 'base_price: Required'
+           WHEN NOT regexp_matches(base_price, '{DECIMAL_TEXT}') THEN 'base_price: expected a non-negative decimal' END,
+      CASE WHEN vendor_cost IS NOT NULL AND vendor_cost <> '' AND NOT regexp_matches(vendor_cost, '{DECIMAL_TEXT}')
+           THEN 'vendor_cost: expected a non-negative decimal' END,
+      CASE WHEN num IS NULL THEN 'stock_quantity: Expected number, received nan' END,
+      CASE WHEN num IS NOT NULL AND num <> floor(num) THEN 'stock_quantity: Expected integer, received float' END,
+      CASE WHEN num IS NOT NULL AND num < 0 THEN 'stock_quantity: Number must be greater than or equal to 0' END
+    ), '') AS verr,
+    TRY_CAST(round(CASE WHEN cnum IS NOT NULL AND bnum < cnum * 1.1 THEN cnum * 1.1 ELSE bnum END, 2)
+             AS DECIMAL(12,2)) AS priced
+  FROM stocknum),
+validated AS (
+  SELECT row_index, sku, name, category_name,
+         coalesce(NULLIF(sku, ''), 'unknown-' || CAST(row_index AS VARCHAR)) AS row_key,
+         coalesce(verr, CASE WHEN cnum < 0 THEN 'VENDOR_COST_NEGATIVE: vendor_cost must be >= 0'
+                             WHEN priced IS NULL THEN 'base_price: value out of range'
+                             WHEN TRY_CAST(num AS INTEGER) IS NULL THEN 'stock_quantity: value out of range' END)
+           AS error_message,
+         priced, TRY_CAST(num AS INTEGER) AS stock_qty
+  FROM issues),
+checked AS (
+  SELECT *, CASE WHEN error_message IS NULL THEN 'OK' ELSE 'FAILED' END AS status,
+         CASE WHEN error_message IS NULL THEN priced END AS base_price_norm
+  FROM validated)"""
