@@ -132,7 +132,8 @@ def admit(requests: DataFrame, existing: DataFrame, products: DataFrame) -> Data
     # Stage 1: CATEGORY requests vs existing CATEGORY, then fold per category.
     cat_blocked = _blocked_by_existing(cat_req, ex_cat, "target_category_id", "target_category_id")
     cat_free = cat_req.join(cat_blocked, "id", "left_anti")
-    cat_ok = _fold_by_key(cat_free, "target_category_id").filter("ok").select("id")
+    # Cut lineage (reliable checkpoint): stage 2 and the reasons reuse it.
+    cat_ok = _fold_by_key(cat_free, "target_category_id").filter("ok").select("id").checkpoint(eager=True)
     cat_admitted = cat_req.join(cat_ok, "id", "left_semi")
 
     # Stage 2: PRODUCT requests with their product's category.
@@ -157,7 +158,7 @@ def admit(requests: DataFrame, existing: DataFrame, products: DataFrame) -> Data
 
     admitted_ids = cat_ok.unionByName(prod_ok)
     decided = req.join(admitted_ids.withColumn("admitted", F.lit(True)), "id", "left").withColumn(
-        "admitted", F.coalesce(F.col("admitted"), F.lit(False)))
+        "admitted", F.coalesce(F.col("admitted"), F.lit(False))).checkpoint(eager=True)
     return _with_reasons(decided, existing, products)
 
 

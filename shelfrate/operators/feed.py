@@ -29,6 +29,7 @@ DECIMAL_TEXT = r"^\d+(\.\d+)?\z"
 DECIMAL_MSG = "expected a non-negative decimal"
 DEFAULT_CHUNK_SIZE = 500
 VENDOR_COST_NEGATIVE = "VENDOR_COST_NEGATIVE: vendor_cost must be >= 0"
+MALFORMED_ROW = "row: number of cells does not match the header"
 
 # Text a JavaScript Number() turns into a finite number: blank, or a
 # decimal with optional sign, fraction and exponent (hex is not accepted).
@@ -106,6 +107,9 @@ def validate(raw: DataFrame) -> DataFrame:
              .when(priced_money.isNull(), F.lit("base_price: value out of range"))  # Q9
              .when(stock.try_cast("int").isNull(), F.lit("stock_quantity: value out of range")))
     err = F.coalesce(F.col("__verr"), perr)
+    if "_corrupt_record" in raw.columns:  # Q10: wrong cell count -> FAILED
+        err = F.when(F.col("_corrupt_record").isNotNull(),
+                     F.lit(MALFORMED_ROW)).otherwise(err)
     return (v.withColumn("error_message", err)
              .withColumn("status", F.when(err.isNull(), F.lit("OK")).otherwise(F.lit("FAILED")))
              .withColumn("base_price_norm", F.when(err.isNull(), priced_money))
