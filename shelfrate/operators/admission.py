@@ -199,6 +199,8 @@ def first_blockers(candidates: DataFrame, blockers: DataFrame, products: DataFra
                           "ends_at", F.col(order_col).alias("__ord"))
     c = c.join(pcat, c["target_product_id"] == pcat["__pid"], "left").drop("__pid")
     ck = _target_keys(c, "__pc").select("id", "scope", "starts_at", "ends_at", "__ord", "__kk")
+    if "status" in blockers.columns:  # only ACTIVE/SCHEDULED promotions block
+        blockers = blockers.filter(rules.is_unfinished())
     b = blockers.select(
         F.col("id").alias("__bid"), F.col("scope").alias("existing_scope"),
         F.when(F.col("scope") == "PRODUCT",
