@@ -196,3 +196,15 @@ def latest_promotions(promotions: DataFrame, limit: int = DEFAULT_LIMIT, **filte
 def categories_sorted(categories: DataFrame) -> DataFrame:
     """L4: categories by name (a distributed sort; range partitioned)."""
     return categories.orderBy("name")
+
+
+def find_by_id(df: DataFrame, key, id_col: str = "id") -> DataFrame:
+    """Point lookup (pushed down to the Parquet scan as a filter)."""
+    return df.filter(F.col(id_col) == F.lit(key))
+
+
+def find_by_ids(df: DataFrame, keys: DataFrame, id_col: str = "id") -> DataFrame:
+    """S10 for many keys: semi join (no duplication, keys side broadcast
+    by the planner when small)."""
+    k = keys.select(F.col(keys.columns[0]).alias("__k")).distinct()
+    return df.join(k, df[id_col] == k["__k"], "left_semi")

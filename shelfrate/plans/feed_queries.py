@@ -234,3 +234,18 @@ def batch_completion(spark, sf_dir):
     return done.select("id", "vendor_id", "source_file", "status", "total_rows", "processed_rows",
                        "failed_rows", iso("started_at").alias("started_at"),
                        iso("finished_at").alias("finished_at"))
+
+
+@register("batch_transitions", REGISTER_SQL + """
+SELECT CASE decision WHEN 'CREATED' THEN 'started' WHEN 'EXISTING' THEN 'deduplicated'
+                     ELSE 'rejected' END AS transition,
+       CAST(count(*) AS BIGINT) AS value
+FROM decisions GROUP BY 1""")
+def batch_transitions(spark, sf_dir):
+    """Batch transition counter over the registration decisions."""
+    from shelfrate.operators import rollup
+    dec = ledger.register_batches(_arrivals(spark, sf_dir), None, dt.as_of_lit())
+    t = dec.select(F.when(F.col("decision") == "CREATED", F.lit("started"))
+                    .when(F.col("decision") == "EXISTING", F.lit("deduplicated"))
+                    .otherwise(F.lit("rejected")).alias("transition"))
+    return rollup.counter(t, ["transition"])

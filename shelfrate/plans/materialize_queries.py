@@ -306,3 +306,18 @@ def categories_sorted(spark, sf_dir):
     from shelfrate.plans.ordering import global_row_number
     cats = dt.categories(spark, sf_dir)
     return global_row_number(cats, [F.col("name").asc()], out="position").select("id", "name", "position")
+
+
+@register("apply_revert_counts", BASE + """,
+rv AS (SELECT id FROM ta t WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.id = t.id))
+SELECT 'apply' AS kind, CAST(count(*) AS BIGINT) AS affected FROM state1 WHERE changed
+UNION ALL
+SELECT 'revert', CAST(count(*) AS BIGINT) FROM state1 s JOIN rv ON s.active_promotion_id = rv.id""")
+def apply_revert_counts(spark, sf_dir):
+    """Affected-product counts of the apply and revert change sets."""
+    _, s1, changes, promos, at = _state1(spark, sf_dir)
+    rv = _applied(promos, at).filter(~rules.is_live(at)).select("id")
+    _, rchanges = promote.revert_category(s1.drop("changed"), rv)
+    return (changes.agg(F.count(F.lit(1)).cast("bigint").alias("affected")).select(F.lit("apply").alias("kind"), "affected")
+            .unionByName(rchanges.agg(F.count(F.lit(1)).cast("bigint").alias("affected"))
+                         .select(F.lit("revert").alias("kind"), "affected")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfrate.functions.text import resource_of
 from shelfrate.operators import rollup
 from shelfrate.plans.catalog import register
+from shelfrate.plans.sqltext import FEED_CTE, VALIDATED_CTE, ctes
 from shelfrate.sources import driver_tables as dt
 
 
@@ -82,3 +83,21 @@ def materialization_histogram(spark, sf_dir):
     e = dt.read_table(spark, sf_dir, "events")
     d = e.select(F.col("event_type").alias("kind"), F.col("value").cast("decimal(12,2)").alias("seconds"))
     return rollup.histogram(d, ["kind"], "seconds", rollup.MATERIALIZATION_BUCKETS)
+
+
+@register("ingest_rows_by_status", ctes(FEED_CTE, VALIDATED_CTE) + """
+SELECT lower(status) AS status, CAST(count(*) AS BIGINT) AS value FROM checked GROUP BY 1""")
+def ingest_rows_by_status(spark, sf_dir):
+    """A5: ingest row counter by status (ok / failed)."""
+    from shelfrate.operators import feed as fd
+    v = fd.validate(dt.feed(spark, sf_dir)).select(F.lower("status").alias("status"))
+    return rollup.counter(v, ["status"])
+
+
+@register("promotions_by_scope", """
+SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'CATEGORY' ELSE 'PRODUCT' END AS scope,
+       CAST(count(*) AS BIGINT) AS value
+FROM orders GROUP BY 1""")
+def promotions_by_scope(spark, sf_dir):
+    """Promotions created, by scope."""
+    return rollup.counter(dt.promotions(spark, sf_dir), ["scope"])

@@ -137,3 +137,21 @@ def test_later_row_wins_and_chunk_size_invariance(spark):
     c1 = [r["rows"] for r in fd.chunk_stats(f, 1).collect()]
     c2 = [r["rows"] for r in fd.chunk_stats(f, 2).collect()]
     assert sum(c1) == sum(c2) == 3
+
+
+def test_seed_is_idempotent(spark):
+    from shelfrate.sources.seed import apply_seed
+    empty_p = spark.createDataFrame([], "id string, sku string, name string, category_id string, "
+                                        "base_price decimal(12,2), stock_quantity int, "
+                                        "active_promotion_id string, effective_price decimal(12,2)")
+    empty_c = spark.createDataFrame([], "id string, name string")
+    promos = spark.createDataFrame([], "id string, discount_type string, discount_value decimal(12,2), "
+                                       "status string, starts_at timestamp, ends_at timestamp")
+    cats, prods = apply_seed(spark, empty_p, empty_c, promos, F.lit(AT))
+    assert cats.count() == 3 and prods.count() == 7
+    p = prods.drop("change").cache()
+    cats2, prods2 = apply_seed(spark, p, cats, promos, F.lit(AT))
+    assert cats2.count() == 3 and prods2.count() == 7
+    assert {r["change"] for r in prods2.collect()} == {"UPDATE"}
+    got = {r["sku"]: r["effective_price"] for r in prods2.collect()}
+    assert got["SEED-JKT-02"] == Decimal("299.99")
