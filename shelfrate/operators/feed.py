@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from shelfrate.functions.money import effective_price, margin_floor_price
 from shelfrate.functions.text import deterministic_uuid
 from shelfrate.operators import rules
-from shelfrate.plans.joins import join_small
+from shelfrate.plans.joins import fits_broadcast, join_small
 
 # Fixed values (must equal the reference's): text limits, the decimal-text
 # pattern and its message, the chunk size default, pricing-rule error.
@@ -171,8 +171,12 @@ def upsert_products(products: DataFrame, ok_rows: DataFrame, category_ids: DataF
     held = promotions.filter(rules.is_live_strict(at)).select(
         F.col("id").alias("__hid"), F.col("discount_type").alias("__htype"),
         F.col("discount_value").alias("__hvalue"))
-    j = cur.join(inc, cur["sku"] == inc["__sku"], "full_outer")  # J9
-    j = j.join(held, j["active_promotion_id"] == held["__hid"], "left")
+    if fits_broadcast(inc, FEED_BROADCAST_ROWS):
+        j = _upsert_join_small_feed(cur, inc, held)
+    else:
+        # Feed too large to broadcast: one full outer join on sku.
+        j = cur.join(inc, cur["sku"] == inc["__sku"], "full_outer")
+        j = j.join(held, j["active_promotion_id"] == held["__hid"], "left")
     is_new = F.col("sku").isNull()
     is_upd = F.col("sku").isNotNull() & F.col("__sku").isNotNull()
     new_eff = effective_price(F.col("__base"), F.col("__htype"), F.col("__hvalue"))
@@ -192,6 +196,43 @@ def upsert_products(products: DataFrame, ok_rows: DataFrame, category_ids: DataF
     )
 
 
+# Feeds up to this many distinct skus are broadcast, so the catalogue is
+# never shuffled by an ingest (a feed is ~100 bytes per row here).
+FEED_BROADCAST_ROWS = 2_000_000
+
+
+def _upsert_join_small_feed(cur: DataFrame, inc: DataFrame, held: DataFrame) -> DataFrame:
+    """Upsert plan for a feed of measured, bounded size.
+
+    The catalogue is read in two narrow passes against the broadcast feed:
+    rows whose sku is in the feed (inner) and the rest (anti); only the
+    matched rows — at most one per feed row — meet the held promotions and
+    only the feed's skus are compared for inserts. No catalogue shuffle.
+    """
+    b = F.broadcast(inc)
+    matched = cur.join(b, cur["sku"] == b["__sku"], "inner")
+    untouched = cur.join(F.broadcast(inc.select(F.col("__sku").alias("__s"))),
+                         cur["sku"] == F.col("__s"), "left_anti")
+    m_skus = matched.select(F.col("sku").alias("__m"))
+    inserts = inc.join(m_skus, inc["__sku"] == m_skus["__m"], "left_anti")
+    ids = matched.select(F.col("active_promotion_id").alias("__need")).filter(
+        F.col("__need").isNotNull()).distinct()
+    held_needed = held.join(F.broadcast(ids), held["__hid"] == ids["__need"], "left_semi")
+    matched = join_small(matched, held_needed, matched["active_promotion_id"] == held_needed["__hid"], "left")
+    cols_cur = cur.columns
+    cols_inc = inc.columns
+    cols_held = ["__hid", "__htype", "__hvalue"]
+    null = {f.name: f.dataType for f in cur.schema.fields + inc.schema.fields + held.schema.fields}
+
+    def fill(df, have):
+        return df.select(*[F.col(c) if c in have else F.lit(None).cast(null[c]).alias(c)
+                           for c in cols_cur + cols_inc + cols_held])
+
+    return (fill(matched, set(matched.columns))
+            .unionByName(fill(untouched, set(cols_cur)))
+            .unionByName(fill(inserts, set(cols_inc))))
+
+
 def row_results(validated: DataFrame, batch_id: Column) -> DataFrame:
     """M13 rows: (batch_id, row_key, status, error_message), later row wins
     per (batch_id, row_key); '' and NULL errors both become NULL."""

@@ -50,14 +50,17 @@ def apply_category(products: DataFrame, promotions: DataFrame, to_apply: DataFra
     apply = _one_per_category(to_apply).select(
         F.col("target_category_id").alias("__cat"), F.col("id").alias("__promo"),
         F.col("discount_type").alias("__type"), F.col("discount_value").alias("__value"))
-    # Live PRODUCT promotions: joined on the held id (unique key). Reduced to
-    # the ids only; broadcast when measured small, shuffle join otherwise.
+    p = join_small(products, apply, products["category_id"] == apply["__cat"], "left", salt_buckets=32,
+                   salt_source=F.col("id"), big_key="category_id", small_key="__cat")
+    # Live PRODUCT promotions, narrowed to the ids actually held by
+    # products of the applied categories, then joined on that unique id —
+    # broadcast when measured small, so the catalogue is not shuffled.
+    held = p.filter(F.col("__promo").isNotNull() & F.col("active_promotion_id").isNotNull()).select(
+        F.col("active_promotion_id").alias("__h")).distinct()
     live_prod = promotions.filter((F.col("scope") == "PRODUCT") & rules.is_live(at)).select(
         F.col("id").alias("__held_live"))
-    p = join_small(products, live_prod, products["active_promotion_id"] == live_prod["__held_live"],
-                   "left")
-    p = join_small(p, apply, p["category_id"] == apply["__cat"], "left", salt_buckets=32,
-                   salt_source=F.col("id"), big_key="category_id", small_key="__cat")
+    live_prod = live_prod.join(held, live_prod["__held_live"] == held["__h"], "left_semi")
+    p = join_small(p, live_prod, p["active_promotion_id"] == live_prod["__held_live"], "left")
     hit = F.col("__promo").isNotNull() & F.col("__held_live").isNull()
     out = (p.withColumn("changed", hit)
             .withColumn("active_promotion_id",
