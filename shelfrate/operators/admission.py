@@ -14,10 +14,11 @@ requests is decided at once:
 3. What is left is the genuinely sequential part: requests on the same
    target that overlap each other. They are split into time-connected
    components (a later window that starts after every earlier window has
-   ended cannot interact with them) and each (target, component) is folded
-   in arrival order by a pandas function. Only overlapping requests of one
-   target share a fold; each fold keeps the accepted windows in a sorted
-   list, O(log n) per request.
+   ended cannot interact with them; labelled by a distributed prefix scan,
+   so a hot target spreads over many tasks) and each (target, component) is
+   folded in arrival order: one-request components need no fold, small ones
+   fold inside Catalyst, large ones in pandas with a sorted interval list,
+   O(log n) per request.
 4. The reported conflict of every rejected request is recomputed
    relationally as the first (oldest ``created_at``, then ``id``) blocker
    that arrived before it.
@@ -37,18 +38,16 @@ from pyspark.sql import functions as F
 
 from shelfrate.operators import rules
 from shelfrate.plans.joins import join_small
+from shelfrate.plans.ordering import interval_components
 from shelfrate.plans.ranges import overlap_join
 
 
 
 def _components(df: DataFrame, key: str) -> DataFrame:
-    """Time-connected components of windows per key (sorted by start)."""
-    w = Window.partitionBy(key).orderBy("starts_at", "ends_at", "id")
-    prev_max_end = F.max("ends_at").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new_comp = F.when(prev_max_end.isNull() | (F.col("starts_at") >= prev_max_end), 1).otherwise(0)
-    return (df.withColumn("__new", new_comp)
-              .withColumn("__comp", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-              .drop("__new"))
+    """Time-connected components of windows per key (``__comp`` label),
+    computed by a distributed prefix scan (``plans.ordering``) so a hot
+    target spreads over many tasks."""
+    return interval_components(df, key, "starts_at", "ends_at", "id", out="__comp")
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from shelfrate.functions.money import effective_price, margin_floor_price
 from shelfrate.functions.text import deterministic_uuid
 from shelfrate.operators import rules
-from shelfrate.plans.joins import fits_broadcast, join_small
+from shelfrate.plans.joins import join_small, measure
 
 # Fixed values (must equal the reference's): text limits, the decimal-text
 # pattern and its message, the chunk size default, pricing-rule error.
@@ -62,8 +62,7 @@ def stock_number(col: str = "stock_quantity") -> Column:
              .when(F.regexp_like(c, F.lit(_NUMBER_TEXT)), F.trim(c).try_cast("double")))
 
 
-def _stock_issues() -> list[Column]:
-    n = stock_number()
+def _stock_issues(n: Column) -> list[Column]:
     nan = n.isNull()
     return [
         F.when(nan, F.lit("stock_quantity: Expected number, received nan")),
@@ -72,13 +71,14 @@ def _stock_issues() -> list[Column]:
     ]
 
 
-def validation_errors() -> Column:
+def validation_errors(stock: Column | None = None) -> Column:
     """V1 + V2: every issue of the row as ``path: message`` joined by '; '
-    (schema order), NULL when the row is valid."""
+    (schema order), NULL when the row is valid. ``stock`` is the coerced
+    stock number (``stock_number()`` when not given)."""
     issues = (_len_issues("sku", 1, SKU_MAX) + _len_issues("name", 1, TEXT_MAX)
               + _len_issues("category_name", 1, TEXT_MAX)
               + [_decimal_issue("base_price", False), _decimal_issue("vendor_cost", True)]
-              + _stock_issues())
+              + _stock_issues(stock if stock is not None else stock_number()))
     joined = F.array_join(F.filter(F.array(*issues), lambda x: x.isNotNull()), "; ")
     return F.when(joined == "", F.lit(None)).otherwise(joined)
 
@@ -96,25 +96,29 @@ def validate(raw: DataFrame) -> DataFrame:
     ``base_price_norm`` (decimal(12,2), margin floor applied) and
     ``stock_qty`` (int).
     """
-    base = F.col("base_price").try_cast("decimal(28,16)")
-    cost = F.when(F.col("vendor_cost") != "", F.col("vendor_cost").try_cast("decimal(28,16)"))
-    priced = margin_floor_price(base, cost)
-    priced_money = priced.try_cast("decimal(12,2)")
-    stock = stock_number()
-    v = raw.withColumn("row_key", row_key()).withColumn("__verr", validation_errors())
+    # Each derived value is its own column so the expressions are evaluated
+    # once per row (no duplicated subtrees in the generated code).
+    v = (raw.withColumn("row_key", row_key())
+            .withColumn("__stock", stock_number())
+            .withColumn("__base", F.col("base_price").try_cast("decimal(28,16)"))
+            .withColumn("__cost", F.when(F.col("vendor_cost") != "",
+                                         F.col("vendor_cost").try_cast("decimal(28,16)"))))
+    v = (v.withColumn("__verr", validation_errors(F.col("__stock")))
+          .withColumn("__priced", margin_floor_price("__base", "__cost").try_cast("decimal(12,2)"))
+          .withColumn("__stock_int", F.col("__stock").try_cast("int")))
     # V4 is only reachable on typed input (the regex forbids '-'), kept for parity.
-    perr = (F.when(cost < 0, F.lit(VENDOR_COST_NEGATIVE))
-             .when(priced_money.isNull(), F.lit("base_price: value out of range"))  # Q9
-             .when(stock.try_cast("int").isNull(), F.lit("stock_quantity: value out of range")))
+    perr = (F.when(F.col("__cost") < 0, F.lit(VENDOR_COST_NEGATIVE))
+             .when(F.col("__priced").isNull(), F.lit("base_price: value out of range"))  # Q9
+             .when(F.col("__stock_int").isNull(), F.lit("stock_quantity: value out of range")))
     err = F.coalesce(F.col("__verr"), perr)
     if "_corrupt_record" in raw.columns:  # Q10: wrong cell count -> FAILED
-        err = F.when(F.col("_corrupt_record").isNotNull(),
-                     F.lit(MALFORMED_ROW)).otherwise(err)
-    return (v.withColumn("error_message", err)
-             .withColumn("status", F.when(err.isNull(), F.lit("OK")).otherwise(F.lit("FAILED")))
-             .withColumn("base_price_norm", F.when(err.isNull(), priced_money))
-             .withColumn("stock_qty", F.when(err.isNull(), stock.try_cast("int")))
-             .drop("__verr"))
+        err = F.when(F.col("_corrupt_record").isNotNull(), F.lit(MALFORMED_ROW)).otherwise(err)
+    v = v.withColumn("error_message", err)
+    ok = F.col("error_message").isNull()
+    return (v.withColumn("status", F.when(ok, F.lit("OK")).otherwise(F.lit("FAILED")))
+             .withColumn("base_price_norm", F.when(ok, F.col("__priced")))
+             .withColumn("stock_qty", F.when(ok, F.col("__stock_int")))
+             .drop("__verr", "__stock", "__base", "__cost", "__priced", "__stock_int"))
 
 
 def chunk_index(n: int = DEFAULT_CHUNK_SIZE, row_index: str = "row_index") -> Column:
@@ -171,7 +175,8 @@ def upsert_products(products: DataFrame, ok_rows: DataFrame, category_ids: DataF
     held = promotions.filter(rules.is_live_strict(at)).select(
         F.col("id").alias("__hid"), F.col("discount_type").alias("__htype"),
         F.col("discount_value").alias("__hvalue"))
-    if fits_broadcast(inc, FEED_BROADCAST_ROWS):
+    inc, small_feed = measure(inc, FEED_BROADCAST_ROWS)  # written once, reused below
+    if small_feed:
         j = _upsert_join_small_feed(cur, inc, held)
     else:
         # Feed too large to broadcast: one full outer join on sku.
@@ -210,7 +215,8 @@ def _upsert_join_small_feed(cur: DataFrame, inc: DataFrame, held: DataFrame) ->
     only the feed's skus are compared for inserts. No catalogue shuffle.
     """
     b = F.broadcast(inc)
-    matched = cur.join(b, cur["sku"] == b["__sku"], "inner")
+    # at most one catalogue row per feed sku: bounded like the feed, kept once
+    matched, _ = measure(cur.join(b, cur["sku"] == b["__sku"], "inner"), FEED_BROADCAST_ROWS)
     untouched = cur.join(F.broadcast(inc.select(F.col("__sku").alias("__s"))),
                          cur["sku"] == F.col("__s"), "left_anti")
     m_skus = matched.select(F.col("sku").alias("__m"))

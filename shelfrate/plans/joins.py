@@ -8,6 +8,7 @@ skew-join split stays on as a second line of defence.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +17,31 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 200_000
 
 
-def measured_rows(df: DataFrame, limit: int) -> int:
-    """Exact row count, stopping once ``limit + 1`` rows are seen.
+_MEASURED: list[DataFrame] = []
 
-    Only runs a job over the (already reduced) small side.
+
+def measure(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Compute a (reduced) side once and check its exact row count.
+
+    The side is persisted (memory, spilling to disk) while it is counted,
+    so the join that follows reuses it instead of recomputing the reduction
+    (a second scan of the source table at scale). A lost block is recomputed
+    from lineage. ``release_measured()`` unpersists them at the end of a job.
+    Returns (frame, fits bound).
     """
-    return df.limit(limit + 1).count()
+    fixed = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _MEASURED.append(fixed)
+    return fixed, fixed.limit(max_rows + 1).count() <= max_rows
+
+
+def release_measured() -> None:
+    """Unpersist every side cached by ``measure`` (call when a job ends)."""
+    while _MEASURED:
+        _MEASURED.pop().unpersist()
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    return measured_rows(df, max_rows) <= max_rows
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
@@ -42,7 +58,8 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
       ``salt_buckets`` tasks. Salting needs an equi-join given as
       ``big_key``/``small_key`` column names.
     """
-    if fits_broadcast(small, max_rows):
+    small, fits = measure(small, max_rows)
+    if fits:
         return big.join(F.broadcast(small), on, how)
     if salt_buckets and salt_buckets > 1 and big_key and small_key and how in ("left", "inner"):
         salt_col = "__salt"

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from shelfrate.plans.joins import join_small
 
@@ -37,3 +38,88 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "rn",
     j = join_small(fixed, off_df, "__pid", "inner")
     return (j.withColumn(out, F.col("__mid") - F.col("__first") + F.col("__off") + F.lit(1))
              .drop("__pid", "__mid", "__off", "__first"))
+
+
+def interval_components(df: DataFrame, key: str, start: str, end: str, tiebreak: str,
+                        out: str = "__comp", num_partitions: int | None = None) -> DataFrame:
+    """Label time-connected components of [start, end) windows per ``key``.
+
+    A window opens a new component when it starts at or after the end of
+    every earlier window of its key (sorted by start, end, tiebreak); the
+    label is the (start, tiebreak) of the window that opened it, as text.
+
+    Distributed prefix scan instead of a per-key window: range-partition on
+    (key, start, ...) so a hot key spreads over many tasks; each task scans
+    its sorted rows once (Arrow batches, constant memory); only keys that
+    cross a partition boundary need a carry, so one summary row per
+    partition goes to the driver and the carries come back as a small map.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(key), F.col("__s"), F.col("__e"), F.col(tiebreak)]
+    prepared = (df.withColumn("__s", F.unix_micros(F.col(start).cast("timestamp")))
+                  .withColumn("__e", F.unix_micros(F.col(end).cast("timestamp"))))
+    fixed = prepared.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    key_type = fixed.schema[key].dataType.simpleString()
+
+    def summarize(batches):
+        # Local scan from no carry. Reports the first key, whether the whole
+        # partition is one key, and for the last key's segment: its max end
+        # and the last window that opened a component (marker and start).
+        import pandas as pd
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        first_key = last_key = run_max = marker = opener_s = None
+        single, seen = True, False
+        for b in batches:
+            for k, s, e, t in zip(b[key], b["__s"], b["__e"], b[tiebreak]):
+                if not seen:
+                    first_key, seen = k, True
+                if last_key is None or k != last_key:
+                    single = single and last_key is None
+                    last_key, run_max, marker = k, None, None
+                if run_max is None or s >= run_max:
+                    marker, opener_s = f"{s}:{t}", int(s)
+                run_max = int(e) if run_max is None else max(run_max, int(e))
+        if seen:
+            yield pd.DataFrame({"pid": [pid], "first_key": [first_key], "last_key": [last_key],
+                                "seg_max": [run_max], "marker": [marker], "opener_s": [opener_s],
+                                "single": [single]})
+
+    summ_schema = (f"pid int, first_key {key_type}, last_key {key_type}, seg_max long, "
+                   f"marker string, opener_s long, single boolean")
+    rows = sorted(fixed.mapInPandas(summarize, summ_schema).collect(), key=lambda r: r["pid"])
+    # Carry into each partition whose first key continues from earlier ones.
+    # With a carry (M, mk), a local opener stays an opener iff its start >= M;
+    # starts grow within a key, so only the last local opener needs checking.
+    carries: dict[int, tuple] = {}
+    state = None  # (key, max end, marker) after all earlier partitions
+    for r in rows:
+        if state is not None and state[0] == r["first_key"]:
+            carries[r["pid"]] = state
+            if r["single"]:
+                m_in, mk_in = state[1], state[2]
+                mk = r["marker"] if r["opener_s"] >= m_in else mk_in
+                state = (r["last_key"], max(m_in, r["seg_max"]), mk)
+                continue
+        state = (r["last_key"], r["seg_max"], r["marker"])
+    bc = spark.sparkContext.broadcast(carries)  # at most one entry per partition
+
+    def label(batches):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        c = bc.value.get(pid)
+        cur_key, run_max, marker = (c if c is not None else (None, None, None))
+        for b in batches:
+            labels = []
+            for k, s, e, t in zip(b[key], b["__s"], b["__e"], b[tiebreak]):
+                if cur_key is None or k != cur_key:
+                    cur_key, run_max, marker = k, None, None
+                if run_max is None or s >= run_max:
+                    marker = f"{s}:{t}"
+                run_max = e if run_max is None else max(run_max, e)
+                labels.append(marker)
+            yield b.assign(**{out: labels})
+
+    out_schema = StructType(list(fixed.schema.fields) + [StructField(out, StringType(), True)])
+    return fixed.mapInPandas(label, out_schema).drop("__s", "__e")

@@ -44,7 +44,7 @@ def test_streaming_admission_keeps_state(spark, tmp_dir):
     d = dt.datetime
     spark.createDataFrame([("r1", "PRODUCT", "p1", None, d(2026, 1, 1), d(2026, 2, 1), 1),
                            ("r2", "PRODUCT", "p1", None, d(2026, 1, 15), d(2026, 2, 15), 2)],
-                          schema).write.mode("append").parquet(src)
+                          schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     out = os.path.join(tmp_dir, "decisions")
     ckpt = os.path.join(tmp_dir, "ckpt")
@@ -57,7 +57,7 @@ def test_streaming_admission_keeps_state(spark, tmp_dir):
     run()
     spark.createDataFrame([("r3", "PRODUCT", "p1", None, d(2026, 1, 20), d(2026, 1, 25), 3),
                            ("r4", "PRODUCT", "p1", None, d(2026, 3, 1), d(2026, 3, 5), 4)],
-                          schema).write.mode("append").parquet(src)
+                          schema).coalesce(1).write.mode("append").parquet(src)
     run()
     got = {r["id"]: r["admitted"] for r in spark.read.parquet(out).collect()}
     assert got == {"r1": True, "r2": False, "r3": False, "r4": True}
