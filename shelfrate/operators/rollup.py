@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 # Fixed values (must equal the reference's): histogram buckets (seconds)
 # and the request paths the latency histogram ignores.
@@ -30,8 +31,12 @@ def histogram(events: DataFrame, labels: list[str], value: str, buckets=HTTP_BUC
     ``stack`` turns the bucket columns into rows (``le`` as text, '+Inf'
     last)."""
     v = F.col(value)
+    vt = events.schema[value].dataType
+    total = F.sum(v)
+    if isinstance(vt, DecimalType):  # exact sum, widest decimal of the same scale
+        total = total.cast(DecimalType(38, vt.scale))
     aggs = [F.count_if(v <= F.lit(b)).alias(f"__b{i}") for i, b in enumerate(buckets)]
-    aggs += [F.count(F.lit(1)).alias("count"), F.sum(v).alias("sum")]
+    aggs += [F.count(F.lit(1)).alias("count"), total.alias("sum")]
     wide = events.groupBy(*labels).agg(*aggs)
     les = [_le_text(b) for b in buckets] + ["+Inf"]
     cols = [f"__b{i}" for i in range(len(buckets))] + ["count"]
