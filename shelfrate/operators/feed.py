@@ -203,7 +203,7 @@ def upsert_products(products: DataFrame, ok_rows: DataFrame, category_ids: DataF
 
 # Feeds up to this many distinct skus are broadcast, so the catalogue is
 # never shuffled by an ingest (a feed is ~100 bytes per row here).
-FEED_BROADCAST_ROWS = 2_000_000
+FEED_BROADCAST_ROWS = 1_000_000
 
 
 def _upsert_join_small_feed(cur: DataFrame, inc: DataFrame, held: DataFrame) -> DataFrame:
