@@ -151,3 +151,41 @@ def invalidation_keys(change_set: DataFrame, id_col: str = "id") -> DataFrame:
 def admitted_status_and_links(admitted: DataFrame, at: Column) -> DataFrame:
     """M10/M11 tail: initial status from the start time."""
     return admitted.withColumn("status", rules.initial_status(at))
+
+
+def create_promotions(requests: DataFrame, promotions: DataFrame, products: DataFrame,
+                      at: Column) -> dict:
+    """M10 + M11 over a set of creation requests (batch form of the API).
+
+    Requests are admitted serially per target (M12). Admitted ones become
+    promotions with status ACTIVE (window started) or SCHEDULED (X8).
+    PRODUCT promotions always get a link row and, when ACTIVE, re-price their
+    product; ACTIVE CATEGORY promotions are applied to their category (M3 +
+    M4). Returns ``decisions``, ``promotions`` (existing + created),
+    ``products`` (new snapshot), ``links`` (new link rows).
+    """
+    from shelfrate.operators.admission import admit
+
+    decisions = admit(requests, promotions, products)
+    created = (requests.join(decisions.filter("admitted").select("id"), "id", "left_semi")
+               .withColumn("status", rules.initial_status(at)).drop("arrival"))
+    all_promos = promotions.unionByName(created, allowMissingColumns=True)
+    active = created.filter(F.col("status") == "ACTIVE")
+    # PRODUCT: newest ACTIVE admitted request per product re-prices it
+    prod_new = rules.top1_per_key(active.filter(F.col("scope") == "PRODUCT"), "target_product_id",
+                                  [F.col("created_at").desc_nulls_last(), F.col("id").desc()]).select(
+        F.col("target_product_id").alias("__tp"), F.col("id").alias("__np"),
+        F.col("discount_type").alias("__nt"), F.col("discount_value").alias("__nv"))
+    p = join_small(products, prod_new, products["id"] == prod_new["__tp"], "left")
+    hit = F.col("__np").isNotNull()
+    p = (p.withColumn("active_promotion_id", F.when(hit, F.col("__np")).otherwise(F.col("active_promotion_id")))
+          .withColumn("effective_price", F.when(hit, effective_price("base_price", "__nt", "__nv"))
+                      .otherwise(F.col("effective_price")))
+          .drop("__tp", "__np", "__nt", "__nv"))
+    cat_active = active.filter(F.col("scope") == "CATEGORY")
+    snap, _ = apply_category(p, all_promos, cat_active, at)
+    links = (created.filter(F.col("scope") == "PRODUCT").select(
+        F.col("target_product_id").alias("product_id"), F.col("id").alias("promotion_id"))
+        .unionByName(category_links(products, cat_active)))
+    return {"decisions": decisions, "promotions": all_promos, "products": snap.drop("changed"),
+            "links": links}

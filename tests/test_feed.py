@@ -155,3 +155,42 @@ def test_seed_is_idempotent(spark):
     assert {r["change"] for r in prods2.collect()} == {"UPDATE"}
     got = {r["sku"]: r["effective_price"] for r in prods2.collect()}
     assert got["SEED-JKT-02"] == Decimal("299.99")
+
+
+def test_csv_reader_edge_cases(spark, tmp_dir):
+    from shelfrate.sources.feed_csv import read_chunks, read_feed, write_chunks
+    d = os.path.join(tmp_dir, "csv")
+    os.makedirs(d)
+    with open(os.path.join(d, "f1.csv"), "wb") as fh:
+        fh.write("﻿sku,name,category_name,base_price,vendor_cost,stock_quantity\n"
+                 "A-1,  Widget ,Tools,10.50,10.00,5\n\n"
+                 'A-2,"Multi\nline",Tools,8.00,,3\n'
+                 "A-3,Short,Tools\n".encode("utf-8"))
+    with open(os.path.join(d, "f2.csv"), "w") as fh:
+        fh.write("name,sku,category_name,base_price,stock_quantity\nThing,B-1,Toys,1.005,2\n")
+    raw = read_feed(spark, [d])
+    v = {r["sku"]: r for r in fd.validate(raw).collect()}
+    assert v["A-1"]["name"] == "Widget" and v["A-1"]["base_price_norm"] == Decimal("11.00")
+    assert v["A-2"]["name"] == "Multi\nline" and v["A-2"]["status"] == "OK"
+    assert v["A-3"]["status"] == "FAILED" and v["A-3"]["error_message"] == fd.MALFORMED_ROW
+    assert v["B-1"]["name"] == "Thing" and v["B-1"]["base_price_norm"] == Decimal("1.01")  # by name
+    assert v["B-1"]["vendor_cost"] is None  # absent column
+    assert [v[k]["row_index"] for k in ("A-1", "A-2", "A-3", "B-1")] == [0, 1, 2, 0]
+    write_chunks(raw, os.path.join(tmp_dir, "chunks"), F.lit("b1"), 2)
+    back = read_chunks(spark, os.path.join(tmp_dir, "chunks"))
+    assert {(r["sku"], r["chunk_index"]) for r in back.collect()} == {("A-1", 0), ("A-2", 0), ("A-3", 1),
+                                                                       ("B-1", 0)}
+
+
+def test_batch_failure_keeps_counters(spark):
+    from shelfrate.operators import ledger
+    b = spark.createDataFrame([("b1", "acme", "x.csv", "PROCESSING", None, 3, 1, AT, None)],
+                              "id string, vendor_id string, source_file string, status string, total_rows int, "
+                              "processed_rows int, failed_rows int, started_at timestamp, finished_at timestamp")
+    out = ledger.fail_batches(b, spark.createDataFrame([("b1",)], "id string"), F.lit(AT)).first()
+    assert (out["status"], out["processed_rows"], out["failed_rows"]) == ("FAILED", 3, 1)
+    assert out["finished_at"] is not None
+    done = ledger.complete_batches(b, spark.createDataFrame([], "batch_id string, total_rows long, "
+                                                                "processed_rows long, failed_rows long"),
+                                   F.lit(AT)).first()
+    assert done["status"] == "PROCESSING"  # total unknown: completion skipped

@@ -161,3 +161,32 @@ def test_admission_matches_brute_force(spark):
     finally:
         admission.CATALYST_FOLD_MAX = old
     assert got2 == expected
+
+
+def test_create_promotions_batch(spark):
+    prods = spark.createDataFrame([("p1", "cat-1", Decimal("100.00"), None, Decimal("100.00")),
+                                   ("p2", "cat-1", Decimal("100.00"), None, Decimal("100.00"))],
+                                  "id string, category_id string, base_price decimal(12,2), "
+                                  "active_promotion_id string, effective_price decimal(12,2)")
+    existing = spark.createDataFrame([], PSCHEMA)
+    d1, d2, future = dt.datetime(2026, 1, 1), dt.datetime(2026, 2, 1), dt.datetime(2026, 3, 1)
+    req = spark.createDataFrame(
+        [("a", "a", "PERCENTAGE", Decimal("25"), "PRODUCT", "p1", None, d1, d2, d1, 1),
+         ("b", "b", "PERCENTAGE", Decimal("50"), "PRODUCT", "p1", None, d1, d2, d1, 2),
+         ("c", "c", "FIXED_AMOUNT", Decimal("10"), "CATEGORY", None, "cat-1", d1, d2, d1, 3),
+         ("s", "s", "PERCENTAGE", Decimal("10"), "PRODUCT", "p2", None, future, future + dt.timedelta(days=5),
+          d1, 4)],
+        "id string, name string, discount_type string, discount_value decimal(12,2), scope string, "
+        "target_product_id string, target_category_id string, starts_at timestamp, ends_at timestamp, "
+        "created_at timestamp, arrival long")
+    out = promote.create_promotions(req, existing, prods, F.lit(NOW))
+    dec = {r["id"]: r["admitted"] for r in out["decisions"].collect()}
+    # c is CATEGORY: checked against CATEGORY promotions only (Q1), so admitted
+    assert dec == {"a": True, "b": False, "c": True, "s": True}
+    snap = {r["id"]: (r["active_promotion_id"], r["effective_price"]) for r in out["products"].collect()}
+    assert snap["p1"] == ("a", Decimal("75.00"))      # live PRODUCT promotion outranks c
+    assert snap["p2"] == ("c", Decimal("90.00"))
+    status = {r["id"]: r["status"] for r in out["promotions"].collect()}
+    assert status["s"] == "SCHEDULED" and status["a"] == "ACTIVE"
+    links = {(r["product_id"], r["promotion_id"]) for r in out["links"].collect()}
+    assert ("p1", "a") in links and ("p2", "s") in links

@@ -75,11 +75,10 @@ def category_apply(spark, n: int, categories: int = 1000) -> dict:
 
 
 def main():
-    import tempfile
-    from shelfrate.session import build_session
+    from shelfrate.session import build_session, scratch_dir
     spark = build_session(f"local[{os.environ.get('BENCH_CPUS', '8')}]", shuffle_partitions=16)
     spark.sparkContext.setLogLevel("ERROR")
-    scratch = tempfile.mkdtemp(prefix="shelfrate-scale-")
+    scratch = scratch_dir(spark, f"scale-{int(time.time())}")
     out = feed_ingest(spark, int(os.environ.get("FEED_ROWS", "500000")), 16, scratch)
     out.update(category_apply(spark, int(os.environ.get("APPLY_PRODUCTS", "5000000"))))
     print(json.dumps(out))
