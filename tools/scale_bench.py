@@ -23,13 +23,14 @@ from pyspark.sql import functions as F  # noqa: E402
 
 
 def feed_ingest(spark, rows: int, files: int, scratch: str) -> dict:
+    from shelfrate.sources.feed_csv import list_csv_files
     from shelfrate.sources.snapshots import SnapshotStore
     from shelfrate.sources.synthetic import synthetic_feed, write_feed_csv
     from shelfrate.streaming.ingest import ingest_files
 
     inbox = os.path.join(scratch, "inbox")
     write_feed_csv(synthetic_feed(spark, rows).repartition(files), inbox)
-    paths = [os.path.join(inbox, f) for f in sorted(os.listdir(inbox)) if f.endswith(".csv")]
+    paths = list_csv_files(spark, [inbox])
     arrivals = spark.createDataFrame([(p, "stress-test", f"synthetic-{i}.csv", i) for i, p in enumerate(paths)],
                                      "path string, vendor_id string, source_file string, arrival long")
     store = SnapshotStore(spark, os.path.join(scratch, "store"))
