@@ -36,6 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfrate.functions.timeutil import epoch_micros
 from shelfrate.operators import rules
 from shelfrate.plans.joins import join_small
 from shelfrate.plans.ordering import interval_components
@@ -98,8 +99,8 @@ def _fold_by_key(df: DataFrame, key: str) -> DataFrame:
     single = comp.filter(F.col("__size") == 1).select("id", F.lit(True).alias("ok"))
     multi = comp.filter(F.col("__size") > 1).select(
         "id", key, "__comp", "arrival", "__size",
-        F.unix_micros(F.col("starts_at").cast("timestamp")).alias("s"),
-        F.unix_micros(F.col("ends_at").cast("timestamp")).alias("e"))
+        epoch_micros(comp, "starts_at").alias("s"),
+        epoch_micros(comp, "ends_at").alias("e"))
     id_type = df.schema["id"].dataType.simpleString()
     small = _catalyst_fold(multi.filter(F.col("__size") <= CATALYST_FOLD_MAX), key, id_type)
     large = (multi.filter(F.col("__size") > CATALYST_FOLD_MAX).drop("__size")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from shelfrate.functions.timeutil import epoch_micros
 from shelfrate.plans.joins import join_small
 
 
@@ -57,8 +58,8 @@ def interval_components(df: DataFrame, key: str, start: str, end: str, tiebreak:
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(key), F.col("__s"), F.col("__e"), F.col(tiebreak)]
-    prepared = (df.withColumn("__s", F.unix_micros(F.col(start).cast("timestamp")))
-                  .withColumn("__e", F.unix_micros(F.col(end).cast("timestamp"))))
+    prepared = (df.withColumn("__s", epoch_micros(df, start))
+                  .withColumn("__e", epoch_micros(df, end)))
     fixed = prepared.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
     key_type = fixed.schema[key].dataType.simpleString()
 

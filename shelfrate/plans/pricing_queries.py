@@ -139,7 +139,8 @@ def admit_promotions(spark, sf_dir):
     from shelfrate.operators.admission import admit
     pr = dt.promotions(spark, sf_dir)
     at = dt.as_of_lit()
-    requests = pr.filter(F.col("created_at") >= at).withColumn(
-        "arrival", F.unix_micros(F.col("created_at").cast("timestamp")))
+    from shelfrate.functions.timeutil import epoch_micros
+    requests = pr.filter(F.col("created_at") >= at)
+    requests = requests.withColumn("arrival", epoch_micros(requests, "created_at"))
     existing = pr.filter(F.col("created_at") < at)
     return admit(requests, existing, dt.products(spark, sf_dir))

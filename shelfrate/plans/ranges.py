@@ -11,21 +11,22 @@ the start of the overlap.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfrate.functions.timeutil import epoch_micros
+
 DEFAULT_BUCKET_SECONDS = 30 * 86400
 
 
-def _bucket(ts_col, width: int):
-    return F.floor(F.unix_micros(ts_col.cast("timestamp")) / F.lit(width * 1_000_000)).cast("bigint")
+def _bucket_of(micros: Column, width: int) -> Column:
+    return F.floor(micros / F.lit(width * 1_000_000)).cast("bigint")
 
 
 def _explode_buckets(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    first = _bucket(F.col(start), width)
+    first = _bucket_of(epoch_micros(df, start), width)
     # end is exclusive: the last touched bucket is the one of (end - 1 us)
-    last = F.floor((F.unix_micros(F.col(end).cast("timestamp")) - F.lit(1))
-                   / F.lit(width * 1_000_000)).cast("bigint")
+    last = _bucket_of(epoch_micros(df, end) - F.lit(1), width)
     return df.withColumn("__b", F.explode(F.sequence(first, F.greatest(first, last))))
 
 
@@ -43,6 +44,6 @@ def overlap_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     cond = ((lb[left_key] == rb[right_key]) & (lb["__lb"] == rb["__rb"])
             & (lb[left_start] < rb[right_end]) & (rb[right_start] < lb[left_end]))
     j = lb.join(rb, cond, "inner")
-    overlap_start = F.greatest(F.col(left_start), F.col(right_start))
-    j = j.filter(_bucket(overlap_start, bucket_seconds) == F.col("__lb"))
+    overlap_start = F.greatest(epoch_micros(lb, left_start), epoch_micros(rb, right_start))
+    j = j.filter(_bucket_of(overlap_start, bucket_seconds) == F.col("__lb"))
     return j.drop("__lb", "__rb")

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from shelfrate.functions.timeutil import epoch_micros
+
 OUTPUT_SCHEMA = "id string, target_key string, admitted boolean"
 STATE_SCHEMA = "starts array<bigint>, ends array<bigint>, horizon bigint"
 
@@ -52,12 +54,14 @@ def admit_stream(requests: DataFrame) -> DataFrame:
     """``requests``: id, scope, target_product_id, target_category_id,
     starts_at, ends_at and ``arrival`` (long). Returns a stream of
     ``id, target_key, admitted`` (append mode)."""
-    keyed = requests.select(
+    keyed = requests.withColumn("__s", epoch_micros(requests, "starts_at")).withColumn(
+        "__e", epoch_micros(requests, "ends_at"))
+    keyed = keyed.select(
         F.col("id").cast("string").alias("id"),
         F.when(F.col("scope") == "PRODUCT", F.concat(F.lit("P|"), F.col("target_product_id").cast("string")))
          .otherwise(F.concat(F.lit("C|"), F.col("target_category_id").cast("string"))).alias("target_key"),
-        F.unix_micros(F.col("starts_at").cast("timestamp")).alias("s"),
-        F.unix_micros(F.col("ends_at").cast("timestamp")).alias("e"),
+        F.col("__s").alias("s"),
+        F.col("__e").alias("e"),
         F.col("arrival").cast("bigint").alias("arrival"))
     return keyed.groupBy("target_key").applyInPandasWithState(
         _decide, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)

@@ -77,3 +77,18 @@ def test_oracle_agreement(spark, name):
     idx = [rel.columns.index(c) for c in cols]
     drows = sorted(repr(tuple(_norm(r[i]) for i in idx)) for r in rel.fetchall())
     assert srows == drows
+
+
+def test_admit_promotions_matches_brute_force(spark):
+    """The one query without SQL oracle, checked on the whole sf0.001 tables."""
+    from shelfrate.operators.admission import admit_reference
+    from shelfrate.sources import driver_tables as dt
+    got = {r["id"]: r["admitted"] for r in entry.queries()["admit_promotions"](spark, SF).collect()}
+    pr = [r.asDict() for r in dt.promotions(spark, SF).collect()]
+    cats = {r["id"]: r["category_id"] for r in dt.products(spark, SF).collect()}
+    at = dt.AS_OF
+    epoch = __import__("datetime").datetime(1970, 1, 1)
+    reqs = [dict(p, arrival=int((p["created_at"] - epoch).total_seconds() * 1_000_000))
+            for p in pr if p["created_at"] >= at]
+    existing = [p for p in pr if p["created_at"] < at]
+    assert got == admit_reference(reqs, existing, cats)
