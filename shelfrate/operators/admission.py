@@ -5,8 +5,8 @@ advisory locks: of two overlapping requests on one target the earlier one
 is accepted and the later one rejected with a reason. Here a whole set of
 requests is decided at once:
 
-1. Conflicts with *existing* unfinished promotions are found relationally
-   (time-bucketed overlap join, ``plans.ranges``) and reject right away.
+1. Conflicts with *existing* unfinished promotions reject right away; they
+   are found by a pair-free sweep per target (``plans.ranges.overlaps_any``).
 2. CATEGORY requests are checked against CATEGORY promotions only (Q1), so
    they are decided first. PRODUCT requests are then checked against the
    admitted CATEGORY requests of their product's category that arrived
@@ -40,7 +40,7 @@ from shelfrate.functions.timeutil import epoch_micros
 from shelfrate.operators import rules
 from shelfrate.plans.joins import join_small
 from shelfrate.plans.ordering import interval_components
-from shelfrate.plans.ranges import overlap_join
+from shelfrate.plans.ranges import overlap_join, overlaps_any
 
 
 
@@ -110,14 +110,15 @@ def _fold_by_key(df: DataFrame, key: str) -> DataFrame:
 
 def _blocked_by_existing(requests: DataFrame, existing: DataFrame, req_key: str,
                          ex_key: str) -> DataFrame:
-    """Ids of requests overlapping an unfinished existing promotion on the key."""
+    """Ids of requests overlapping an unfinished existing promotion on the
+    key: a pair-free sweep (``plans.ranges.overlaps_any``), linear however
+    many windows one key holds."""
     ex = existing.filter(rules.is_unfinished()).select(
         F.col(ex_key).alias("__exk"), F.col("starts_at").alias("__exs"),
         F.col("ends_at").alias("__exe"))
-    rq = requests.select(F.col("id").alias("__rid"), F.col(req_key).alias("__rk"),
-                         F.col("starts_at").alias("__rs"), F.col("ends_at").alias("__re"))
-    pairs = overlap_join(rq, ex, "__rk", "__exk", "__rs", "__re", "__exs", "__exe")
-    return pairs.select(F.col("__rid").alias("id")).distinct()
+    rq = requests.select("id", F.col(req_key).alias("__rk"), F.col("starts_at").alias("__rs"),
+                         F.col("ends_at").alias("__re"))
+    return overlaps_any(rq, ex, "__rk", "__exk", "__rs", "__re", "__exs", "__exe")
 
 
 def admit(requests: DataFrame, existing: DataFrame, products: DataFrame) -> DataFrame:

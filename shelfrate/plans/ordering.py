@@ -60,7 +60,10 @@ def interval_components(df: DataFrame, key: str, start: str, end: str, tiebreak:
     order = [F.col(key), F.col("__s"), F.col("__e"), F.col(tiebreak)]
     prepared = (df.withColumn("__s", epoch_micros(df, start))
                   .withColumn("__e", epoch_micros(df, end)))
-    fixed = prepared.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    # The partition index is stored in the rows: a task's own partition id
+    # is not stable once the frame is unioned with others downstream.
+    fixed = (prepared.repartitionByRange(n, *order).sortWithinPartitions(*order)
+             .withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True))
     key_type = fixed.schema[key].dataType.simpleString()
 
     def summarize(batches):
@@ -68,11 +71,12 @@ def interval_components(df: DataFrame, key: str, start: str, end: str, tiebreak:
         # partition is one key, and for the last key's segment: its max end
         # and the last window that opened a component (marker and start).
         import pandas as pd
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
+        pid = None
         first_key = last_key = run_max = marker = opener_s = None
         single, seen = True, False
         for b in batches:
+            if pid is None and len(b):
+                pid = int(b["__pid"].iloc[0])
             for k, s, e, t in zip(b[key], b["__s"], b["__e"], b[tiebreak]):
                 if not seen:
                     first_key, seen = k, True
@@ -107,11 +111,14 @@ def interval_components(df: DataFrame, key: str, start: str, end: str, tiebreak:
     bc = spark.sparkContext.broadcast(carries)  # at most one entry per partition
 
     def label(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        c = bc.value.get(pid)
-        cur_key, run_max, marker = (c if c is not None else (None, None, None))
+        cur_key = run_max = marker = None
+        started = False
         for b in batches:
+            if not started and len(b):
+                started = True
+                c = bc.value.get(int(b["__pid"].iloc[0]))
+                if c is not None:
+                    cur_key, run_max, marker = c
             labels = []
             for k, s, e, t in zip(b[key], b["__s"], b["__e"], b[tiebreak]):
                 if cur_key is None or k != cur_key:
@@ -123,4 +130,4 @@ def interval_components(df: DataFrame, key: str, start: str, end: str, tiebreak:
             yield b.assign(**{out: labels})
 
     out_schema = StructType(list(fixed.schema.fields) + [StructField(out, StringType(), True)])
-    return fixed.mapInPandas(label, out_schema).drop("__s", "__e")
+    return fixed.mapInPandas(label, out_schema).drop("__s", "__e", "__pid")

@@ -47,3 +47,95 @@ def overlap_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     overlap_start = F.greatest(epoch_micros(lb, left_start), epoch_micros(rb, right_start))
     j = j.filter(_bucket_of(overlap_start, bucket_seconds) == F.col("__lb"))
     return j.drop("__lb", "__rb")
+
+
+def overlaps_any(candidates: DataFrame, blockers: DataFrame, cand_key: str, block_key: str,
+                 cand_start: str, cand_end: str, block_start: str, block_end: str,
+                 cand_id: str = "id", num_partitions: int | None = None) -> DataFrame:
+    """Ids of candidates whose [start, end) overlaps at least one blocker
+    window on the same key — without producing pairs.
+
+    Overlap with some blocker <=> max(blocker end | blocker start < cand end)
+    > cand start. Both sides become events on one sorted line per key
+    (blockers at their start carrying their end, candidates at their end
+    carrying their start; a candidate sorts before a blocker at the same
+    point), and one running max answers every candidate. The scan is
+    distributed like ``ordering.interval_components``: range partitions,
+    one pass per task, a carry per partition for keys that cross a
+    boundary. Work is linear in both sides however dense a key is.
+    """
+    from pyspark.sql.types import StructField, StructType
+
+    spark = candidates.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key_t = candidates.schema[cand_key].dataType
+    ev_c = candidates.select(F.col(cand_key).cast(key_t).alias("__k"), epoch_micros(candidates, cand_end).alias("__p"),
+                             F.lit(0).alias("__kind"), epoch_micros(candidates, cand_start).alias("__v"),
+                             F.col(cand_id).alias("__id"))
+    id_t = ev_c.schema["__id"].dataType
+    ev_b = blockers.select(F.col(block_key).cast(key_t).alias("__k"), epoch_micros(blockers, block_start).alias("__p"),
+                           F.lit(1).alias("__kind"), epoch_micros(blockers, block_end).alias("__v"),
+                           F.lit(None).cast(id_t).alias("__id"))
+    order = [F.col("__k"), F.col("__p"), F.col("__kind")]
+    fixed = (ev_c.unionByName(ev_b).filter(F.col("__k").isNotNull())
+             .repartitionByRange(n, *order).sortWithinPartitions(*order)
+             .withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True))
+
+    def summarize(batches):
+        import pandas as pd
+        pid = None
+        first = last = run = None
+        single, seen = True, False
+        for b in batches:
+            if pid is None and len(b):
+                pid = int(b["__pid"].iloc[0])
+            for k, kind, v in zip(b["__k"], b["__kind"], b["__v"]):
+                if not seen:
+                    first, seen = k, True
+                if last is None or k != last:
+                    single = single and last is None
+                    last, run = k, None
+                if kind == 1:
+                    run = int(v) if run is None else max(run, int(v))
+        if seen:
+            yield pd.DataFrame({"pid": [pid], "first_key": [first], "last_key": [last],
+                                "seg_max": [run], "single": [single]})
+
+    kt = key_t.simpleString()
+    rows = sorted(fixed.mapInPandas(summarize, f"pid int, first_key {kt}, last_key {kt}, seg_max long, "
+                                               f"single boolean").collect(), key=lambda r: r["pid"])
+    carries, state = {}, None
+    for r in rows:  # one row per partition
+        if state is not None and state[0] == r["first_key"]:
+            carries[r["pid"]] = state[1]
+            if r["single"]:
+                m = [x for x in (state[1], r["seg_max"]) if x is not None]
+                state = (r["last_key"], max(m) if m else None)
+                continue
+        state = (r["last_key"], r["seg_max"])
+    bc = spark.sparkContext.broadcast(carries)
+
+    def probe(batches):
+        import pandas as pd
+        cur, run = None, None
+        first_row = True
+        for b in batches:
+            if first_row and len(b):
+                pid = int(b["__pid"].iloc[0])
+                if pid in bc.value:
+                    cur, run = "__carry__", bc.value[pid]
+            ids = []
+            for k, kind, v, i in zip(b["__k"], b["__kind"], b["__v"], b["__id"]):
+                if first_row and cur == "__carry__":
+                    cur, first_row = k, False
+                elif cur is None or k != cur:
+                    cur, run = k, None
+                first_row = False
+                if kind == 1:
+                    run = int(v) if run is None else max(run, int(v))
+                elif run is not None and run > v:
+                    ids.append(i)
+            if ids:
+                yield pd.DataFrame({"id": ids})
+
+    return fixed.mapInPandas(probe, StructType([StructField("id", id_t, True)]))
