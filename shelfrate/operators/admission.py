@@ -127,21 +127,31 @@ def admit(requests: DataFrame, existing: DataFrame, products: DataFrame) -> Data
                           "starts_at", "ends_at", "created_at", "arrival")
     cat_req = req.filter(F.col("scope") == "CATEGORY")
     prod_req = req.filter(F.col("scope") == "PRODUCT")
-    ex_cat = existing.filter(F.col("scope") == "CATEGORY")
-    ex_prod = existing.filter(F.col("scope") == "PRODUCT")
 
-    # Stage 1: CATEGORY requests vs existing CATEGORY, then fold per category.
-    cat_blocked = _blocked_by_existing(cat_req, ex_cat, "target_category_id", "target_category_id")
-    cat_free = cat_req.join(cat_blocked, "id", "left_anti")
+    # Conflicts with existing promotions, for both stages in one sweep: a
+    # CATEGORY request is checked on its category key only (Q1), a PRODUCT
+    # request on its product key and on its product's category key.
+    pcat = products.select(F.col("id").alias("__pid"), F.col("category_id").alias("req_category_id"))
+    prod_req_c = prod_req.join(pcat, prod_req["target_product_id"] == pcat["__pid"], "left").drop("__pid")
+    probes = (cat_req.select("id", F.concat(F.lit("C|"), F.col("target_category_id").cast("string")).alias("__k"),
+                             "starts_at", "ends_at")
+              .unionByName(prod_req_c.select("id", F.concat(F.lit("P|"), F.col("target_product_id").cast("string"))
+                                             .alias("__k"), "starts_at", "ends_at"))
+              .unionByName(prod_req_c.select("id", F.concat(F.lit("C|"), F.col("req_category_id").cast("string"))
+                                             .alias("__k"), "starts_at", "ends_at")))
+    ex = existing.filter(rules.is_unfinished()).select(
+        F.when(F.col("scope") == "PRODUCT", F.concat(F.lit("P|"), F.col("target_product_id").cast("string")))
+         .otherwise(F.concat(F.lit("C|"), F.col("target_category_id").cast("string"))).alias("__exk"),
+        F.col("starts_at").alias("__exs"), F.col("ends_at").alias("__exe"))
+    blocked_existing = overlaps_any(probes, ex, "__k", "__exk", "starts_at", "ends_at", "__exs", "__exe")
+
+    # Stage 1: free CATEGORY requests fold per category.
+    cat_free = cat_req.join(blocked_existing, "id", "left_anti")
     # Cut lineage (reliable checkpoint): stage 2 and the reasons reuse it.
     cat_ok = _fold_by_key(cat_free, "target_category_id").filter("ok").select("id").checkpoint(eager=True)
     cat_admitted = cat_req.join(cat_ok, "id", "left_semi")
 
-    # Stage 2: PRODUCT requests with their product's category.
-    pcat = products.select(F.col("id").alias("__pid"), F.col("category_id").alias("req_category_id"))
-    prod_req_c = prod_req.join(pcat, prod_req["target_product_id"] == pcat["__pid"], "left").drop("__pid")
-    b1 = _blocked_by_existing(prod_req_c, ex_prod, "target_product_id", "target_product_id")
-    b2 = _blocked_by_existing(prod_req_c, ex_cat, "req_category_id", "target_category_id")
+    # Stage 2: PRODUCT requests, also blocked by earlier admitted CATEGORY ones.
     # earlier-arrived admitted CATEGORY requests of the same category
     ca = cat_admitted.select(F.col("target_category_id").alias("__ck"),
                              F.col("starts_at").alias("__cs"), F.col("ends_at").alias("__ce"),
@@ -153,7 +163,7 @@ def admit(requests: DataFrame, existing: DataFrame, products: DataFrame) -> Data
           .filter((F.col("__ca") < F.col("__ra")) | ((F.col("__ca") == F.col("__ra"))
                                                      & (F.col("__cid") < F.col("__rid"))))
           .select(F.col("__rid").alias("id")))
-    blocked = b1.unionByName(b2).unionByName(b3).distinct()
+    blocked = blocked_existing.unionByName(b3).distinct()
     prod_free = prod_req_c.join(blocked, "id", "left_anti")
     prod_ok = _fold_by_key(prod_free.drop("req_category_id"), "target_product_id").filter("ok").select("id")
 
