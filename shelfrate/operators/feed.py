@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from shelfrate.functions.money import effective_price, margin_floor_price
 from shelfrate.functions.text import deterministic_uuid
 from shelfrate.operators import rules
-from shelfrate.plans.joins import join_small, measure
+from shelfrate.plans.joins import join_small, measure, persist_for_job
 
 # Fixed values (must equal the reference's): text limits, the decimal-text
 # pattern and its message, the chunk size default, pricing-rule error.
@@ -215,8 +215,10 @@ def _upsert_join_small_feed(cur: DataFrame, inc: DataFrame, held: DataFrame) ->
     only the feed's skus are compared for inserts. No catalogue shuffle.
     """
     b = F.broadcast(inc)
-    # at most one catalogue row per feed sku: bounded like the feed, kept once
-    matched, _ = measure(cur.join(b, cur["sku"] == b["__sku"], "inner"), FEED_BROADCAST_ROWS)
+    # At most one catalogue row per feed sku (sku is unique in the catalogue),
+    # so ``matched`` is bounded by the measured feed; cached because it is
+    # read three times below.
+    matched = persist_for_job(cur.join(b, cur["sku"] == b["__sku"], "inner"))
     untouched = cur.join(F.broadcast(inc.select(F.col("__sku").alias("__s"))),
                          cur["sku"] == F.col("__s"), "left_anti")
     m_skus = matched.select(F.col("sku").alias("__m"))
@@ -224,7 +226,10 @@ def _upsert_join_small_feed(cur: DataFrame, inc: DataFrame, held: DataFrame) ->
     ids = matched.select(F.col("active_promotion_id").alias("__need")).filter(
         F.col("__need").isNotNull()).distinct()
     held_needed = held.join(F.broadcast(ids), held["__hid"] == ids["__need"], "left_semi")
-    matched = join_small(matched, held_needed, matched["active_promotion_id"] == held_needed["__hid"], "left")
+    # |held_needed| <= |distinct held ids of matched| <= |feed|: bounded by
+    # the measurement above, so it is broadcast without another count.
+    matched = matched.join(F.broadcast(held_needed), matched["active_promotion_id"] == held_needed["__hid"],
+                           "left")
     cols_cur = cur.columns
     cols_inc = inc.columns
     cols_held = ["__hid", "__htype", "__hvalue"]

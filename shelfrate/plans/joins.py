@@ -34,6 +34,14 @@ def measure(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[Data
     return fixed, fixed.limit(max_rows + 1).count() <= max_rows
 
 
+def persist_for_job(df: DataFrame) -> DataFrame:
+    """Cache a frame that a plan reads several times (released with the
+    measured sides by ``release_measured``)."""
+    fixed = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _MEASURED.append(fixed)
+    return fixed
+
+
 def release_measured() -> None:
     """Unpersist every side cached by ``measure`` (call when a job ends)."""
     while _MEASURED:
