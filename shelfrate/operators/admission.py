@@ -23,6 +23,14 @@ requests is decided at once:
    relationally as the first (oldest ``created_at``, then ``id``) blocker
    that arrived before it.
 
+The two steps that still pair windows (earlier-admitted CATEGORY requests
+in stage 2, and the reasons) pair a request only with *admitted* or
+*existing* windows of its target. Admitted windows of one target are
+pairwise disjoint by construction, and so are existing unfinished ones
+when they were created under the same rule, so each request meets at most
+(its length / the shortest window) + 2 of them per key: the pairs grow
+linearly with the requests, not quadratically with a hot target.
+
 Requests carry ``id, scope, target_product_id, target_category_id,
 starts_at, ends_at, created_at`` and an ``arrival`` rank (ties broken by
 ``id``).

@@ -18,12 +18,20 @@ from shelfrate.functions.timeutil import epoch_micros
 from shelfrate.plans.joins import join_small
 
 
+def range_partition(df: DataFrame, n: int | None, order: list[Column]) -> DataFrame:
+    """Range-partition on ``order``; without an explicit count the shuffle
+    partition setting applies and AQE coalesces small partitions (the
+    partition index is recorded in the rows afterwards, so coalescing is
+    harmless)."""
+    return df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)
+
+
 def global_row_number(df: DataFrame, order: list[Column], out: str = "rn",
                       num_partitions: int | None = None) -> DataFrame:
     """Add a 1-based row number ``out`` following ``order`` over the whole frame."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_df = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    n = num_partitions  # None: shuffle partitions, coalesced by AQE to the data size
+    sorted_df = (range_partition(df, n, order).sortWithinPartitions(*order)
                  .withColumn("__pid", F.spark_partition_id())
                  .withColumn("__mid", F.monotonically_increasing_id()))
     # Fix the layout: ids and partition counts must come from one evaluation.
@@ -56,13 +64,13 @@ def interval_components(df: DataFrame, key: str, start: str, end: str, tiebreak:
     partition goes to the driver and the carries come back as a small map.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions  # None: shuffle partitions, coalesced by AQE to the data size
     order = [F.col(key), F.col("__s"), F.col("__e"), F.col(tiebreak)]
     prepared = (df.withColumn("__s", epoch_micros(df, start))
                   .withColumn("__e", epoch_micros(df, end)))
     # The partition index is stored in the rows: a task's own partition id
     # is not stable once the frame is unioned with others downstream.
-    fixed = (prepared.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    fixed = (range_partition(prepared, n, order).sortWithinPartitions(*order)
              .withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True))
     key_type = fixed.schema[key].dataType.simpleString()
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfrate.functions.timeutil import epoch_micros
+from shelfrate.plans.ordering import range_partition
 
 DEFAULT_BUCKET_SECONDS = 30 * 86400
 
@@ -67,7 +68,7 @@ def overlaps_any(candidates: DataFrame, blockers: DataFrame, cand_key: str, bloc
     from pyspark.sql.types import StructField, StructType
 
     spark = candidates.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions  # None: shuffle partitions, coalesced by AQE to the data size
     key_t = candidates.schema[cand_key].dataType
     ev_c = candidates.select(F.col(cand_key).cast(key_t).alias("__k"), epoch_micros(candidates, cand_end).alias("__p"),
                              F.lit(0).alias("__kind"), epoch_micros(candidates, cand_start).alias("__v"),
@@ -77,8 +78,8 @@ def overlaps_any(candidates: DataFrame, blockers: DataFrame, cand_key: str, bloc
                            F.lit(1).alias("__kind"), epoch_micros(blockers, block_end).alias("__v"),
                            F.lit(None).cast(id_t).alias("__id"))
     order = [F.col("__k"), F.col("__p"), F.col("__kind")]
-    fixed = (ev_c.unionByName(ev_b).filter(F.col("__k").isNotNull())
-             .repartitionByRange(n, *order).sortWithinPartitions(*order)
+    events = ev_c.unionByName(ev_b).filter(F.col("__k").isNotNull())
+    fixed = (range_partition(events, n, order).sortWithinPartitions(*order)
              .withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True))
 
     def summarize(batches):
