@@ -17,8 +17,9 @@ requests is decided at once:
    ended cannot interact with them; labelled by a distributed prefix scan,
    so a hot target spreads over many tasks) and each (target, component) is
    folded in arrival order: one-request components need no fold, small ones
-   fold inside Catalyst, large ones in pandas with a sorted interval list,
-   O(log n) per request.
+   fold inside Catalyst, large ones stream through a pandas fold over rows
+   sorted by arrival (sorted interval list, O(log n) per request, memory
+   bounded by the accepted windows).
 4. The reported conflict of every rejected request is recomputed
    relationally as the first (oldest ``created_at``, then ``id``) blocker
    that arrived before it.
@@ -59,20 +60,28 @@ def _components(df: DataFrame, key: str) -> DataFrame:
     return interval_components(df, key, "starts_at", "ends_at", "id", out="__comp")
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy admission in arrival order within one (target, component)."""
-    pdf = pdf.sort_values(["arrival", "id"])
-    starts: list = []   # sorted starts of accepted, pairwise disjoint windows
-    ends: list = []     # their ends, same order
-    oks = []
-    for s, e in zip(pdf["s"].tolist(), pdf["e"].tolist()):
-        i = bisect.bisect_right(starts, s)
-        clash = (i > 0 and ends[i - 1] > s) or (i < len(starts) and starts[i] < e)
-        if not clash:
-            starts.insert(i, s)
-            ends.insert(i, e)
-        oks.append(not clash)
-    return pd.DataFrame({"id": pdf["id"].values, "ok": oks})
+def _fold_sorted(batches):
+    """Greedy admission over rows sorted by (target, component, arrival, id).
+
+    Streams Arrow batches: the only state is the accepted windows of the
+    current component (sorted, pairwise disjoint), reset when the
+    (target, component) changes, so memory does not grow with the group.
+    """
+    group = None
+    starts: list = []
+    ends: list = []
+    for b in batches:
+        oks = []
+        for k, c, s, e in zip(b["__key"], b["__comp"], b["s"], b["e"]):
+            if (k, c) != group:
+                group, starts, ends = (k, c), [], []
+            i = bisect.bisect_right(starts, s)
+            clash = (i > 0 and ends[i - 1] > s) or (i < len(starts) and starts[i] < e)
+            if not clash:
+                starts.insert(i, s)
+                ends.insert(i, e)
+            oks.append(not clash)
+        yield pd.DataFrame({"id": b["id"].values, "ok": oks})
 
 
 # Components up to this many requests fold inside Catalyst (higher-order
@@ -111,8 +120,13 @@ def _fold_by_key(df: DataFrame, key: str) -> DataFrame:
         epoch_micros(comp, "ends_at").alias("e"))
     id_type = df.schema["id"].dataType.simpleString()
     small = _catalyst_fold(multi.filter(F.col("__size") <= CATALYST_FOLD_MAX), key, id_type)
+    # Large components: each lands whole in one partition (hash on target and
+    # component), sorted by arrival inside it, and is folded as a stream.
     large = (multi.filter(F.col("__size") > CATALYST_FOLD_MAX).drop("__size")
-             .groupBy(key, "__comp").applyInPandas(_fold, f"id {id_type}, ok boolean"))
+             .withColumnRenamed(key, "__key")
+             .repartition("__key", "__comp")
+             .sortWithinPartitions("__key", "__comp", "arrival", "id")
+             .mapInPandas(_fold_sorted, f"id {id_type}, ok boolean"))
     return single.unionByName(small).unionByName(large)
 
 
