@@ -60,7 +60,8 @@ def apply_category(products: DataFrame, promotions: DataFrame, to_apply: DataFra
     live_prod = promotions.filter((F.col("scope") == "PRODUCT") & rules.is_live(at)).select(
         F.col("id").alias("__held_live"))
     live_prod = live_prod.join(held, live_prod["__held_live"] == held["__h"], "left_semi")
-    p = join_small(p, live_prod, p["active_promotion_id"] == live_prod["__held_live"], "left")
+    p = join_small(p, live_prod, p["active_promotion_id"] == live_prod["__held_live"], "left",
+                   big_key="active_promotion_id")
     hit = F.col("__promo").isNotNull() & F.col("__held_live").isNull()
     out = (p.withColumn("changed", hit)
             .withColumn("active_promotion_id",
@@ -91,7 +92,8 @@ def revert_category(products: DataFrame, reverted_ids: DataFrame) -> tuple[DataF
     """M5: products holding a reverted promotion fall back to base price and
     no promotion (links are kept). ``reverted_ids`` has column ``id``."""
     rv = reverted_ids.select(F.col("id").alias("__rv")).distinct()
-    p = join_small(products, rv, products["active_promotion_id"] == rv["__rv"], "left")
+    p = join_small(products, rv, products["active_promotion_id"] == rv["__rv"], "left",
+                   big_key="active_promotion_id")
     hit = F.col("__rv").isNotNull()
     out = (p.withColumn("changed", hit)
             .withColumn("active_promotion_id", F.when(hit, F.lit(None)).otherwise(F.col("active_promotion_id")))
@@ -114,7 +116,8 @@ def cancel_product(products: DataFrame, promotions: DataFrame, cancel_ids: DataF
     winner rule (W1) over the remaining live promotions, else base price."""
     promos_after = cancel_promotions(promotions, cancel_ids)
     cx = cancel_ids.select(F.col("id").alias("__cx")).distinct()
-    p = join_small(products, cx, products["active_promotion_id"] == cx["__cx"], "left")
+    p = join_small(products, cx, products["active_promotion_id"] == cx["__cx"], "left",
+                   big_key="active_promotion_id")
     carriers = p.filter(F.col("__cx").isNotNull()).drop("__cx")
     others = p.filter(F.col("__cx").isNull()).drop("__cx").withColumn("changed", F.lit(False))
     rew = rules.winners_as_of(carriers.drop("discount_type", "discount_value", "winner_id",

@@ -64,11 +64,27 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
       replicated ``salt_buckets`` times and each big row picks one copy by
       ``salt_source``, so a key holding a third of ``big`` still splits over
       ``salt_buckets`` tasks. Salting needs an equi-join given as
-      ``big_key``/``small_key`` column names.
+      ``big_key``/``small_key`` column names. For a left join with
+      ``big_key`` given, NULL keys bypass the shuffle.
     """
     small, fits = measure(small, max_rows)
     if fits:
         return big.join(F.broadcast(small), on, how)
+    if how == "left" and big_key is not None:
+        # Shuffle fallback: rows whose key is NULL can match nothing; keep them
+        # out of the exchange (they would all hash to one partition — e.g. the
+        # many products that hold no promotion) and add them back unmatched.
+        nulls = big.filter(F.col(big_key).isNull())
+        big = big.filter(F.col(big_key).isNotNull())
+        joined = _shuffle_join(big, small, on, how, salt_buckets, salt_source, small_key, big_key)
+        pad = nulls.select(*[F.col(c) for c in nulls.columns],
+                           *[F.lit(None).cast(f.dataType).alias(f.name) for f in small.schema.fields
+                             if f.name not in nulls.columns])
+        return joined.unionByName(pad)
+    return _shuffle_join(big, small, on, how, salt_buckets, salt_source, small_key, big_key)
+
+
+def _shuffle_join(big, small, on, how, salt_buckets, salt_source, small_key, big_key):
     if salt_buckets and salt_buckets > 1 and big_key and small_key and how in ("left", "inner"):
         salt_col = "__salt"
         src = salt_source if salt_source is not None else F.monotonically_increasing_id()

@@ -67,3 +67,19 @@ def test_global_row_number(spark):
     df = spark.range(0, 997).select(((F.col("id") * 7919) % 997).alias("v"))
     got = global_row_number(df, [F.col("v").asc()], num_partitions=5).collect()
     assert sorted((r["v"], r["rn"]) for r in got) == [(v, v + 1) for v in range(997)]
+
+
+def test_join_small_fallbacks(spark):
+    from shelfrate.plans.joins import join_small
+    big = spark.createDataFrame([(f"p{i}", "hot" if i % 3 else None, "c" + str(i % 2)) for i in range(60)],
+                                "id string, active string, cat string")
+    small = spark.createDataFrame([("hot", 1), ("x", 2)], "sid string, v int")
+    cats = spark.createDataFrame([("c0", 10), ("c1", 11)], "ck string, w int")
+    exp = sorted((f"p{i}", 1 if i % 3 else None) for i in range(60))
+    for max_rows in (100, 0):  # broadcast path, then null-split shuffle path
+        out = join_small(big, small, big["active"] == small["sid"], "left", max_rows=max_rows, big_key="active")
+        assert sorted((r["id"], r["v"]) for r in out.collect()) == exp
+        salted = join_small(big, cats, big["cat"] == cats["ck"], "left", max_rows=max_rows, salt_buckets=8,
+                            salt_source=F.col("id"), big_key="cat", small_key="ck")
+        assert sorted((r["id"], r["w"]) for r in salted.collect()) == \
+            sorted((f"p{i}", 10 + i % 2) for i in range(60))
