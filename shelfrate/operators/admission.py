@@ -230,7 +230,9 @@ def first_blockers(candidates: DataFrame, blockers: DataFrame, products: DataFra
     pcat = products.select(F.col("id").alias("__pid"), F.col("category_id").alias("__pc"))
     c = candidates.select("id", "scope", "target_product_id", "target_category_id", "starts_at",
                           "ends_at", F.col(order_col).alias("__ord"))
-    c = c.join(pcat, c["target_product_id"] == pcat["__pid"], "left").drop("__pid")
+    # CATEGORY candidates have no product: NULL keys skip the shuffle
+    c = join_small(c, pcat, c["target_product_id"] == pcat["__pid"], "left",
+                   big_key="target_product_id").drop("__pid")
     ck = _target_keys(c, "__pc").select("id", "scope", "starts_at", "ends_at", "__ord", "__kk")
     if "status" in blockers.columns:  # only ACTIVE/SCHEDULED promotions block
         blockers = blockers.filter(rules.is_unfinished())

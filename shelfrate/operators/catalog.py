@@ -131,7 +131,8 @@ def update_products(products: DataFrame, patches: DataFrame, promotions: DataFra
     held = promotions.select(F.col("id").alias("__hid"), F.col("discount_type").alias("__t"),
                              F.col("discount_value").alias("__v"))
     j = products.join(pt, products["id"] == pt["__id"], "left")
-    j = j.join(held, j["active_promotion_id"] == held["__hid"], "left")  # J8
+    j = join_small(j, held, j["active_promotion_id"] == held["__hid"], "left",  # J8
+                   big_key="active_promotion_id")
     has_base = F.col("__base").isNotNull()
     return (j.withColumn("changed", F.col("__id").isNotNull())
              .withColumn("name", F.coalesce(F.col("__name"), F.col("name")))

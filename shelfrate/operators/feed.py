@@ -181,7 +181,8 @@ def upsert_products(products: DataFrame, ok_rows: DataFrame, category_ids: DataF
     else:
         # Feed too large to broadcast: one full outer join on sku.
         j = cur.join(inc, cur["sku"] == inc["__sku"], "full_outer")
-        j = j.join(held, j["active_promotion_id"] == held["__hid"], "left")
+        j = join_small(j, held, j["active_promotion_id"] == held["__hid"], "left",
+                       big_key="active_promotion_id")
     is_new = F.col("sku").isNull()
     is_upd = F.col("sku").isNotNull() & F.col("__sku").isNotNull()
     new_eff = effective_price(F.col("__base"), F.col("__htype"), F.col("__hvalue"))
