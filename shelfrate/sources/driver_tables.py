@@ -24,8 +24,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def as_of_lit(ts: _dt.datetime = AS_OF) -> Column:
-    """Instant literal in the type of the naive driver timestamps."""
-    return F.lit(ts).cast("timestamp_ntz")
+    """Instant literal in the type of the naive driver timestamps, built from
+    text so that neither the Python nor the session time zone shifts it."""
+    return F.lit(ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:

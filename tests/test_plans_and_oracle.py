@@ -92,3 +92,16 @@ def test_admit_promotions_matches_brute_force(spark):
             for p in pr if p["created_at"] >= at]
     existing = [p for p in pr if p["created_at"] < at]
     assert got == admit_reference(reqs, existing, cats)
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    """Driver timestamps are naive; instants never go through the session zone."""
+    names = ["promotion_overlaps", "first_conflict", "live_promotions", "listing_pages"]
+    before = {n: sorted(map(repr, entry.queries()[n](spark, SF).collect())) for n in names}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        after = {n: sorted(map(repr, entry.queries()[n](spark, SF).collect())) for n in names}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert before == after
