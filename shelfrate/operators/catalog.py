@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from shelfrate.functions.money import as_money, effective_price, format_money
 from shelfrate.functions.text import decimal_sort_text, decode_cursor, encode_cursor, keyset_after
@@ -143,8 +143,16 @@ def update_products(products: DataFrame, patches: DataFrame, promotions: DataFra
              .drop("__id", "__name", "__base", "__stock", "__hid", "__t", "__v"))
 
 
-def iso(col) -> Column:
+def iso(col, df: DataFrame | None = None) -> Column:
+    """ISO-8601 text with milliseconds and ``Z`` (UTC), like toISOString.
+
+    A naive timestamp is rendered as is; an aware ``timestamp`` column of
+    ``df`` is first turned into UTC wall-clock time, so the text does not
+    depend on the session time zone.
+    """
     c = F.col(col) if isinstance(col, str) else col
+    if df is not None and isinstance(col, str) and isinstance(df.schema[col].dataType, TimestampType):
+        c = F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
     return F.date_format(c, ISO_FORMAT)
 
 
@@ -154,7 +162,7 @@ def product_view(products: DataFrame) -> DataFrame:
         F.col("id"), "sku", "name", "category_id",
         format_money("base_price").alias("base_price"), "stock_quantity", "active_promotion_id",
         format_money("effective_price").alias("effective_price"),
-        *[iso(c).alias(c) for c in ("effective_price_updated_at", "created_at", "updated_at")
+        *[iso(c, products).alias(c) for c in ("effective_price_updated_at", "created_at", "updated_at")
           if c in products.columns])
     return out
 
@@ -164,18 +172,18 @@ def promotion_view(promotions: DataFrame) -> DataFrame:
     cols = [F.col("id"), F.col("name"), F.col("discount_type"),
             format_money("discount_value").alias("discount_value"), F.col("scope"),
             F.col("target_product_id"), F.col("target_category_id"),
-            iso("starts_at").alias("starts_at"), iso("ends_at").alias("ends_at"), F.col("status"),
-            iso("created_at").alias("created_at")]
+            iso("starts_at", promotions).alias("starts_at"), iso("ends_at", promotions).alias("ends_at"),
+            F.col("status"), iso("created_at", promotions).alias("created_at")]
     if "updated_at" in promotions.columns:
-        cols.append(iso("updated_at").alias("updated_at"))
+        cols.append(iso("updated_at", promotions).alias("updated_at"))
     return promotions.select(*cols)
 
 
 def batch_view(batches: DataFrame) -> DataFrame:
     """Nullable finished_at stays NULL."""
     return batches.select("id", "vendor_id", "source_file", "status", "total_rows",
-                          "processed_rows", "failed_rows", iso("started_at").alias("started_at"),
-                          iso("finished_at").alias("finished_at"))
+                          "processed_rows", "failed_rows", iso("started_at", batches).alias("started_at"),
+                          iso("finished_at", batches).alias("finished_at"))
 
 
 def category_view(categories: DataFrame) -> DataFrame:
@@ -183,7 +191,7 @@ def category_view(categories: DataFrame) -> DataFrame:
     cols = [F.col("id"), F.col("name")]
     for c in ("created_at", "updated_at"):
         if c in categories.columns:
-            cols.append(iso(c).alias(c))
+            cols.append(iso(c, categories).alias(c))
     return categories.select(*cols)
 
 

@@ -83,3 +83,17 @@ def test_update_reprices_under_held_promotion(spark):
     r = catalog.update_products(prods, patch, promos).first()
     assert (r["base_price"], r["effective_price"], r["name"], r["stock_quantity"]) == \
         (Decimal("200.00"), Decimal("150.00"), "n", 1)
+
+
+def test_iso_text_is_utc_for_aware_timestamps(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        df = spark.sql("SELECT TIMESTAMP'2026-01-05 10:30:00.123' AS created_at, "
+                       "TIMESTAMP_NTZ'2026-01-05 10:30:00.123' AS updated_at, 'c' AS id, 'n' AS name")
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        r = catalog.category_view(df).first()
+        assert r["created_at"] == "2026-01-05T10:30:00.123Z"
+        assert r["updated_at"] == "2026-01-05T10:30:00.123Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
