@@ -105,3 +105,16 @@ def test_results_do_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert before == after
+
+
+def test_every_oracle_sql_runs_in_duckdb():
+    con = duckdb.connect()
+    for t in ("region nation customer supplier part orders lineitem events documents embeddings pages "
+              "benchmark labels conversations").split():
+        p = f"{SF}/{t}.parquet"
+        if os.path.exists(p):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    for name, sql in entry.oracle_sql().items():
+        rel = con.sql(sql)
+        assert rel.columns, name
+        rel.fetchall()
