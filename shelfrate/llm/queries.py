@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfrate.llm.common import prepare, table, values
 from shelfrate.llm.decontaminate import decontaminate
+from shelfrate.llm.mixing import mix
+from shelfrate.llm.mixing import oracle_sql as mixing_sql
 from shelfrate.llm.pii import find_pii
 from shelfrate.llm.quality_classifier import score_documents, train
 from shelfrate.llm.quality_rules import compression_rules
@@ -85,3 +88,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words and items in every document."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_words", "items")
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token weight, probability and sampling decision of every document."""
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"),
+                        F.coalesce("lang", F.lit("")).alias("lang"), F.col("_topic").alias("topic"),
+                        F.col("_tokens").alias("n_tokens"), F.round("_weight", 6).alias("weight"),
+                        F.round("_prob", 6).alias("prob"), F.col("_kept").alias("kept"))
+
+
+ORACLE["op9_mixing"] = mixing_sql()
