@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfrate.llm.common import prepare, table, values
 from shelfrate.llm.decontaminate import decontaminate
+from shelfrate.llm.html_extract import extract_main_text
 from shelfrate.llm.mixing import mix
 from shelfrate.llm.mixing import oracle_sql as mixing_sql
+from shelfrate.llm.near_dup import near_duplicates
 from shelfrate.llm.pii import find_pii
 from shelfrate.llm.quality_classifier import score_documents, train
 from shelfrate.llm.quality_rules import compression_rules
@@ -101,3 +103,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op9_mixing"] = mixing_sql()
+
+
+@query
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document (three words, similarity 0.85)."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
