@@ -14,6 +14,8 @@ from shelfrate.llm.near_dup import near_duplicates
 from shelfrate.llm.pii import find_pii
 from shelfrate.llm.quality_classifier import score_documents, train
 from shelfrate.llm.quality_rules import compression_rules
+from shelfrate.llm.substring_dedup import remove_repeats
+from shelfrate.llm.suffix_dedup import remove_repeated_bytes
 from shelfrate.llm.url_filter import judge_urls
 
 QUERIES: dict = {}
@@ -115,3 +117,15 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat an earlier passage of 20 words or more."""
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a string of 200 bytes found elsewhere."""
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"), keep_first=False).drop("spans", "kept")

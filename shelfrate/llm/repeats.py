@@ -28,6 +28,8 @@ from shelfrate.llm.winnow import anchor_runs
 
 # Contexts of one anchor that a map task sends on one by one.
 MAX_CONTEXTS = 64
+# Contexts of one anchor that are compared in one task; beyond it the windows are spread over all tasks.
+MAX_GROUP = 4096
 # What is known of a place: all its windows are repeated (WHOLE), its windows must be compared (COMPARE),
 # or both (BOTH: others are compared with it). MANY marks places of an anchor with very many contexts.
 WHOLE, COMPARE, BOTH, MANY = 1, 2, 3, 4
@@ -120,7 +122,7 @@ def decide(gram, context, doc, pos, places, keep_first: bool) -> tuple[np.ndarra
     of_context = np.cumsum(new_context) - 1
     total = np.add.reduceat(np.maximum(places, 0), starts)[of_context]
     contexts = np.add.reduceat((new_context & (places >= 0)).astype(np.int64), np.flatnonzero(new_gram))[group]
-    marked = marked[group]
+    marked = marked[group] | (contexts > MAX_GROUP)
     several = marked | (contexts > 1)
     state = np.zeros(n, np.int64)
     if keep_first:
