@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from shelfrate.llm.common import prepare, table, written
 from shelfrate.llm.decontaminate import decontaminate
-from shelfrate.llm.pii import find_pii, redact
+from shelfrate.llm.mixing import mix
+from shelfrate.llm.near_dup import near_duplicates
+from shelfrate.llm.pii import redact_documents
 from shelfrate.llm.quality_classifier import CUT, score_documents, train
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,9 +28,39 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where(F.col("score") >= CUT).select(*COLUMNS)
 
 
-STAGES = [("quality_classifier", quality_classifier)]
+def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document (the smallest id) of each group of near-duplicates: five words, similarity 0.8."""
+    prepare(spark)
+    # Rows that repeat an id are one document.
+    groups = near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
+    without_id = docs.where(F.col("doc_id").isNull()).select(*COLUMNS)
+    return (docs.join(groups, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+            .unionByName(without_id.dropDuplicates(["text"])))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop every document that holds a window of a benchmark item."""
+    prepare(spark)
+    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS)
+    return judged.where(~F.col("contaminated")).select(*COLUMNS)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every personal data span by its kind; ``n_chars`` follows the new text."""
+    prepare(spark)
+    return redact_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sample the documents to the raked source, language and topic weights."""
+    prepare(spark)
+    return (mix(docs).where("_kept").select(*COLUMNS, F.col("_topic").alias("topic"), F.col("_prob").alias("prob")))
+
+
+STAGES = [("quality_classifier", quality_classifier), ("near_dup", near_dup),
+          ("benchmark_decontamination", benchmark_decontamination), ("pii", pii), ("mixing", mixing)]
 
-# The classifier's training and the compression-free stages have no SQL form.
+# Training, the forest and the trees have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -100,6 +100,7 @@ def _digest(ids: list[str]) -> str:
 
 
 def _search_part(docs: DataFrame, items: list[tuple[str | None, str | None]]) -> DataFrame:
+    """Hits of ``docs`` (doc_id, text, further columns to carry) against some items."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     names = [c.split(" ")[0] for c in _SCHEMA.split(", ")]
     types = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32())]
@@ -118,23 +119,30 @@ def _search_part(docs: DataFrame, items: list[tuple[str | None, str | None]]) ->
                 rows.append((doc, len(words), n_hit, len(ids), _digest(ids), n_hit > 0, ids,
                              np.flatnonzero(hit).astype(np.int32)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            extra = range(2, batch.num_columns)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(c, t) for c, t in zip(cols, types, strict=True)], *[batch.column(i) for i in extra]],
+                names=[*names, *[batch.schema.names[i] for i in extra]])
 
-    return docs.mapInArrow(run, _SCHEMA)
+    carried = "".join(f", `{c}` {t}" for c, t in docs.dtypes[2:])
+    return docs.mapInArrow(run, _SCHEMA + carried)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text",
-                  max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
-    """Hit counts, items and hit word positions of every row of ``docs``."""
+                  carry: tuple[str, ...] = (), max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+    """Hit counts, items and hit word positions of every row of ``docs``, with the columns named in ``carry``."""
     items = (benchmark.select(F.col(item_col).cast("string").alias("item"),
                               F.col(item_text_col).cast("string").alias("text"))
              .where(F.col("text").isNotNull()).distinct())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(64)), F.lit(0))).head()[0]
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                      *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    named = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carry) if c != "doc_id"]
+    own = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_words"]
     n_parts = 1 + int(size) // max_pattern_bytes
     if n_parts == 1:
-        return _search_part(src, [(r.item, r.text) for r in items.collect()])
+        return _search_part(src, [(r.item, r.text) for r in items.collect()]).select(*own, *named)
     src = src.withColumn("_row", F.monotonically_increasing_id())
     part = F.pmod(F.xxhash64("item", "text"), F.lit(2 * n_parts))
     pieces = [_search_part(src.select(F.col("_row").alias("doc_id"), "text"),
@@ -147,8 +155,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"))
-    return (src.select("_row", "doc_id").join(merged, "_row")
+    return (src.drop("text").join(merged, "_row")
             .select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"),
                     F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-                    (F.size("hit_words") > 0).alias("contaminated"), "items", "hit_words"))
+                    (F.size("hit_words") > 0).alias("contaminated"), "items", "hit_words", *named))

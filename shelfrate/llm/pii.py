@@ -164,10 +164,15 @@ def _of_kind(spans: str, kind: str) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
-def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Strict spans by kind, and described proposals, of every row (one narrow pass)."""
+def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    carry: tuple[str, ...] = ()) -> DataFrame:
+    """Strict spans by kind, and described proposals, of every row (one narrow pass).
+
+    ``carry`` names input columns to keep; they come out as _c0, _c1, ...
+    """
     whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    src = docs.select(F.col(id_col).alias("_id"), F.when(whole.rlike(ANY), whole).otherwise("").alias("_t"))
+    src = docs.select(F.col(id_col).alias("_id"), F.when(whole.rlike(ANY), whole).otherwise("").alias("_t"),
+                      *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     needs = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
     t = F.col("_t")
     found = src
@@ -180,7 +185,7 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = [_strict_spans(k).alias(f"_b_{k}") for k in KINDS]
     cands = F.concat(*[_described(t, k, i, _located(F.col(f"_m{i}"), F.col(f"_g{i}")))
                        for i, (k, _, _) in enumerate(GENERATORS)])
-    return found.select("_id", *base, cands.alias("_cands"))
+    return found.select("_id", *base, cands.alias("_cands"), *[f"_c{i}" for i in range(len(carry))])
 
 
 def train_selector(candidates: DataFrame, precision: float = PRECISION) -> dict | None:
@@ -216,13 +221,9 @@ def train_selector(candidates: DataFrame, precision: float = PRECISION) -> dict
     return {"trees": model, "cuts": cuts}
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             candidates: DataFrame | None = None) -> DataFrame:
-    """Counts by kind, digest of the strict spans, all spans as text and as an array, of every row."""
-    cands = written(find_candidates(docs, id_col, text_col), "pii-candidates") if candidates is None else candidates
-    model = train_selector(cands)
+def select_spans(candidates: DataFrame, model: dict | None) -> DataFrame:
+    """``candidates`` with _spans, an array of all selected spans by kind and place, and _n_added."""
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    base = F.concat(*[F.col(f"_b_{k}") for k in KINDS])
     if model:
         def picked(c: Column) -> Column:
             score = as_column(model["trees"], [c[f] for f in FEATURES])
@@ -234,21 +235,41 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         plain = F.transform(F.filter("_cands", picked),
                             lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-        rank = lambda s: F.struct(s["end"] - s["start"], -s["start"], s["kind"])
-        # Of overlapping additions the longest stays, then the leftmost.
-        longest = F.filter("_more", lambda s: ~F.exists("_more", lambda o: _overlaps(o, s) & (rank(o) > rank(s))))
         more = F.when(F.size("_cands") > 0, plain).otherwise(empty)
     else:
-        longest, more = F.col("_more"), empty
-    rows = (cands.withColumn("_base", base).withColumn("_more", more)
+        more = empty
+    rank = lambda s: F.struct(s["end"] - s["start"], -s["start"], s["kind"])
+    # Of overlapping additions the longest stays, then the leftmost.
+    longest = F.filter("_more", lambda s: ~F.exists("_more", lambda o: _overlaps(o, s) & (rank(o) > rank(s))))
+    rows = (candidates.withColumn("_base", F.concat(*[F.col(f"_b_{k}") for k in KINDS])).withColumn("_more", more)
             .withColumn("_added", F.when(F.size("_more") > 1, F.array_distinct(longest)).otherwise(F.col("_more"))))
-    by_kind = [F.array_sort(F.concat(F.col(f"_b_{k}"), _of_kind("_added", k)))
-               for k in KINDS]
+    by_kind = [F.array_sort(F.concat(F.col(f"_b_{k}"), _of_kind("_added", k))) for k in KINDS]
+    return rows.withColumn("_spans", F.concat(*by_kind)).withColumn("_n_added", F.size("_added")).drop(
+        "_base", "_more", "_added")
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             candidates: DataFrame | None = None) -> DataFrame:
+    """Counts by kind, digest of the strict spans, all spans as text and as an array, of every row."""
+    cands = written(find_candidates(docs, id_col, text_col), "pii-candidates") if candidates is None else candidates
+    rows = select_spans(cands, train_selector(cands))
     return rows.select(
         F.col("_id").alias(id_col), *[F.size(f"_b_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(_joined([F.col(f"_b_{k}") for k in KINDS]).cast("binary"), 256).alias("base_sha256"),
-        _joined(by_kind).alias("spans"), F.size("_added").cast("long").alias("n_added"),
-        F.concat(*by_kind).alias("span_list"))
+        _joined([F.col("_spans")]).alias("spans"), F.col("_n_added").cast("long").alias("n_added"),
+        F.col("_spans").alias("span_list"))
+
+
+def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every selected span of the text replaced by its kind.
+
+    Two narrow passes over the text (training counts, then spans), no join.
+    """
+    model = train_selector(find_candidates(docs, id_col, text_col))
+    names = tuple(docs.columns)
+    rows = select_spans(find_candidates(docs, id_col, text_col, names), model)
+    return rows.select(*[(redact(F.col(f"_c{i}"), F.col("_spans")) if c == text_col else F.col(f"_c{i}")).alias(c)
+                         for i, c in enumerate(names)])
 
 
 def redact(text: Column, spans: Column) -> Column:
