@@ -110,8 +110,11 @@ def _seeds(search: Search):
 
 def decide(gram, context, doc, pos, places, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(gram, doc, pos, state) of the places of complete anchor groups that are repeated or must be compared."""
-    order = np.lexsort((pos, doc, context, places >= 0, gram))
-    gram, context, doc, pos, places = (x[order] for x in (gram, context, doc, pos, places))
+    order = np.lexsort((-places, pos, doc, context, places >= 0, gram))
+    cols = [x[order] for x in (gram, context, doc, pos, places)]
+    again = np.concatenate(([False], np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:4]])))
+    again[1:] &= cols[4][:-1] >= 0  # a repeated row is one place
+    gram, context, doc, pos, places = (c[~again] for c in cols)
     n = len(gram)
     new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
     group = np.cumsum(new_gram) - 1
