@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 
 from shelfrate.llm.common import written
 from shelfrate.llm.tokens import prefix_sums, stretch_hash
-from shelfrate.llm.winnow import anchor_runs
+from shelfrate.llm.winnow import Runs, anchor_runs
 
 # Contexts of one anchor that a map task sends on one by one.
 MAX_CONTEXTS = 64
 # Contexts of one anchor that are compared in one task; beyond it the windows are spread over all tasks.
 MAX_GROUP = 4096
+# Rows that a task combines or decides at a time.
+FLUSH = 1 << 18
 # What is known of a place: all its windows are repeated (WHOLE), its windows must be compared (COMPARE),
 # or both (BOTH: others are compared with it). MANY marks places of an anchor with very many contexts.
 WHOLE, COMPARE, BOTH, MANY = 1, 2, 3, 4
@@ -95,16 +97,23 @@ def combine(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, pos: np.ndar
 
 def _seeds(search: Search):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts, size = [], 0
+
+        def flush():
+            cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            if len(cols[0]):
+                yield from _seed_batch(combine(*cols, search.keep_first))
+
         for b in batches:
             values, at = search.symbols([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()])
             r = anchor_runs(values, at, search.length, search.gram)
             parts.append((r.gram, r.context, b.column(0).to_numpy(zero_copy_only=False)[r.doc], r.pos))
+            size += len(r.pos)
+            if size >= FLUSH:
+                yield from flush()
+                parts, size = [], 0
         if parts:
-            cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            parts.clear()
-            if len(cols[0]):
-                yield from _seed_batch(combine(*cols, search.keep_first))
+            yield from flush()
     return run
 
 
@@ -146,24 +155,31 @@ def decide(gram, context, doc, pos, places, keep_first: bool) -> tuple[np.ndarra
 
 
 def _decisions(search: Search):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-
-        def out(gram, doc, pos, state):
-            return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(doc), pa.array(pos),
-                                               pa.array(state.astype(np.int32))], names=["gram", "doc", "pos", "state"])
+    """Rows sorted by gram: decided ones pass, complete anchor groups are decided."""
+    def out(gram, doc, pos, state):
+        return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(doc), pa.array(pos),
+                                           pa.array(state.astype(np.int32))], names=["gram", "doc", "pos", "state"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for b in batches:
             cols = [b.column(i).to_numpy() for i in range(6)]
             done = np.flatnonzero(cols[5] > 0)
             if len(done):
                 yield out(cols[0][done], cols[2][done], cols[3][done], cols[5][done])
-            parts.append([c[cols[5] == 0] for c in cols[:5]])
+                cols = [c[cols[5] == 0] for c in cols]
+            if not len(cols[0]):
+                continue
+            parts.append(cols[:5])
+            size += len(cols[0])
+            if size >= FLUSH and cols[0][0] != cols[0][-1]:  # the last group may go on
+                whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                cut = int(np.searchsorted(whole[0], whole[0][-1]))
+                yield out(*decide(whole[0][:cut].view(np.uint64), *[c[:cut] for c in whole[1:]], search.keep_first))
+                parts, size = [[c[cut:] for c in whole]], len(whole[0]) - cut
         if parts:
-            cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            parts.clear()
-            if len(cols[0]):
-                yield out(*decide(cols[0].view(np.uint64), *cols[1:], search.keep_first))
+            whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            yield out(*decide(whole[0].view(np.uint64), *whole[1:], search.keep_first))
     return run
 
 
@@ -172,10 +188,20 @@ def find_seeds(docs: DataFrame, search: Search) -> DataFrame:
     seeds = docs.mapInArrow(_seeds(search), _SEED)
     # Decided rows need no grouping: they go to a partition by place.
     route = F.when(F.col("state") == 0, F.col("gram")).otherwise(F.xxhash64("doc", "pos"))
-    return (seeds.withColumn("route", route).repartition("route").drop("route")
+    return (seeds.withColumn("route", route).repartition("route").drop("route").sortWithinPartitions("gram")
             .mapInArrow(_decisions(search), "gram long, doc long, pos long, state int"))
 
 
+def window_rows(search: Search, values: np.ndarray, at: np.ndarray, runs: Runs, ids: np.ndarray) -> list[np.ndarray]:
+    """gram, window hash, id and start of every window of the runs."""
+    size = runs.last - runs.first + 1
+    start = np.repeat(runs.first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    doc = np.repeat(runs.doc, size)
+    begin = start + at[doc]
+    window = stretch_hash(prefix_sums(values), begin, begin + search.length)
+    return [np.repeat(runs.gram, size).view(np.int64), window.view(np.int64), ids[doc].astype(np.int64), start]
+
+
 def _windows(search: Search):
     """(gram, window, doc, start) of every window of the listed anchors of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,16 +209,8 @@ def _windows(search: Search):
             values, at = search.symbols([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()])
             r = anchor_runs(values, at, search.length, search.gram)
             r = r.take(listed(r.doc, r.pos, b.column(2).to_pylist()))
-            if not len(r.pos):
-                continue
-            size = r.last - r.first + 1
-            start = np.repeat(r.first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            doc = np.repeat(r.doc, size)
-            window = stretch_hash(prefix_sums(values), start + at[doc], start + at[doc] + search.length)
-            ids = b.column(0).to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(r.gram, size).view(np.int64)), pa.array(window.view(np.int64)),
-                 pa.array(ids.astype(np.int64)), pa.array(start)], names=["gram", "window", "doc", "start"])
+            rows = window_rows(search, values, at, r, b.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["gram", "window", "doc", "start"])
     return run
 
 
@@ -206,26 +224,32 @@ def listed(doc: np.ndarray, pos: np.ndarray, lists: list[list[int] | None]) -> n
     return np.flatnonzero(keep)
 
 
-def with_lists(docs: DataFrame, seeds: DataFrame, states: tuple[int, ...]) -> DataFrame:
-    """(doc, text, wanted) of the documents that have places in one of the states."""
-    lists = (seeds.where(F.col("state").isin(*states)).groupBy("doc")
-             .agg(F.collect_list("pos").alias("wanted")))  # bounded by the length of the document
-    return docs.join(lists, "doc").select("doc", "text", "wanted")
+def with_lists(docs: DataFrame, seeds: DataFrame, *states: tuple[int, ...]) -> DataFrame:
+    """(doc, text, wanted0, ...): the documents with places in any group of states, and the places by group."""
+    every = [s for group in states for s in group]
+    lists = seeds.where(F.col("state").isin(*every)).groupBy("doc").agg(  # bounded by the length of the document
+        *[F.collect_list(F.when(F.col("state").isin(*g), F.col("pos"))).alias(f"wanted{i}") for i, g in enumerate(states)])
+    return docs.join(lists, "doc").select("doc", "text", *[f"wanted{i}" for i in range(len(states))])
 
 
-def compare_windows(listed_docs: DataFrame, search: Search) -> DataFrame:
-    """(doc, start) of the repeated windows among all windows of the listed places."""
-    windows = written(listed_docs.mapInArrow(_windows(search), "gram long, window long, doc long, start long"), "windows")
-    groups = (windows.groupBy("gram", "window")
-              .agg(F.min(F.struct("doc", "start")).alias("lead"), F.max(F.struct("doc", "start")).alias("tail"))
+def repeated_windows(windows: DataFrame, search: Search) -> DataFrame:
+    """(doc, start) of the repeated ones of the written ``windows`` (gram, window, doc, start)."""
+    place = F.struct("doc", "start")
+    groups = (windows.groupBy("gram", "window").agg(F.min(place).alias("lead"), F.max(place).alias("tail"))
               .where(F.col("lead") != F.col("tail")))
     hits = windows.join(groups, ["gram", "window"])
     if search.keep_first:
-        hits = hits.where(F.struct("doc", "start") != F.col("lead"))
+        hits = hits.where(place != F.col("lead"))
     return hits.select("doc", "start")
 
 
-def window_starts(runs, wanted: np.ndarray) -> np.ndarray:
+def compare_windows(listed_docs: DataFrame, search: Search) -> DataFrame:
+    """(doc, start) of the repeated windows among all windows of the listed places."""
+    rows = listed_docs.mapInArrow(_windows(search), "gram long, window long, doc long, start long")
+    return repeated_windows(written(rows, "windows"), search)
+
+
+def window_starts(runs: Runs, wanted: np.ndarray) -> np.ndarray:
     """All window starts of the runs at the given indices."""
     first, size = runs.first[wanted], runs.last[wanted] - runs.first[wanted] + 1
     return np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)

@@ -7,53 +7,56 @@ import numpy as np
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
     """Dense ranks: equal keys share a rank, smaller keys have smaller ranks."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     out = np.empty(len(keys), np.uint64)
-    out[order] = np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]).astype(np.int64)))).astype(np.uint64)
+    out[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1]))).astype(np.uint64)
     return out
 
 
-def prefix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the suffix at each of ``starts`` by its first ``length`` bytes (8 at least).
+def prefix_keys(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Numbers ordered as the suffixes at ``starts`` by their first ``length`` bytes (8 at least).
 
-    Prefix doubling: ranks by 8 bytes, then 16, 32, ...; the last step joins
-    two overlapping stretches, so any length is reached exactly. Every start
-    must have ``length`` bytes after it.
+    Prefix multiplying: ranks by 8 bytes, then by as many stretches of the
+    last length as fit into 64 bits (three for up to two million bytes); the
+    last step lets stretches overlap, so any length is reached exactly.
+    Every start must have ``length`` bytes after it.
     """
     have, n = 8, len(data)
-    key = np.zeros(n - have + 1, np.uint64)
+    rank = np.zeros(n - have + 1, np.uint64)
     for j in range(have):
-        key = (key << np.uint64(8)) | data[j:n - have + 1 + j].astype(np.uint64)
-    rank = _ranks(key)
-    while have * 2 <= length:
-        m = len(rank) - have
-        rank = _ranks((rank[:m] << np.uint64(32)) | rank[have:have + m])
-        have *= 2
-    rest = length - have
-    return _ranks((rank[starts] << np.uint64(32)) | rank[starts + rest])
-
-
-def repeated_factors(data: np.ndarray, starts: np.ndarray, order_key: np.ndarray,
-                     length: int) -> tuple[np.ndarray, np.ndarray]:
+        rank = (rank << np.uint64(8)) | data[j:n - have + 1 + j].astype(np.uint64)
+    while True:
+        rank = _ranks(rank)
+        bits = int(rank.max()).bit_length() or 1
+        parts = min(64 // bits, -(-length // have))
+        last = parts * have >= length
+        steps = [min(k * have, length - have) if last else k * have for k in range(parts)]
+        at = starts if last else np.arange(len(rank) - steps[-1])
+        key = np.zeros(len(at), np.uint64)
+        for step in steps:
+            key = (key << np.uint64(bits)) | rank[at + step]
+        if last:
+            return key
+        rank, have = key, parts * have
+
+
+def repeated_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each start: is its longest previous factor, and is its longest next factor, at least ``length``?
 
-    Starts are placed in suffix order; neighbours with equal rank share
-    ``length`` bytes, so each rank is one stretch of the order. Walking away
-    from a start, the nearest smaller position (before or behind it in the
-    order) lies in its stretch if and only if it is not the stretch's
-    smallest position; then the longest previous factor reaches ``length``.
-    The mirror holds for larger positions. ``order_key`` is the position of
-    each start in the corpus.
+    ``starts`` are in corpus order. In suffix order, neighbours with equal
+    keys share ``length`` bytes, so each key is one stretch of the order.
+    The nearest smaller position before or behind a start in the suffix
+    order lies in its stretch exactly if the start is not the stretch's
+    smallest position; only then the longest previous factor reaches
+    ``length``. The mirror holds for larger positions.
     """
-    rank = prefix_ranks(data, starts, length)
-    order = np.lexsort((order_key, rank))
-    r, p = rank[order], order_key[order]
-    head = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-    group = np.cumsum(np.concatenate(([0], (r[1:] != r[:-1]).astype(np.int64))))
-    smallest = np.minimum.reduceat(p, head)[group]
-    largest = np.maximum.reduceat(p, head)[group]
+    key = prefix_keys(data, starts, length)
+    order = np.argsort(key)
+    ordered = key[order]
+    change = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    head, group = np.flatnonzero(change), np.cumsum(change) - 1
     previous, following = np.empty(len(starts), bool), np.empty(len(starts), bool)
-    previous[order] = p > smallest
-    following[order] = p < largest
+    previous[order] = order > np.minimum.reduceat(order, head)[group]
+    following[order] = order < np.maximum.reduceat(order, head)[group]
     return previous, following

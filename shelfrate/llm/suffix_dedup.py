@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfrate.llm.common import written
-from shelfrate.llm.repeats import (BOTH, COMPARE, MANY, WHOLE, Search, compare_windows, covered, find_seeds, listed,
-                                   with_lists)
+from shelfrate.llm.repeats import (BOTH, COMPARE, MANY, WHOLE, Search, covered, find_seeds, listed, repeated_windows,
+                                   window_rows, with_lists)
 from shelfrate.llm.substring_dedup import spans_of
 from shelfrate.llm.suffix_array import repeated_factors
 from shelfrate.llm.tokens import BYTE_TABLE, utf8
@@ -37,7 +37,7 @@ from shelfrate.llm.winnow import anchor_runs
 
 LENGTH, GRAM = 200, 64
 # Bytes of fragments whose suffixes a task sorts at a time, if its anchor groups allow.
-SORT_BYTES = 1 << 22
+SORT_BYTES = 1 << 20
 
 _OUT = ("doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "spans array<struct<start:int,end:int>>, kept binary")
@@ -50,39 +50,45 @@ def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fragments(search: Search):
-    """(gram, doc, start, bytes): the bytes of all windows of each listed place."""
+    """(gram, window, doc, start, bytes): the bytes of all windows of each place to be sorted, the digests of the others."""
+    names = ["gram", "window", "doc", "start", "bytes"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [utf8(t) for t in b.column(1).to_pylist()]
             values, at = byte_symbols(texts)
-            r = anchor_runs(values, at, search.length, search.gram)
-            r = r.take(listed(r.doc, r.pos, b.column(2).to_pylist()))
-            ids = b.column(0).to_numpy(zero_copy_only=False)[r.doc]
-            cut = [texts[d][s:e + search.length] for d, s, e in
-                   zip(r.doc.tolist(), r.first.tolist(), r.last.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r.gram.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(r.first),
-                 pa.array(cut, pa.binary())], names=["gram", "doc", "start", "bytes"])
+            runs = anchor_runs(values, at, search.length, search.gram)
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            r = runs.take(listed(runs.doc, runs.pos, b.column(2).to_pylist()))
+            if len(r.pos):
+                cut = [texts[d][s:e + search.length] for d, s, e in
+                       zip(r.doc.tolist(), r.first.tolist(), r.last.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(r.gram.view(np.int64)), pa.nulls(len(cut), pa.int64()), pa.array(ids[r.doc]),
+                     pa.array(r.first), pa.array(cut, pa.binary())], names=names)
+            r = runs.take(listed(runs.doc, runs.pos, b.column(3).to_pylist()))
+            if len(r.pos):
+                rows = [pa.array(x) for x in window_rows(search, values, at, r, ids)]
+                yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(rows[0]), pa.binary())], names=names)
     return run
 
 
 def _sorted_part(doc: np.ndarray, start: np.ndarray, pieces: list[bytes], search: Search):
     """(doc, first, last) runs of repeated window starts among the fragments of complete anchor groups."""
+    order = np.lexsort((start, doc))
+    fresh = np.concatenate(([True], (doc[order][1:] != doc[order][:-1]) | (start[order][1:] != start[order][:-1])))
+    order = order[fresh]  # a repeated row is one place
+    doc, start, pieces = doc[order], start[order], [pieces[i] for i in order]
     size = np.array([len(p) for p in pieces], np.int64)
     begin = np.cumsum(size) - size
     count = size - search.length + 1
     which = np.repeat(np.arange(len(pieces)), count)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    place = np.lexsort((start[which] + inner, doc[which]))
-    order_key = np.empty(len(which), np.int64)
-    d, s = doc[which][place], (start[which] + inner)[place]
-    order_key[place] = np.cumsum(np.concatenate(([0], ((d[1:] != d[:-1]) | (s[1:] != s[:-1])).astype(np.int64))))
-    previous, following = repeated_factors(np.frombuffer(b"".join(pieces), np.uint8), begin[which] + inner, order_key,
-                                           search.length)
+    previous, following = repeated_factors(np.frombuffer(b"".join(pieces), np.uint8), begin[which] + inner, search.length)
     hit = previous if search.keep_first else previous | following
-    new = hit & ~np.concatenate(([False], hit[:-1] & (which[1:] == which[:-1])))
-    end = hit & ~np.concatenate((hit[1:] & (which[1:] == which[:-1]), [False]))
-    first, last = np.flatnonzero(new), np.flatnonzero(end)
+    same = which[1:] == which[:-1]
+    first = np.flatnonzero(hit & ~np.concatenate(([False], hit[:-1] & same)))
+    last = np.flatnonzero(hit & ~np.concatenate((hit[1:] & same, [False])))
     return doc[which[first]], start[which[first]] + inner[first], start[which[last]] + inner[last]
 
 
@@ -149,11 +155,12 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     known = src.where(F.col("doc").isNotNull() & F.col("text").isNotNull())
     seeds = written(find_seeds(known, search), "seeds")
-    fragments = with_lists(known, seeds, (COMPARE, BOTH)).mapInArrow(
-        _fragments(search), "gram long, doc long, start long, bytes binary")
-    sorted_runs = (fragments.repartition("gram").sortWithinPartitions("gram")
+    places = written(with_lists(known, seeds, (COMPARE, BOTH), (MANY,)).mapInArrow(
+        _fragments(search), "gram long, window long, doc long, start long, bytes binary"), "fragments")
+    sorted_runs = (places.where(F.col("window").isNull()).select("gram", "doc", "start", "bytes")
+                   .repartition("gram").sortWithinPartitions("gram")
                    .mapInArrow(_sort_suffixes(search), "doc long, first long, last long"))
-    many = compare_windows(with_lists(known, seeds, (MANY,)), search)
+    many = repeated_windows(places.where(F.col("window").isNotNull()).select("gram", "window", "doc", "start"), search)
     found = sorted_runs.unionByName(many.select("doc", F.col("start").alias("first"), F.col("start").alias("last")))
     nothing = F.lit(None).cast("long")
     marks = seeds.where(F.col("state").isin(WHOLE, BOTH)).select(

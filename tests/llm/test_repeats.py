@@ -107,14 +107,15 @@ def test_long_text_in_pieces(monkeypatch):
         assert np.array_equal(getattr(whole, f), getattr(pieces, f)), f
 
 
-def test_longest_factors_against_brute_force():
-    rng = np.random.default_rng(8)
-    data = rng.integers(97, 99, 400).astype(np.uint8)
-    starts = np.arange(400 - 12 + 1)
-    previous, following = repeated_factors(data, starts, starts, 12)
+@pytest.mark.parametrize("length,letters,n", [(8, 2, 400), (12, 2, 400), (37, 1, 300), (200, 1, 900), (24, 2, 700)])
+def test_longest_factors_against_brute_force(length, letters, n):
+    rng = np.random.default_rng(length)
+    data = np.tile(rng.integers(97, 98 + letters, n // 2).astype(np.uint8), 2)
+    starts = np.arange(len(data) - length + 1)
+    previous, following = repeated_factors(data, starts, length)
     raw = data.tobytes()
     for s in starts:
-        same = [t for t in starts if raw[t:t + 12] == raw[s:s + 12]]
+        same = [t for t in starts if raw[t:t + length] == raw[s:s + length]]
         assert previous[s] == (min(same) < s) and following[s] == (max(same) > s)
 
 
