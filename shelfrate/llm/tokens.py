@@ -15,6 +15,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 # Separators of words: \x20 and \x09-\x0D.
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+# Bytes of texts that are hashed at a time (a longer text alone).
+CHUNK_BYTES = 1 << 19
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -52,8 +54,7 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts in one array, and the offset of each text in it (one more than texts)."""
+def _hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(data, np.uint8)
     word = ~_IS_SPACE[raw]
@@ -64,6 +65,22 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, begin)
 
 
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts in one array, and the offset of each text in it (one more than texts)."""
+    hashes, offsets, base, i = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0, 0
+    while i < len(texts):
+        j, size = i + 1, len(texts[i])
+        while j < len(texts) and size + len(texts[j]) <= CHUNK_BYTES:
+            size += len(texts[j])
+            j += 1
+        h, at = _hashed_words(texts[i:j])
+        hashes.append(h)
+        offsets.append(at[1:] + base)
+        base += len(h)
+        i = j
+    return np.concatenate(hashes), np.concatenate(offsets)
+
+
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct hashes of ``size``-word windows; a shorter sequence is one window, none is empty."""
     if not len(words):

@@ -18,7 +18,7 @@ from shelfrate.llm.tokens import mix, prefix_sums, stretch_hash
 _LOW = np.uint64(24)
 _MASK = np.uint64((1 << 24) - 1)
 # Windows handled at a time; below 2**24, which the position bits can number.
-SPAN = 1 << 21
+SPAN = 1 << 19
 
 
 @dataclass
