@@ -70,7 +70,7 @@ def object_key_parts(key) -> Column:
         else F.url_decode(F.regexp_replace(_c(key), r"\+", " "))
     parts = F.split(decoded, "/")
     rest = F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(1))), "/")
-    return F.struct(F.element_at(parts, 2).alias("vendor_id"),
+    return F.struct(F.try_element_at(parts, F.lit(2)).alias("vendor_id"),
                     F.when(F.size(parts) >= 3, rest).otherwise(F.lit("")).alias("source_file"))
 
 

@@ -128,9 +128,13 @@ def chunk_index(n: int = DEFAULT_CHUNK_SIZE, row_index: str = "row_index") -> Co
     return F.floor(F.col(row_index) / F.lit(n)).cast("bigint")
 
 
-def latest_per_key(df: DataFrame, key: str, order_col: str = "row_index") -> DataFrame:
-    """The later row wins per key (top-1 with a partial, map-side limit)."""
-    return rules.top1_per_key(df, key, [F.col(order_col).desc()])
+# Feed order over several files: arrival of the file, its path, place in the file.
+FEED_ORDER = ("arrival", "source_file", "row_index")
+
+
+def latest_per_key(df: DataFrame, key: str) -> DataFrame:
+    """The later row wins per key (top-1 with a partial, map-side limit); of several files the later one."""
+    return rules.top1_per_key(df, key, [F.col(c).desc_nulls_last() for c in FEED_ORDER if c in df.columns])
 
 
 def resolve_categories(ok_rows: DataFrame, categories: DataFrame) -> DataFrame:
@@ -159,8 +163,12 @@ def upsert_products(products: DataFrame, ok_rows: DataFrame, category_ids: DataF
     * untouched products pass through.
 
     With ``update_effective=False`` (M14, seed) updates keep the stored
-    effective price. Output adds ``change`` in INSERT/UPDATE/NONE.
+    effective price. Output adds ``change`` in INSERT/UPDATE/NONE. Time
+    columns of ``products`` (created_at, updated_at,
+    effective_price_updated_at) come out stamped with ``at`` on the rows
+    that the feed inserts or updates, and as they were on all others.
     """
+    stamps = [c for c in ("effective_price_updated_at", "created_at", "updated_at") if c in products.columns]
     incoming = latest_per_key(ok_rows, "sku")  # W4: later row wins (Q6)
     cats = category_ids.select(F.col("name").alias("__cname"), F.col("id").alias("__cid"))
     incoming = join_small(incoming, cats, incoming["category_name"] == cats["__cname"], "left")
@@ -170,12 +178,12 @@ def upsert_products(products: DataFrame, ok_rows: DataFrame, category_ids: DataF
         F.col("stock_qty").alias("__stock"))
     cur = products.select(F.col("id").cast("string").alias("id"), "sku", "name",
                           F.col("category_id").cast("string").alias("category_id"),
-                          "base_price", "stock_quantity", "active_promotion_id", "effective_price")
+                          "base_price", "stock_quantity", "active_promotion_id", "effective_price", *stamps)
     # The held promotion, only when ACTIVE and inside its window.
     held = promotions.filter(rules.is_live_strict(at)).select(
         F.col("id").alias("__hid"), F.col("discount_type").alias("__htype"),
         F.col("discount_value").alias("__hvalue"))
-    inc, small_feed = measure(inc, FEED_BROADCAST_ROWS)  # written once, reused below
+    inc, small_feed = measure(inc, FEED_BROADCAST_ROWS, FEED_BROADCAST_BYTES)
     if small_feed:
         j = _upsert_join_small_feed(cur, inc, held)
     else:
@@ -198,13 +206,16 @@ def upsert_products(products: DataFrame, ok_rows: DataFrame, category_ids: DataF
         F.when(F.col("__sku").isNotNull(), F.col("__stock")).otherwise(F.col("stock_quantity")).alias("stock_quantity"),
         F.when(is_new, F.lit(None)).otherwise(F.col("active_promotion_id")).alias("active_promotion_id"),
         eff.cast("decimal(12,2)").alias("effective_price"),
+        *[F.when(is_new if c == "created_at" or (c != "updated_at" and not update_effective) else is_new | is_upd,
+                 at.cast("timestamp")).otherwise(F.col(c)).alias(c) for c in stamps],
         F.when(is_new, F.lit("INSERT")).when(is_upd, F.lit("UPDATE")).otherwise(F.lit("NONE")).alias("change"),
     )
 
 
-# Feeds up to this many distinct skus are broadcast, so the catalogue is
-# never shuffled by an ingest (a feed is ~100 bytes per row here).
+# Feeds up to this many distinct skus and bytes are broadcast, so the
+# catalogue is not shuffled by an ingest of usual size.
 FEED_BROADCAST_ROWS = 1_000_000
+FEED_BROADCAST_BYTES = 192 * 2**20
 
 
 def _upsert_join_small_feed(cur: DataFrame, inc: DataFrame, held: DataFrame) -> DataFrame:

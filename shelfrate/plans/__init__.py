@@ -7,6 +7,7 @@ def load_catalog():
     from shelfrate.plans import pricing_queries  # noqa: F401
     from shelfrate.plans import materialize_queries  # noqa: F401
     from shelfrate.plans import feed_queries  # noqa: F401
+    from shelfrate.plans import ingest_queries  # noqa: F401
     from shelfrate.plans import listing_queries  # noqa: F401
     from shelfrate.plans import source_queries  # noqa: F401
     from shelfrate.plans import quality_queries  # noqa: F401

@@ -211,3 +211,79 @@ def test_upsert_large_feed_path_matches_small(spark):
     finally:
         fd.FEED_BROADCAST_ROWS = old
     assert small == large and len(small) > 200
+
+
+HEADER = "sku,name,category_name,base_price,stock_quantity"
+
+
+def test_ingest_loses_nothing(spark, tmp_dir):
+    """A folder with a space, one sku in two files, an empty and a header-only file, a missing file, odd headers."""
+    inbox = os.path.join(tmp_dir, "raw", "acme corp")
+    store = SnapshotStore(spark, os.path.join(tmp_dir, "store"))
+    files = {
+        "a.csv": [HEADER, "X,x0,C,1.00,1", "Y,y0,C,2.00,1", "S,old,C,10.00,1"],
+        "b 1+2%.csv": [HEADER, "S,new,C,20.00,2"],
+        "quoted.csv": ['﻿"sku","na,me","name",category_name,base_price,"stock_quantity"', 'Q,z,q,C,5.00,1'],
+        "twice.csv": [HEADER + ",name", "T,first,C,1.00,1,last"],
+        "header.csv": [HEADER], "nothing.csv": []}
+    paths = {n: _write(inbox, n, lines) for n, lines in files.items()}
+    arrivals = [(p, "acme corp", f"f{i}.csv", i) for i, p in enumerate(paths.values())]
+    arrivals.append((os.path.join(inbox, "gone.csv"), "acme corp", "gone.csv", 99))
+    out = ingest_files(spark, store, _arrivals(spark, arrivals), F.lit(AT))
+    assert (out["files"], out["failed"]) == (7, 1)
+    prods = {r["sku"]: r["name"] for r in store.read("products").collect()}
+    assert prods == {"X": "x0", "Y": "y0", "S": "new", "Q": "q", "T": "last"}
+    got = {r["source_file"]: (r["status"], r["total_rows"]) for r in store.read("ingest_batches").collect()}
+    assert got == {"f0.csv": ("COMPLETED", 3), "f1.csv": ("COMPLETED", 1), "f2.csv": ("COMPLETED", 1),
+                   "f3.csv": ("COMPLETED", 1), "f4.csv": ("COMPLETED", 0), "f5.csv": ("COMPLETED", 0),
+                   "gone.csv": ("FAILED", None)}
+    # a later feed changes only the rows it names
+    before = {r["sku"]: r["updated_at"] for r in store.read("products").collect()}
+    more = _write(inbox, "more.csv", [HEADER, "X,x1,C,3.00,1"])
+    later = dt.datetime(2026, 6, 1)
+    ingest_files(spark, store, _arrivals(spark, [(more, "acme corp", "more.csv", 100)]), F.lit(later))
+    after = {r["sku"]: (r["name"], r["updated_at"], r["created_at"]) for r in store.read("products").collect()}
+    assert after["X"][0] == "x1" and after["X"][1] != before["X"] and after["X"][2] == before["X"]
+    assert all(after[k][1] == before[k] for k in "YSQT")
+
+
+def test_rewritten_file_is_read_anew(spark, tmp_dir):
+    from shelfrate.sources.feed_csv import read_feed
+    p = _write(tmp_dir, "f.csv", [HEADER, "A,a,C,1.00,1"])
+    assert read_feed(spark, [p]).count() == 1
+    _write(tmp_dir, "f.csv", [HEADER, "A,a,C,1.00,1", "B,b,C,1.00,1"])
+    assert read_feed(spark, [p]).count() == 2
+
+
+def test_failed_write_is_recovered(spark, tmp_dir):
+    """A write that breaks off publishes nothing and does not disturb the next one."""
+    store = SnapshotStore(spark, os.path.join(tmp_dir, "store"))
+    store.write_all({"a": spark.range(1), "b": spark.range(1)})
+    broken = spark.range(3).select(F.raise_error(F.lit("broken")).cast("long").alias("id"))
+    try:
+        store.write_all({"a": spark.range(2), "b": broken})
+        raise AssertionError("the write must fail")
+    except Exception as e:  # noqa: BLE001
+        assert "broken" in str(e)
+    assert (store.read("a").count(), store.read("b").count()) == (1, 1)
+    store.write_all({"a": spark.range(2), "b": spark.range(2)})
+    assert (store.read("a").count(), store.read("b").count()) == (2, 2)
+
+
+def test_synthetic_sku_is_never_cut(spark):
+    from shelfrate.sources.synthetic import synthetic_rows
+    rows = synthetic_rows(spark.createDataFrame([(123456789,), (123456780,), (7,)], "i long")).collect()
+    assert [r["sku"][-9:] for r in rows] == ["123456789", "123456780", "-00000007"]
+
+
+def test_measure_keeps_nothing_large(spark):
+    from shelfrate.plans.joins import measure, release_measured
+    release_measured()
+    def cached():
+        return spark.sparkContext._jsc.getPersistentRDDs().size()
+    start = cached()
+    assert measure(spark.range(1000).selectExpr("id + 1 as a"), 10)[1] is False and cached() == start
+    assert measure(spark.range(50).selectExpr("id + 2 as a"), 100, 1)[1] is False and cached() == start
+    assert measure(spark.range(50).selectExpr("id + 3 as a"), 100)[1] is True and cached() == start + 1
+    release_measured()
+    assert cached() == start
