@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 
 from shelfrate.functions.money import as_money, effective_price
 from shelfrate.operators import rules
+from shelfrate.operators.quality import cancel_errors, promotion_request_errors
 from shelfrate.plans.joins import join_small
 
 # Fixed value (must equal the reference's): cache invalidation group size.
 INVALIDATE_CHUNK = 1000
 
 
+def stamped(products: DataFrame, hit: Column, at: Column | None) -> DataFrame:
+    """The time columns that ``products`` has, set to ``at`` on the rows whose price a job changed."""
+    cols = [c for c in ("effective_price_updated_at", "updated_at") if c in products.columns and at is not None]
+    return products.withColumns({c: F.when(hit, at.cast(dict(products.dtypes)[c])).otherwise(F.col(c)) for c in cols})
+
+
 def _one_per_category(to_apply: DataFrame) -> DataFrame:
     """Several promotions for one category: the last applied (newest) wins."""
     cat = to_apply.filter(F.col("scope") == "CATEGORY")
@@ -70,12 +77,15 @@ def apply_category(products: DataFrame, promotions: DataFrame, to_apply: DataFra
                         F.when(hit, effective_price("base_price", "__type", "__value"))
                          .otherwise(F.col("effective_price")))
             .drop("__cat", "__promo", "__type", "__value", "__held_live"))
+    out = stamped(out, F.col("changed"), at)
     return out, out.filter("changed").select("id")
 
 
-def category_links(products: DataFrame, to_apply: DataFrame, links: DataFrame | None = None) -> DataFrame:
+def category_links(products: DataFrame, to_apply: DataFrame, links: DataFrame | None = None,
+                   at: Column | None = None) -> DataFrame:
     """M3: link rows (product_id, promotion_id) for *all* products of the
-    category, insert-ignore against existing ``links``."""
+    category, insert-ignore against existing ``links``; with ``at`` they
+    carry it as ``applied_at``."""
     cats = to_apply.filter(F.col("scope") == "CATEGORY").select(
         F.col("target_category_id").alias("__cat"), F.col("id").alias("promotion_id"))
     new = join_small(products.select(F.col("id").alias("product_id"), "category_id"), cats,
@@ -85,12 +95,14 @@ def category_links(products: DataFrame, to_apply: DataFrame, links: DataFrame |
     if links is not None:
         new = new.join(links.select("product_id", "promotion_id"), ["product_id", "promotion_id"],
                        "left_anti")
-    return new
+    return new if at is None else new.withColumn("applied_at", at)
 
 
-def revert_category(products: DataFrame, reverted_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+def revert_category(products: DataFrame, reverted_ids: DataFrame,
+                    at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """M5: products holding a reverted promotion fall back to base price and
-    no promotion (links are kept). ``reverted_ids`` has column ``id``."""
+    no promotion (links are kept). ``reverted_ids`` has column ``id``; time
+    columns of the products are set to ``at`` when it is given."""
     rv = reverted_ids.select(F.col("id").alias("__rv")).distinct()
     p = join_small(products, rv, products["active_promotion_id"] == rv["__rv"], "left",
                    big_key="active_promotion_id")
@@ -99,22 +111,35 @@ def revert_category(products: DataFrame, reverted_ids: DataFrame) -> tuple[DataF
             .withColumn("active_promotion_id", F.when(hit, F.lit(None)).otherwise(F.col("active_promotion_id")))
             .withColumn("effective_price", F.when(hit, as_money("base_price")).otherwise(F.col("effective_price")))
             .drop("__rv"))
+    out = stamped(out, F.col("changed"), at)
     return out, out.filter("changed").select("id")
 
 
-def cancel_promotions(promotions: DataFrame, cancel_ids: DataFrame) -> DataFrame:
-    """Status flip to CANCELLED (first half of M6/M7)."""
+def cancel_refusals(promotions: DataFrame, cancel_ids: DataFrame) -> DataFrame:
+    """(id, reason) of the cancellations that are refused: unknown or already cancelled promotions."""
+    wanted = cancel_ids.select(F.col("id").alias("__cx")).distinct()
+    j = wanted.join(promotions.select("id", "status"), F.col("__cx") == F.col("id"), "left")
+    reason = F.when(F.col("id").isNull(), F.concat(F.lit("Promotion "), F.col("__cx").cast("string"), F.lit(" not found"))
+                    ).otherwise(cancel_errors())
+    return j.select(F.col("__cx").alias("id"), reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def cancel_promotions(promotions: DataFrame, cancel_ids: DataFrame, at: Column | None = None) -> DataFrame:
+    """Status flip to CANCELLED (first half of M6/M7); refused ones (V16) stay as they are."""
     c = cancel_ids.select(F.col("id").alias("__cx")).distinct()
     p = join_small(promotions, c, promotions["id"] == c["__cx"], "left")
-    return (p.withColumn("status", F.when(F.col("__cx").isNotNull(), F.lit("CANCELLED"))
-                         .otherwise(F.col("status"))).drop("__cx"))
+    hit = F.col("__cx").isNotNull() & (F.col("status") != "CANCELLED")
+    if at is not None and "updated_at" in promotions.columns:
+        p = p.withColumn("updated_at", F.when(hit, at.cast(dict(promotions.dtypes)["updated_at"]))
+                         .otherwise(F.col("updated_at")))
+    return p.withColumn("status", F.when(hit, F.lit("CANCELLED")).otherwise(F.col("status"))).drop("__cx")
 
 
 def cancel_product(products: DataFrame, promotions: DataFrame, cancel_ids: DataFrame,
                    at: Column) -> tuple[DataFrame, DataFrame]:
     """M6: cancel PRODUCT promotions; every carrier is re-evaluated with the
     winner rule (W1) over the remaining live promotions, else base price."""
-    promos_after = cancel_promotions(promotions, cancel_ids)
+    promos_after = cancel_promotions(promotions, cancel_ids, at)
     cx = cancel_ids.select(F.col("id").alias("__cx")).distinct()
     p = join_small(products, cx, products["active_promotion_id"] == cx["__cx"], "left",
                    big_key="active_promotion_id")
@@ -127,14 +152,15 @@ def cancel_product(products: DataFrame, promotions: DataFrame, cancel_ids: DataF
                                                                 "discount_value"))
                  .withColumn("changed", F.lit(True))
                  .drop("winner_id", "winner_scope", "discount_type", "discount_value"))
+    redone = stamped(redone, F.lit(True), at)
     out = others.unionByName(redone.select(*others.columns))
     return out, redone.select("id")
 
 
-def cancel_category(products: DataFrame, promotions: DataFrame, cancel_ids: DataFrame):
+def cancel_category(products: DataFrame, promotions: DataFrame, cancel_ids: DataFrame, at: Column | None = None):
     """M7: status flip + M5 revert. Returns (promotions, products, change set)."""
-    promos_after = cancel_promotions(promotions, cancel_ids)
-    snap, changes = revert_category(products, cancel_ids)
+    promos_after = cancel_promotions(promotions, cancel_ids, at)
+    snap, changes = revert_category(products, cancel_ids, at)
     return promos_after, snap, changes
 
 
@@ -151,26 +177,53 @@ def invalidation_keys(change_set: DataFrame, id_col: str = "id") -> DataFrame:
         F.floor((F.col("__rn") - 1) / F.lit(INVALIDATE_CHUNK)).cast("bigint").alias("group_index"))
 
 
-def admitted_status_and_links(admitted: DataFrame, at: Column) -> DataFrame:
-    """M10/M11 tail: initial status from the start time."""
-    return admitted.withColumn("status", rules.initial_status(at))
+def request_refusals(requests: DataFrame, products: DataFrame, at: Column,
+                     categories: DataFrame | None = None) -> DataFrame:
+    """(id, reason) of the requests that are refused before any conflict is looked for.
+
+    The form of the request and its window come first; then its target must
+    exist (a category: in ``categories``, by default among the products').
+    """
+    form = requests.withColumn("discount_value", F.col("discount_value").cast("string"))
+    if "name" not in form.columns:
+        form = form.withColumn("name", F.col("id").cast("string"))
+    form = form.withColumn("reason", promotion_request_errors(at))
+    bad = form.filter(F.col("reason").isNotNull()).select("id", "reason")
+    good = form.filter(F.col("reason").isNull())
+    known = {"PRODUCT": products.select(F.col("id").alias("__key")),
+             "CATEGORY": (categories.select(F.col("id").alias("__key")) if categories is not None
+                          else products.select(F.col("category_id").alias("__key")).distinct())}
+    for scope, target in (("PRODUCT", "target_product_id"), ("CATEGORY", "target_category_id")):
+        asked = good.filter(F.col("scope") == scope)
+        gone = asked.join(known[scope], asked[target] == F.col("__key"), "left_anti")
+        bad = bad.unionByName(gone.select("id", F.concat(
+            F.lit(scope.capitalize() + " "), F.col(target).cast("string"), F.lit(" not found")).alias("reason")))
+    return bad
 
 
 def create_promotions(requests: DataFrame, promotions: DataFrame, products: DataFrame,
-                      at: Column) -> dict:
+                      at: Column, categories: DataFrame | None = None) -> dict:
     """M10 + M11 over a set of creation requests (batch form of the API).
 
-    Requests are admitted serially per target (M12). Admitted ones become
-    promotions with status ACTIVE (window started) or SCHEDULED (X8).
-    PRODUCT promotions always get a link row and, when ACTIVE, re-price their
-    product; ACTIVE CATEGORY promotions are applied to their category (M3 +
-    M4). Returns ``decisions``, ``promotions`` (existing + created),
-    ``products`` (new snapshot), ``links`` (new link rows).
+    Refused requests (``request_refusals``) come back as decisions with
+    their reason; the others are admitted serially per target (M12).
+    Admitted ones become promotions with status ACTIVE (window started) or
+    SCHEDULED (X8). PRODUCT promotions always get a link row and, when
+    ACTIVE, re-price their product; ACTIVE CATEGORY promotions are applied
+    to their category (M3 + M4). Returns ``decisions``, ``promotions``
+    (existing + created), ``products`` (new snapshot), ``links`` (new link
+    rows).
     """
     from shelfrate.operators.admission import admit
 
-    decisions = admit(requests, promotions, products)
-    created = (requests.join(decisions.filter("admitted").select("id"), "id", "left_semi")
+    refused = request_refusals(requests, products, at, categories).checkpoint(eager=True)
+    valid = requests.join(refused.select("id"), "id", "left_anti")
+    admitted = admit(valid, promotions, products)
+    decisions = admitted.unionByName(
+        requests.select("id", "scope").join(refused, "id").select(
+            "id", "scope", F.lit(False).alias("admitted"), "reason",
+            F.lit(None).cast(dict(admitted.dtypes)["conflicting_promotion_id"]).alias("conflicting_promotion_id")))
+    created = (valid.join(admitted.filter("admitted").select("id"), "id", "left_semi")
                .withColumn("status", rules.initial_status(at)).drop("arrival"))
     all_promos = promotions.unionByName(created, allowMissingColumns=True)
     active = created.filter(F.col("status") == "ACTIVE")
@@ -181,14 +234,15 @@ def create_promotions(requests: DataFrame, promotions: DataFrame, products: Data
         F.col("discount_type").alias("__nt"), F.col("discount_value").alias("__nv"))
     p = join_small(products, prod_new, products["id"] == prod_new["__tp"], "left")
     hit = F.col("__np").isNotNull()
-    p = (p.withColumn("active_promotion_id", F.when(hit, F.col("__np")).otherwise(F.col("active_promotion_id")))
-          .withColumn("effective_price", F.when(hit, effective_price("base_price", "__nt", "__nv"))
-                      .otherwise(F.col("effective_price")))
-          .drop("__tp", "__np", "__nt", "__nv"))
+    p = (stamped(p, hit, at)
+         .withColumn("active_promotion_id", F.when(hit, F.col("__np")).otherwise(F.col("active_promotion_id")))
+         .withColumn("effective_price", F.when(hit, effective_price("base_price", "__nt", "__nv"))
+                     .otherwise(F.col("effective_price")))
+         .drop("__tp", "__np", "__nt", "__nv"))
     cat_active = active.filter(F.col("scope") == "CATEGORY")
     snap, _ = apply_category(p, all_promos, cat_active, at)
     links = (created.filter(F.col("scope") == "PRODUCT").select(
-        F.col("target_product_id").alias("product_id"), F.col("id").alias("promotion_id"))
-        .unionByName(category_links(products, cat_active)))
+        F.col("target_product_id").alias("product_id"), F.col("id").alias("promotion_id"), at.alias("applied_at"))
+        .unionByName(category_links(products, cat_active, at=at)))
     return {"decisions": decisions, "promotions": all_promos, "products": snap.drop("changed"),
             "links": links}

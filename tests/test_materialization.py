@@ -190,3 +190,38 @@ def test_create_promotions_batch(spark):
     assert status["s"] == "SCHEDULED" and status["a"] == "ACTIVE"
     links = {(r["product_id"], r["promotion_id"]) for r in out["links"].collect()}
     assert ("p1", "a") in links and ("p2", "s") in links
+
+
+def test_refused_requests_create_nothing(spark):
+    """Unknown targets, ended windows and malformed requests come back with their reason."""
+    stamp = dt.datetime(2020, 1, 1)
+    prods = spark.createDataFrame([("p1", "cat-1", Decimal("100.00"), None, Decimal("100.00"), stamp, stamp)],
+                                  "id string, category_id string, base_price decimal(12,2), active_promotion_id string, "
+                                  "effective_price decimal(12,2), effective_price_updated_at timestamp, updated_at timestamp")
+    d1, d2, old = dt.datetime(2026, 1, 1), dt.datetime(2026, 2, 1), dt.datetime(2025, 2, 1)
+    req = spark.createDataFrame(
+        [("nope", "n", "PERCENTAGE", Decimal("25"), "PRODUCT", "NOPE", None, d1, d2, d1, 1),
+         ("nocat", "n", "PERCENTAGE", Decimal("25"), "CATEGORY", None, "cat-9", d1, d2, d1, 2),
+         ("late", "n", "PERCENTAGE", Decimal("25"), "PRODUCT", "p1", None, dt.datetime(2025, 1, 1), old, d1, 3),
+         ("empty", "n", "PERCENTAGE", Decimal("25"), "PRODUCT", "p1", None, d2, d2, d1, 4),
+         ("both", "n", "PERCENTAGE", Decimal("25"), "PRODUCT", "p1", "cat-1", d1, d2, d1, 5),
+         ("good", "n", "PERCENTAGE", Decimal("25"), "PRODUCT", "p1", None, d1, d2, d1, 6)],
+        "id string, name string, discount_type string, discount_value decimal(12,2), scope string, "
+        "target_product_id string, target_category_id string, starts_at timestamp, ends_at timestamp, "
+        "created_at timestamp, arrival long")
+    out = promote.create_promotions(req, spark.createDataFrame([], PSCHEMA), prods, F.lit(NOW))
+    dec = {r["id"]: (r["admitted"], r["reason"]) for r in out["decisions"].collect()}
+    assert dec["good"] == (True, None) and dec["nope"] == (False, "Product NOPE not found")
+    assert dec["nocat"] == (False, "Category cat-9 not found") and dec["late"] == (False, "endsAt must be in the future")
+    assert dec["empty"][1].startswith("endsAt: ") and dec["both"][1].startswith("scope: ")
+    assert [r["id"] for r in out["promotions"].collect()] == ["good"]
+    p1 = out["products"].first()
+    assert p1["effective_price"] == Decimal("75.00") and p1["updated_at"] == p1["effective_price_updated_at"] != stamp
+    assert [(r["promotion_id"], r["applied_at"] is not None) for r in out["links"].collect()] == [("good", True)]
+
+
+def test_cancel_refusals(spark):
+    promos = spark.createDataFrame([("a", "ACTIVE"), ("c", "CANCELLED"), ("e", "EXPIRED")], "id string, status string")
+    ids = spark.createDataFrame([("a",), ("c",), ("e",), ("x",)], "id string")
+    got = {r["id"]: r["reason"] for r in promote.cancel_refusals(promos, ids).collect()}
+    assert got == {"c": "Promotion is already cancelled", "x": "Promotion x not found"}
