@@ -128,6 +128,7 @@ def register_sql_functions(spark: SparkSession) -> None:
             base_price DECIMAL(12,2), d_type STRING, d_value DECIMAL(12,2))
         RETURNS DECIMAL(12,2)
         RETURN CAST(CASE
+            WHEN base_price IS NULL THEN NULL
             WHEN d_type IS NULL THEN round(base_price, 2)
             ELSE greatest(round(CASE
                 WHEN d_type = 'PERCENTAGE' THEN base_price * (100 - d_value) * 0.01

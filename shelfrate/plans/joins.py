@@ -15,23 +15,33 @@ from pyspark.sql import functions as F
 # Rows we are willing to replicate to every executor. A per-category or
 # per-promotion summary row is ~100 bytes, so this is ~20 MB at most.
 DEFAULT_BROADCAST_ROWS = 200_000
+DEFAULT_BROADCAST_BYTES = 64 * 2**20
 
 
 _MEASURED: list[DataFrame] = []
 
 
-def measure(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Compute a (reduced) side once and check its exact row count.
+def measure(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+            max_bytes: int = DEFAULT_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Check the exact size of a (reduced) side against a bound of rows and bytes.
 
-    The side is persisted (memory, spilling to disk) while it is counted,
-    so the join that follows reuses it instead of recomputing the reduction
-    (a second scan of the source table at scale). A lost block is recomputed
-    from lineage. ``release_measured()`` unpersists them at the end of a job.
+    At most ``max_rows`` + 1 rows are computed and cached; only a side within
+    both bounds stays cached, so that the join that follows reads it instead
+    of reducing its source again. A larger side is returned as it came, with
+    nothing kept. ``release_measured()`` unpersists at the end of a job.
     Returns (frame, fits bound).
     """
-    fixed = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _MEASURED.append(fixed)
-    return fixed, fixed.limit(max_rows + 1).count() <= max_rows
+    head = df.limit(max_rows + 1).persist(StorageLevel.MEMORY_AND_DISK)
+    if head.count() <= max_rows and _cached_bytes(head) <= max_bytes:
+        _MEASURED.append(head)
+        return head, True
+    head.unpersist()
+    return df, False
+
+
+def _cached_bytes(df: DataFrame) -> int:
+    """Bytes of a frame that has been cached in full."""
+    return int(df.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def persist_for_job(df: DataFrame) -> DataFrame:
@@ -48,10 +58,6 @@ def release_measured() -> None:
         _MEASURED.pop().unpersist()
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
                max_rows: int = DEFAULT_BROADCAST_ROWS, salt_buckets: int = 0,
                salt_source: Column | None = None, small_key: str | None = None,

@@ -18,6 +18,11 @@ SKU_WIDTH = 8
 NAME_PREFIX = "Synthetic Product "
 
 
+def padded(text, width: int):
+    """Zeros in front up to ``width``; longer text stays whole (lpad would cut it)."""
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def synthetic_rows(idx: DataFrame, i_col: str = "i") -> DataFrame:
     """Feed text columns for every row number in ``idx[i_col]``.
 
@@ -30,7 +35,7 @@ def synthetic_rows(idx: DataFrame, i_col: str = "i") -> DataFrame:
     cats = F.array(*[F.lit(c) for c in SYNTHETIC_CATEGORIES])
     return idx.select(
         i.alias("row_index"),
-        F.concat(F.lit(SKU_PREFIX), F.lpad(i.cast("string"), SKU_WIDTH, "0")).alias("sku"),
+        F.concat(F.lit(SKU_PREFIX), padded(i.cast("string"), SKU_WIDTH)).alias("sku"),
         F.concat(F.lit(NAME_PREFIX), i.cast("string")).alias("name"),
         F.element_at(cats, (i % len(SYNTHETIC_CATEGORIES) + 1).cast("int")).alias("category_name"),
         base.cast("string").alias("base_price"),
