@@ -57,6 +57,14 @@ def product_create_errors() -> Column:
                          _int_min0("stock_quantity", "stockQuantity")])
 
 
+def category_create_errors(requests: DataFrame, categories: DataFrame) -> DataFrame:
+    """V8 + V12: ``requests`` (with ``name``) and ``error``: a bad length, or a name that is taken."""
+    taken = categories.select(F.col("name").alias("__taken")).distinct()
+    j = requests.join(taken, requests["name"] == taken["__taken"], "left")
+    exists = F.when(F.col("__taken").isNotNull(), F.concat(F.lit('Category "'), F.col("name"), F.lit('" already exists')))
+    return j.withColumn("error", F.coalesce(_len("name", "name", 1, 255), exists)).drop("__taken")
+
+
 def product_patch_errors() -> Column:
     """V6: optional fields with the same rules; at least one present."""
     none = F.col("name").isNull() & F.col("base_price").isNull() & F.col("stock_quantity").isNull()

@@ -12,4 +12,5 @@ def load_catalog():
     from shelfrate.plans import source_queries  # noqa: F401
     from shelfrate.plans import quality_queries  # noqa: F401
     from shelfrate.plans import rollup_queries  # noqa: F401
+    from shelfrate.plans import api_queries  # noqa: F401
     return catalog.QUERIES, catalog.ORACLE
