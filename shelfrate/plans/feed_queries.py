@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from shelfrate.functions.text import deterministic_uuid
 from shelfrate.operators import feed as fd
 from shelfrate.operators import ledger
-from shelfrate.plans.catalog import iso, iso_sql, register
+from shelfrate.operators.catalog import batch_view
+from shelfrate.plans.catalog import iso_sql, register
 from shelfrate.plans.sqltext import (AS_OF_SQL, FEED_CTE, PRODUCTS_CTE, PROMOTIONS_CTE, VALIDATED_CTE,
                                      WINNER_CTES, ctes, price_sql, uuid_sql)
 from shelfrate.sources import driver_tables as dt
@@ -217,7 +218,7 @@ SELECT l.id, l.vendor_id, l.source_file,
             THEN {iso_sql(AS_OF_SQL)} END AS finished_at
 FROM ledger l LEFT JOIN totals t ON l.id = t.batch_id""")
 def batch_completion(spark, sf_dir):
-    """The ledger after the feed batch's counters are merged; a
+    """The view of the ledger after the feed batch's counters are merged; a
     batch whose processed + failed reach its total is COMPLETED."""
     at = dt.as_of_lit()
     dec = ledger.register_batches(_arrivals(spark, sf_dir), None, at)
@@ -231,21 +232,25 @@ def batch_completion(spark, sf_dir):
         "finished_at", F.lit(None).cast("timestamp_ntz")).unionByName(feed_batch)
     totals = fd.batch_totals(_validated(spark, sf_dir), _batch_id())
     done = ledger.complete_batches(batches, totals, at)
-    return done.select("id", "vendor_id", "source_file", "status", "total_rows", "processed_rows",
-                       "failed_rows", iso("started_at").alias("started_at"),
-                       iso("finished_at").alias("finished_at"))
+    return batch_view(done)
 
 
-@register("batch_transitions", REGISTER_SQL + """
-SELECT CASE decision WHEN 'CREATED' THEN 'started' WHEN 'EXISTING' THEN 'deduplicated'
-                     ELSE 'rejected' END AS transition,
-       CAST(count(*) AS BIGINT) AS value
-FROM decisions GROUP BY 1""")
+@register("batch_transitions", REGISTER_SQL + """,
+ends AS (SELECT CASE WHEN vendor_id = 'vendor-7' THEN 'failed' ELSE 'completed' END AS transition
+  FROM decisions WHERE decision = 'CREATED' AND arrival % 2 = 0)
+SELECT transition, CAST(count(*) AS BIGINT) AS value FROM (
+  SELECT CASE decision WHEN 'CREATED' THEN 'started' WHEN 'EXISTING' THEN 'deduplicated'
+                       ELSE 'rejected' END AS transition FROM decisions
+  UNION ALL SELECT transition FROM ends) t GROUP BY 1""")
 def batch_transitions(spark, sf_dir):
-    """Batch transition counter over the registration decisions."""
+    """Batch transition counter over the registration decisions and the
+    ledger after every second batch ended, those of one vendor by failure."""
     from shelfrate.operators import rollup
-    dec = ledger.register_batches(_arrivals(spark, sf_dir), None, dt.as_of_lit())
-    t = dec.select(F.when(F.col("decision") == "CREATED", F.lit("started"))
-                    .when(F.col("decision") == "EXISTING", F.lit("deduplicated"))
-                    .otherwise(F.lit("rejected")).alias("transition"))
-    return rollup.counter(t, ["transition"])
+    at = dt.as_of_lit()
+    dec = ledger.register_batches(_arrivals(spark, sf_dir), None, at)
+    ended = ledger.new_batches(dec.filter(F.col("arrival") % 2 == 0), at)
+    done = ledger.complete_batches(ended, ledger.with_empty_batches(
+        ended.limit(0).select(F.col("id").alias("batch_id"), *[F.lit(0).cast("long").alias(c) for c in (
+            "total_rows", "processed_rows", "failed_rows")]), ended.select(F.col("id").alias("batch_id"))), at)
+    done = ledger.fail_batches(done, ended.filter(F.col("vendor_id") == "vendor-7").select("id"), at)
+    return rollup.counter(ledger.transitions(dec, done), ["transition"])

@@ -13,20 +13,13 @@ from shelfrate.plans.sqltext import AS_OF_SQL, FEED_CTE, PRODUCTS_CTE, PROMOTION
 from shelfrate.sources import driver_tables as dt
 
 
-@register("constraint_violations", ctes(PRODUCTS_CTE, PROMOTIONS_CTE) + """
-SELECT 'products' AS table_name, CAST(id AS VARCHAR) AS id, 'base_price_nonnegative' AS rule
-FROM products WHERE base_price < 0
-UNION ALL SELECT 'products', CAST(id AS VARCHAR), 'stock_nonnegative' FROM products WHERE stock_quantity < 0
-UNION ALL SELECT 'promotions', CAST(id AS VARCHAR), 'exactly_one_target' FROM promotions
-  WHERE NOT (CASE WHEN scope = 'PRODUCT' THEN target_product_id IS NOT NULL AND target_category_id IS NULL
-                  ELSE target_category_id IS NOT NULL AND target_product_id IS NULL END)
-UNION ALL SELECT 'promotions', CAST(id AS VARCHAR), 'ends_after_starts' FROM promotions WHERE ends_at <= starts_at
-UNION ALL SELECT 'promotions', CAST(id AS VARCHAR), 'discount_value_positive' FROM promotions
-  WHERE discount_value <= 0""")
-def constraint_violations(spark, sf_dir):
-    """Table CHECK constraints as violation rows."""
-    return ql.constraint_violations(dt.products(spark, sf_dir), dt.promotions(spark, sf_dir))
-
+# Rows as an import could bring them: prices and stocks shifted below zero, requests with bad windows,
+# targets and values.
+IMPORTED_CTE = """imported_products AS (
+  SELECT p_partkey AS id, CAST(p_retailprice AS DECIMAL(12,2)) - 950 AS base_price, p_size - 2 AS stock_quantity FROM part),
+imported_promotions AS (
+  SELECT id, scope, target_product_id, target_category_id, starts_at, ends_at,
+         CAST(TRY_CAST(discount_value AS DECIMAL(12,2)) AS DECIMAL(12,2)) - 2 AS discount_value FROM requests)"""
 
 @register("orphan_rows", ctes(PRODUCTS_CTE, PROMOTIONS_CTE, FEED_CTE) + """,
 links AS (SELECT l_partkey AS product_id, l_orderkey AS promotion_id FROM lineitem)
@@ -176,3 +169,22 @@ def product_patch_checks(spark, sf_dir):
         F.when(k % 37 == 0, F.lit(None)).when(k % 31 == 0, -F.col("p_size")).otherwise(F.col("p_size"))
          .alias("stock_quantity"))
     return patches.select("id", ql.product_patch_errors().alias("errors"))
+
+
+@register("constraint_violations", ctes(REQUESTS_CTE, IMPORTED_CTE) + """
+SELECT 'products' AS table_name, CAST(id AS VARCHAR) AS id, 'base_price_nonnegative' AS rule
+FROM imported_products WHERE base_price < 0
+UNION ALL SELECT 'products', CAST(id AS VARCHAR), 'stock_nonnegative' FROM imported_products WHERE stock_quantity < 0
+UNION ALL SELECT 'promotions', CAST(id AS VARCHAR), 'exactly_one_target' FROM imported_promotions
+  WHERE NOT (CASE WHEN scope = 'PRODUCT' THEN target_product_id IS NOT NULL AND target_category_id IS NULL
+                  ELSE target_category_id IS NOT NULL AND target_product_id IS NULL END)
+UNION ALL SELECT 'promotions', CAST(id AS VARCHAR), 'ends_after_starts' FROM imported_promotions WHERE ends_at <= starts_at
+UNION ALL SELECT 'promotions', CAST(id AS VARCHAR), 'discount_value_positive' FROM imported_promotions
+  WHERE discount_value <= 0""")
+def constraint_violations(spark, sf_dir):
+    """Table CHECK constraints over imported rows, as violation rows."""
+    part, money = dt.read_table(spark, sf_dir, "part"), "decimal(12,2)"
+    products = part.select(F.col("p_partkey").alias("id"), (F.col("p_retailprice").cast(money) - 950).alias("base_price"),
+                           (F.col("p_size") - 2).alias("stock_quantity"))
+    promotions = _requests(spark, sf_dir).withColumn("discount_value", F.col("discount_value").try_cast(money) - 2)
+    return ql.constraint_violations(products, promotions)
