@@ -54,7 +54,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample the documents to the raked source, language and topic weights."""
     prepare(spark)
-    return (mix(docs).where("_kept").select(*COLUMNS, F.col("_topic").alias("topic"), F.col("_prob").alias("prob")))
+    return (mix(docs).where("_kept").select(*COLUMNS, F.col("_topic").alias("topic"), F.round("_prob", 6).alias("prob")))
 
 
 STAGES = [("quality_classifier", quality_classifier), ("near_dup", near_dup),
