@@ -250,23 +250,3 @@ def first_blockers(candidates: DataFrame, blockers: DataFrame, products: DataFra
                                [F.col("existing_created_at").asc_nulls_last(), F.col("existing_id").asc()])
     return first.select("id", "scope", rules.conflict_reason().alias("reason"),
                         F.col("existing_id").alias("conflicting_promotion_id"))
-
-
-def admit_reference(requests: list[dict], existing: list[dict], category_of: dict) -> dict:
-    """Brute-force sequential admission for tests (one request at a time,
-    exactly as the reference's locked transactions would)."""
-    accepted = [dict(e) for e in existing if e["status"] in ("ACTIVE", "SCHEDULED")]
-    out = {}
-    for r in sorted(requests, key=lambda x: (x["arrival"], x["id"])):
-        def applies(e):
-            if r["scope"] == "CATEGORY":
-                return e["scope"] == "CATEGORY" and e["target_category_id"] == r["target_category_id"]
-            if e["scope"] == "PRODUCT":
-                return e["target_product_id"] == r["target_product_id"]
-            return e["target_category_id"] == category_of.get(r["target_product_id"])
-        hit = any(applies(e) and e["starts_at"] < r["ends_at"] and r["starts_at"] < e["ends_at"]
-                  for e in accepted)
-        out[r["id"]] = not hit
-        if not hit:
-            accepted.append(r)
-    return out

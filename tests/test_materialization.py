@@ -5,6 +5,8 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from admission_reference import admit_reference
+
 from shelfrate.operators import admission, catalog, promote, rules
 
 NOW = dt.datetime(2026, 1, 10)
@@ -141,7 +143,7 @@ def test_admission_matches_brute_force(spark):
             existing.append(item)
         else:
             reqs.append(item)
-    expected = admission.admit_reference(reqs, existing, cats)
+    expected = admit_reference(reqs, existing, cats)
     prods = spark.createDataFrame(list(cats.items()), "id string, category_id string")
     rq = spark.createDataFrame([(r["id"], r["scope"], r["target_product_id"], r["target_category_id"],
                                  r["starts_at"], r["ends_at"], r["starts_at"], r["arrival"]) for r in reqs],

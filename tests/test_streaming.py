@@ -2,8 +2,10 @@
 
 import datetime as dt
 import os
+import random
 
-from pyspark.sql import functions as F
+import pytest
+from admission_reference import admit_reference
 
 from shelfrate.sources.snapshots import SnapshotStore
 from shelfrate.streaming.admission import admit_stream
@@ -36,31 +38,34 @@ def test_feed_stream_replay_is_noop(spark, tmp_dir):
     assert store.read("ingest_batches").count() == 2
 
 
-def test_streaming_admission_keeps_state(spark, tmp_dir):
-    src = os.path.join(tmp_dir, "requests")
-    os.makedirs(src)
-    schema = ("id string, scope string, target_product_id string, target_category_id string, "
-              "starts_at timestamp, ends_at timestamp, arrival long")
-    d = dt.datetime
-    spark.createDataFrame([("r1", "PRODUCT", "p1", None, d(2026, 1, 1), d(2026, 2, 1), 1),
-                           ("r2", "PRODUCT", "p1", None, d(2026, 1, 15), d(2026, 2, 15), 2)],
-                          schema).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = os.path.join(tmp_dir, "decisions")
-    ckpt = os.path.join(tmp_dir, "ckpt")
+REQUESTS = ("id string, scope string, target_product_id string, target_category_id string, "
+            "starts_at timestamp, ends_at timestamp, arrival long")
 
-    def run():
-        q = (admit_stream(stream).writeStream.outputMode("append").format("parquet")
-             .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-        q.awaitTermination(180)
 
-    run()
-    spark.createDataFrame([("r3", "PRODUCT", "p1", None, d(2026, 1, 20), d(2026, 1, 25), 3),
-                           ("r4", "PRODUCT", "p1", None, d(2026, 3, 1), d(2026, 3, 5), 4)],
-                          schema).coalesce(1).write.mode("append").parquet(src)
-    run()
+@pytest.mark.parametrize("batches", [1, 4])
+def test_streaming_admission_does_not_depend_on_the_cuts(spark, tmp_dir, batches):
+    rng = random.Random(4)
+    category_of = {f"p{i}": f"c{i % 2}" for i in range(4)}
+    requests = []
+    for n in range(40):
+        start = dt.datetime(2026, 1, 1) + dt.timedelta(days=rng.randrange(300))
+        scope = rng.choice(["PRODUCT", "PRODUCT", "CATEGORY"])
+        requests.append({"id": f"r{n:02d}", "scope": scope, "starts_at": start,
+                         "target_product_id": f"p{rng.randrange(5)}" if scope == "PRODUCT" else None,  # p4: no category
+                         "target_category_id": f"c{rng.randrange(2)}" if scope == "CATEGORY" else None,
+                         "ends_at": start + dt.timedelta(days=rng.randrange(1, 40)), "arrival": n // 2})
+    src, out = os.path.join(tmp_dir, "requests"), os.path.join(tmp_dir, "decisions")
+    os.makedirs(src)
+    products = spark.createDataFrame(list(category_of.items()), "id string, category_id string")
+    stream = spark.readStream.schema(REQUESTS).parquet(src)
+    size = len(requests) // batches
+    for k in range(0, len(requests), size):
+        rows = [tuple(r[c.split(" ")[0]] for c in REQUESTS.split(", ")) for r in requests[k:k + size]]
+        spark.createDataFrame(rows, REQUESTS).write.mode("append").parquet(src)
+        (admit_stream(stream, products).writeStream.outputMode("append").format("parquet").option("path", out)
+         .option("checkpointLocation", os.path.join(tmp_dir, "ckpt")).trigger(availableNow=True).start().awaitTermination(180))
     got = {r["id"]: r["admitted"] for r in spark.read.parquet(out).collect()}
-    assert got == {"r1": True, "r2": False, "r3": False, "r4": True}
+    assert got == admit_reference(requests, [], category_of)
 
 
 def test_streaming_counters(spark, tmp_dir):
