@@ -82,8 +82,8 @@ def test_oracle_agreement(spark, name):
 
 
 def test_admit_promotions_matches_brute_force(spark):
-    """The one query without SQL oracle, checked on the whole sf0.001 tables."""
-    from shelfrate.operators.admission import admit_reference
+    """Serialized admission against one request at a time, on the whole sf0.001 tables."""
+    from admission_reference import admit_reference
     from shelfrate.sources import driver_tables as dt
     got = {r["id"]: r["admitted"] for r in entry.queries()["admit_promotions"](spark, SF).collect()}
     pr = [r.asDict() for r in dt.promotions(spark, SF).collect()]
