@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfrate.llm.common import written
+from shelfrate.llm.common import drop_written, written
 
 DIMS = ("source", "lang", "topic")
 SWEEPS = 8
@@ -71,15 +71,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
         kept = t.join(cells.select(dim).distinct(), dim, "left_semi")
         whole = kept.agg(F.sum("share")).head()[0] or 1.0
         present[dim] = written(kept.select(dim, (F.col("share") / F.lit(whole)).alias("share")), f"target-{dim}")
-    out = cells.withColumn("weight", F.lit(1.0))
+    out = start = cells.withColumn("weight", F.lit(1.0))
     for _ in range(sweeps):
         for dim in targets:
             sums = out.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_have"))
             factor = sums.join(present[dim], dim, "left").select(
                 dim, F.when(F.col("_have") > 0, F.coalesce("share", F.lit(0.0)) * F.lit(total) / F.col("_have"))
                 .otherwise(0.0).alias("_factor"))
-            out = out.join(factor, dim).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor")
-        out = written(out.select(*DIMS, "tokens", "weight").coalesce(1), "raked")  # each sweep reads the last one
+            done = out.join(factor, dim).select(*DIMS, "tokens", (F.col("weight") * F.col("_factor")).alias("weight"))
+            last, out = out, written(done.coalesce(1), "raked")  # each step reads the last one: plans stay small
+            if last is not start:
+                drop_written(last)
     return out
 
 
