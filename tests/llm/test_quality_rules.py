@@ -1,3 +1,4 @@
+import base64
 import random
 from collections import Counter
 
@@ -43,5 +44,23 @@ def test_bands(spark):
     assert got[3].band_failed and got[3].whole_ratio > 9
 
 
+def test_encoded_text(spark):
+    """Hex and base64 in lines, and prose mixed with them, fail; prose alone stays."""
+    rng = random.Random(4)
+    syllables = "the er on an re he in ed nd ha at en es of or nt ea ti to it".split()
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(700)]
+    clean = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))[:n]
+    lines = lambda t, k: "\n".join(t[i:i + k] for i in range(0, len(t), k))
+    code = lambda n: lines(base64.b64encode(rng.randbytes(n)).decode(), 76)[:n]
+    hexa = lambda n: rng.randbytes(n).hex()
+    bad = [lines(hexa(n), 64)[:n] for n in (4096, 5000, 8191, 30000, 70000)]
+    bad += [" ".join(lines(hexa(4000), 2).split("\n")), *map(code, (4096, 8191, 30000)), clean(20000) + "\n" + code(20000)]
+    bad += [clean(4096) + code(4000), clean(20000) + "\n" + lines(hexa(5000), 64)]
+    good = [clean(n) for n in (600, 2048, 4096, 6000, 30000)]
+    got = {r.doc_id: r for r in compression_rules(docs_frame(spark, list(enumerate(bad + good)))).collect()}
+    assert all(got[i].band_failed for i in range(len(bad))), [i for i in range(len(bad)) if not got[i].band_failed]
+    assert not any(got[i].band_failed for i in range(len(bad), len(bad + good)))
+
+
 def test_empty_table(spark):
     assert compression_rules(docs_frame(spark, [(1, "a")]).limit(0)).count() == 0
