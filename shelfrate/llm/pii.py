@@ -1,10 +1,13 @@
 """Personal data: overlapping candidate spans scored by boosted trees.
 
 High-recall generators (regular expressions) propose spans; a proposal is
-described by its format and its context; boosted trees, trained on which
-proposals the strict patterns confirm, score it; a threshold per kind,
-calibrated for precision on a separate fold of documents, selects the spans
-that are added to the strict ones. Only DataFrame functions touch the rows;
+described by its format and its context; boosted trees, trained for each
+generator on which proposals pass the generator's own evidence (grammar,
+check digits, digit count with a telephone form or word; not the strict
+patterns), score it; a threshold for each generator, calibrated for precision
+on a separate fold of documents, selects the spans that are added to the
+strict ones. A generator's weights are scaled to one sum, so what is rare in
+the corpus is judged like what is frequent. Only DataFrame functions touch the rows;
 the driver sees the counts of the feature grid, whose size is bounded by
 the number of feature values.
 
@@ -14,8 +17,8 @@ may start where a run of its first characters starts, or where the previous
 match ended, and inner repetitions are possessive.
 
 Edge cases: a null text counts as empty and has no spans; repeated rows are
-judged one by one; without any proposal, or with proposals of one label
-only, nothing is added; an empty table gives an empty result; other columns
+judged one by one; without any proposal nothing is added; a generator with
+proposals of one label adds all or none of them; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -53,7 +56,15 @@ GENERATORS = (
 )
 # No pattern above matches a text without one of these.
 ANY = r"(?i)[0-9@]|[\[(]at[\])]|[a-f]:[a-f]"
-FEATURES = ("gen", "digits", "groups", "sep", "luhn", "octets", "plus", "left", "right", "word")
+# Of features that separate a generator's proposals equally well the trees take the first.
+FEATURES = ("format", "form", "tel", "gen", "digits", "groups", "sep", "luhn", "octets", "plus", "left", "right", "word")
+# Weight that a generator's proposals have together.
+WEIGHT = 1000.0
+_TEL = r"(?i)(phone|tel|call|mobile|cell|fax|contact)[^a-z]*$"
+_ADDRESS = r"(?i)^[a-z0-9._%+-]+(?:@| ?[\[(]at[\])] ?)[a-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[a-z0-9-]+)*(?:\.| ?[\[(]dot[\])] ?)[a-z]{2,24}$"
+# Card numbers of 13 to 15 digits have few issuers.
+_SHORT_CARD = r"^(?:4[0-9]{12}|3[0689][0-9]{12}|3[47][0-9]{13}|(?:1800|2131)[0-9]{11})$"
+_DATE = r"^(?:(?:19|20)[0-9]{2}[ ./-][0-9]{2}[ ./-][0-9]{2}|[0-9]{2}[ ./-][0-9]{2}[ ./-](?:19|20)[0-9]{2})"
 _HINTS = r"(?i)(card|visa|credit|phone|tel|call|mobile|mail|contact|address|host|server|ip)[^a-z]*$"
 
 
@@ -114,6 +125,21 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _format(gen: int, match: Column, after: Column) -> Column:
+    """The format check of a generator's proposals; ``after`` is the text that follows."""
+    digits = _digits(match)
+    n = F.length(digits)
+    if gen == 0:
+        return match.rlike(_ADDRESS)
+    if gen == 1:
+        return F.size(F.split(match, ":")) == 8
+    if gen == 2:
+        return match.rlike(_OCTETS)
+    if gen in (3, 4):
+        return ((n >= 16) | digits.rlike(_SHORT_CARD)) & _luhn(digits)
+    return n.between(8, 15) & ~after.rlike(r"^[ ().-]?[0-9]") & ~match.rlike(_DATE)
+
+
 def _char_class(c: Column) -> Column:
     return (F.when((c == "") | c.rlike(r"^\s"), 0).when(c.rlike(r"^\p{L}"), 1).when(c.rlike("^[0-9]"), 2)
             .otherwise(3))
@@ -127,7 +153,13 @@ def _described(text: Column, kind: str, gen: int, spans: Column) -> Column:
         n = F.length(digits)
         before = F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
         left = F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1))).otherwise("")
-        right = F.substring(text, s["end"] + 1, F.lit(1))
+        after = F.substring(text, s["end"] + 1, F.lit(2))
+        right = F.substring(after, F.lit(1), F.lit(1))
+        valid = F.coalesce(_format(gen, match, after), F.lit(False))
+        form = F.when(match.startswith("("), 1).when(match.startswith("00"), 2).otherwise(0)
+        tel = before.rlike(_TEL)
+        # A number without + needs a telephone form or word.
+        evident = valid & ((form > 0) | tel) if gen == 5 else valid
         return F.struct(
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
             F.lit(gen).alias("gen"),
@@ -139,7 +171,8 @@ def _described(text: Column, kind: str, gen: int, spans: Column) -> Column:
             match.rlike(_OCTETS).cast("int").alias("octets"),
             match.startswith("+").cast("int").alias("plus"),
             _char_class(left).alias("left"), _char_class(right).alias("right"),
-            before.rlike(_HINTS).cast("int").alias("word"))
+            before.rlike(_HINTS).cast("int").alias("word"), valid.cast("int").alias("format"), form.alias("form"),
+            tel.cast("int").alias("tel"), evident.cast("int").alias("y"))
     return F.transform(spans, one)
 
 
@@ -189,36 +222,32 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def train_selector(candidates: DataFrame, precision: float = PRECISION) -> dict | None:
-    """Trees and thresholds by kind, from all proposals of all documents.
+    """Trees and threshold by generator, from all proposals of all documents.
 
-    Label 1: a strict span of the same kind has the same place. Three
-    quarters of the documents train, one quarter calibrates.
+    Label 1: the proposal passes the evidence of its generator. Three
+    quarters of the documents train, one quarter calibrates; a generator
+    whose proposals leave one of them without a label uses all for both.
     """
-    base = F.concat(*[F.col(f"_b_{k}") for k in KINDS])
-    same = lambda c: F.exists("_all", lambda b: (b["kind"] == c["kind"]) & (b["start"] == c["start"])
-                              & (b["end"] == c["end"]))
-    grid = (candidates.where(F.size("_cands") > 0).select("_id", base.alias("_all"), "_cands")
-            .select("_id", F.explode(F.transform("_cands", lambda c: F.struct(
-                c.alias("c"), same(c).cast("int").alias("y")))).alias("r"))
-            .groupBy(*[F.col(f"r.c.{f}").alias(f) for f in FEATURES], F.col("r.c.kind").alias("kind"),
-                     F.col("r.y").alias("y"),
+    grid = (candidates.where(F.size("_cands") > 0).select("_id", F.explode("_cands").alias("c"))
+            .groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES], F.col("c.y").alias("y"),
                      (F.pmod(F.xxhash64("_id"), F.lit(4)) == 0).alias("calibrate"))
-            .count().orderBy("kind", *FEATURES, "y", "calibrate").collect())
-    if not grid:
-        return None
-    x = np.array([[r[f] for f in FEATURES] for r in grid])
-    y, w = np.array([r.y for r in grid], float), np.array([r["count"] for r in grid], float)
-    kind, cal = np.array([r.kind for r in grid]), np.array([r.calibrate for r in grid])
-    if not cal.any() or cal.all():
-        cal = np.ones(len(grid), bool)
-    fit = ~cal if (~cal).any() else cal
-    if len(set(y[fit])) < 2:
-        return None
-    model = boost(x[fit], y[fit], w[fit])
-    score = margins(model, x)
-    cuts = {k: threshold(score[pick], y[pick], w[pick], precision) if (pick := cal & (kind == k)).any() else float("inf")
-            for k in KINDS}
-    return {"trees": model, "cuts": cuts}
+            .count().orderBy(*FEATURES, "y", "calibrate").collect())
+    out = {}
+    for gen in sorted({r.gen for r in grid}):
+        rows = [r for r in grid if r.gen == gen]
+        x = np.array([[r[f] for f in FEATURES] for r in rows])
+        y, w = np.array([r.y for r in rows], float), np.array([r["count"] for r in rows], float)
+        w *= WEIGHT / w.sum()
+        cal = np.array([bool(r.calibrate) for r in rows])
+        fit = ~cal
+        if len(set(y[fit])) < len(set(y)) or len(set(y[cal])) < len(set(y)):
+            cal = fit = np.ones(len(rows), bool)
+        model = boost(x[fit], y[fit], w[fit])
+        score = margins(model, x)
+        cut = threshold(score[cal], y[cal], w[cal], precision)
+        if np.isfinite(cut):
+            out[gen] = {"trees": model, "cut": cut}
+    return out or None
 
 
 def select_spans(candidates: DataFrame, model: dict | None) -> DataFrame:
@@ -226,12 +255,11 @@ def select_spans(candidates: DataFrame, model: dict | None) -> DataFrame:
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     if model:
         def picked(c: Column) -> Column:
-            score = as_column(model["trees"], [c[f] for f in FEATURES])
-            cut = F.lit(None).cast("double")
-            for k, v in model["cuts"].items():
-                if np.isfinite(v):
-                    cut = F.when(c["kind"] == k, F.lit(v - 1e-9)).otherwise(cut)
-            return F.coalesce(score >= cut, F.lit(False)) & ~F.exists("_base", lambda b: _overlaps(b, c))
+            high = F.lit(False)
+            for gen, m in model.items():
+                score = as_column(m["trees"], [c[f] for f in FEATURES])
+                high = F.when(c["gen"] == gen, score >= m["cut"] - 1e-9).otherwise(high)
+            return high & ~F.exists("_base", lambda b: _overlaps(b, c))
 
         plain = F.transform(F.filter("_cands", picked),
                             lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))

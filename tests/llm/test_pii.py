@@ -79,6 +79,20 @@ def test_added_spans_recover_merged_cards(spark):
     assert all(got[i].spans == "" for i in range(1, 400, 2))
 
 
+@pytest.mark.parametrize("share", [1, 60])
+def test_rare_and_frequent_forms_alike(spark, share):
+    """Forms that no strict pattern matches are added in one document of 60 and in all; look-alikes never."""
+    forms = ["2001:db8:0:1:2:3:4:5", "(555) 010 1234", "a[at]b[dot]org", "378282246310005"]
+    rows = [(i, f"on 2024 01 15 10 at 12:34:56:78 1402000000000 see me @ noon. then {i}; mail m{i}@x.org 10.0.0.{i}, "
+             f"+1 555 010 12{i + 10}, 4111111111111111" + "".join(f"; {f} x" for f in forms if i < share)) for i in range(60)]
+    for r in find_pii(docs_frame(spark, rows)).collect():
+        text = rows[r.doc_id][1]
+        want = {f"{k}:{text.find(f)}:{text.find(f) + len(f)}" for k, f in zip(("ip", "phone", "email", "card"), forms, strict=True)
+                if f in text}
+        strict = {x for v in brute(text).values() for x in v}
+        assert set(filter(None, r.spans.split(","))) == strict | want
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.co or 1.2.3.4!"), (2, None), (3, "none"), (4, "\U0001f600 a@b.co")]
     got = {r.doc_id: r for r in redact_documents(docs_frame(spark, rows)).collect()}
