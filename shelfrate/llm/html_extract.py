@@ -4,10 +4,13 @@ Pages of one host are merged into one tree of element paths. A path's
 presentation importance is the entropy of the child sequences it has on the
 host's pages; its content importance is one minus the mean normalized
 entropy of its texts, a text that stands on n of the m pages having entropy
-log(n) / log(m). Branches of low importance are template and leave every
-page of the host. Element names and class words that declare themselves
-page furniture (menus, adverts, comments, ...) have no importance on any
-host, the article and main elements always have it.
+log(n) / log(m). Paths of low importance are template and leave every page
+of the host; those in article and main elements have ``PRIOR`` more, so it
+takes texts that nearly all pages share. Element names and class words that
+declare themselves page furniture (menus, adverts, comments, ...) have no
+importance on any host. What is left in article and main elements is the
+text of a page, unless more than ``TEASER`` times as much is left outside:
+then they are teasers beside the text, and the text is all that is left.
 
 Copies of one page count once for the entropies. Hosts with fewer than
 ``MIN_PAGES`` different pages have too little evidence and only lose what
@@ -34,6 +37,7 @@ from shelfrate.llm.url_filter import url_host
 MIN_PAGES = 5
 MIN_IMPORTANCE = 0.35
 PRESENTATION_SHARE = 0.1
+PRIOR, TEASER = 0.2, 2
 
 # Elements and class words of page furniture, and of content.
 FURNITURE_TAGS = frozenset("nav footer aside form select menu dialog head option legend fieldset search".split())
@@ -75,36 +79,41 @@ def in_content(block: Block) -> bool:
     return any(f.tag in CONTENT_TAGS for f in block.frames)
 
 
+def path_in_content(path: str) -> bool:
+    """True if the path passes an article or main element."""
+    return any(part.split(".", 1)[0] in CONTENT_TAGS for part in path.split("/"))
+
+
 def _key(path: str) -> int:
     return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big",
                           signed=True)
 
 
 def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, style, feature, page): each page's distinct child sequences and texts by path."""
+    """(host, path, content, style, feature, page): each page's distinct child sequences and texts by path."""
     for b in batches:
         rows = set()
         for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             blocks, styles = read(page)
             mark = _key(page or "")
             for path, children in styles:
-                rows.add((host, _key(path), True, _key(children), mark))
+                rows.add((host, _key(path), path_in_content(path), True, _key(children), mark))
             for block in blocks:
-                if not in_content(block) and not is_furniture(block):
-                    rows.add((host, _key(block.path), False, _key(block.text), mark))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-        types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+                if not is_furniture(block):
+                    rows.add((host, _key(block.path), in_content(block), False, _key(block.text), mark))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+        types = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                         names=["host", "path", "style", "feature", "page"])
+                                         names=["host", "path", "content", "style", "feature", "page"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, importance, n_pages) of every element path of every host; ``pages`` is (host, html)."""
     seen = pages.select("host", "html").mapInArrow(
-        _observations, "host string, path long, style boolean, feature long, page long").distinct()
-    counted = seen.groupBy("host", "path", "style", "feature").agg(F.count(F.lit(1)).alias("n"))
+        _observations, "host string, path long, content boolean, style boolean, feature long, page long").distinct()
+    counted = seen.groupBy("host", "path", "content", "style", "feature").agg(F.count(F.lit(1)).alias("n"))
     # The sum of n over a path's child sequences is its number of pages m.
-    summed = counted.groupBy("host", "path").agg(
+    summed = counted.groupBy("host", "path", "content").agg(
         F.sum(F.when(F.col("style"), F.col("n")).otherwise(0)).alias("m"),
         F.sum(F.when(F.col("style"), F.col("n") * F.log("n")).otherwise(0.0)).alias("style_nlogn"),
         F.sum(F.when(~F.col("style"), F.log("n")).otherwise(0.0)).alias("text_log"),
@@ -113,16 +122,16 @@ def style_tree(pages: DataFrame) -> DataFrame:
     presentation = (log_m - F.col("style_nlogn") / F.greatest("m", F.lit(1))) / log_m
     content = 1 - F.col("text_log") / F.greatest("texts", F.lit(1)) / log_m
     return summed.select("host", "path", F.col("m").alias("n_pages"), F.when(F.col("m") < MIN_PAGES, 1.0).otherwise(
-        PRESENTATION_SHARE * presentation + (1 - PRESENTATION_SHARE) * content).alias("importance"))
+        PRESENTATION_SHARE * presentation + (1 - PRESENTATION_SHARE) * content
+        + F.when(F.col("content"), PRIOR).otherwise(0.0)).alias("importance"))
 
 
 def main_text(page: str | None, low: frozenset) -> str:
     """The text of a page without furniture and without the paths in ``low``."""
-    blocks = [b for b in read(page)[0] if not is_furniture(b)]
+    blocks = [b for b in read(page)[0] if not is_furniture(b) and _key(b.path) not in low]
     inside = [b for b in blocks if in_content(b)]
-    if inside:
-        return " ".join(b.text for b in inside)
-    return " ".join(b.text for b in blocks if _key(b.path) not in low)
+    n_inside, n_all = (sum(len(b.text) for b in part) for part in (inside, blocks))
+    return " ".join(b.text for b in (blocks if n_all - n_inside > TEASER * n_inside else inside))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

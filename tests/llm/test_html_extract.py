@@ -55,6 +55,19 @@ def test_site_template_leaves_and_content_stays(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_tree_decides_inside_articles(spark):
+    """A shared line in an article leaves; a text in a div beside teaser articles stays."""
+    rows = [(i, f"http://a.org/{i}", f"<body><article><p>Story {i} about topic {i * 7}</p><div class='end'>All rights reserved"
+             "</div></article></body>", "") for i in range(12)]
+    rows += [(100 + i, f"http://b.org/{i}", f"<body><div class='body'><p>Story {i} about topic {i * 7} of many lines</p></div>"
+              f"<article class='card'><h2>Read</h2></article><article class='card'><p>No {i}</p></article></body>", "")
+             for i in range(12)]
+    texts = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(texts[i] == f"Story {i} about topic {i * 7}" for i in range(12))
+    assert all(texts[100 + i].startswith(f"Story {i} about topic {i * 7} of many lines") and "Read" not in texts[100 + i]
+               for i in range(12))
+
+
 def test_copies_of_a_page_are_one_page(spark):
     """Many copies of one page must not make its text look like a template."""
     rows = [(i, "http://h.org/a", "<body><div><p>The same story</p></div></body>", "") for i in range(30)]
