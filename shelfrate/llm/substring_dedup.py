@@ -1,9 +1,9 @@
 """Substring de-duplication by seed and extend.
 
-Documents meet on winnowed anchors of ``GRAM`` words; every match is
-extended to both sides as far as windows of ``LENGTH`` words stay equal, and
-the union of the repeated windows gives the maximal repeats over the length
-threshold. The earliest copy (smaller id, or earlier start in one document)
+Documents meet on winnowed anchors of ``GRAM`` words; all windows of
+``LENGTH`` words around them are grouped by digest, which stands for extending
+each match: the union of the repeated windows gives the maximal repeats over
+the length threshold. The earliest copy (smaller id, or earlier start in one document)
 stays, the words of later copies go.
 
 Edge cases: a null text has no words; texts shorter than a window lose

@@ -1,4 +1,4 @@
-"""Suffix order and longest-previous-factor test over the bytes of one task."""
+"""Order of suffixes by their first bytes, and an equality test in place of longest-previous-factor arrays."""
 
 from __future__ import annotations
 
