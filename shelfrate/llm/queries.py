@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shelfrate.llm.common import prepare, table, values
 from shelfrate.llm.decontaminate import decontaminate
+from shelfrate.llm.divergence import oracle_sql as divergence_sql
+from shelfrate.llm.divergence import source_divergence
 from shelfrate.llm.html_extract import extract_main_text
 from shelfrate.llm.mixing import mix
 from shelfrate.llm.mixing import oracle_sql as mixing_sql
@@ -129,3 +131,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that lie in a string of 200 bytes found elsewhere."""
     return remove_repeated_bytes(table(spark, sf_dir, "documents"), keep_first=False).drop("spans", "kept")
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and each source's telling terms."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_source_divergence"] = divergence_sql()
