@@ -156,3 +156,41 @@ def count_terms(raw: np.ndarray, at: np.ndarray, text_group: np.ndarray, members
         out.append(_counted(group, text[pick], np.lexsort((term, group)), [term],
                             lambda k: _string_array(np.char.str_len(k[0]), b"".join(k[0].tolist()))))
     return out
+
+
+class TermIndex:
+    """Numbers of a bounded list of terms, looked up by their packed bytes."""
+
+    def __init__(self, terms: list[bytes]):
+        self.buckets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        by_width: dict[int, list[int]] = {}
+        for i, t in enumerate(terms):
+            by_width.setdefault(self._width(len(t)), []).append(i)
+        for width, numbers in by_width.items():
+            chosen = [terms[i] for i in numbers]
+            raw = np.frombuffer(b"".join(chosen), np.uint8)
+            sizes = np.array([len(t) for t in chosen], np.int64)
+            keys = self._keys(raw, np.cumsum(sizes) - sizes, sizes, width)
+            order = np.argsort(keys, kind="stable")
+            self.buckets[width] = keys[order], np.array(numbers, np.int64)[order]
+
+    @staticmethod
+    def _width(size: int) -> int:
+        return max(8, 1 << (size - 1).bit_length())
+
+    @staticmethod
+    def _keys(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+        return packed(raw, starts, sizes, 1)[0] if width == 8 else _long_bucket(raw, starts, sizes, width)
+
+    def find(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Number of each term, -1 for one that is not in the list."""
+        sizes = ends - starts
+        out = np.full(len(starts), -1, np.int64)
+        for width, (keys, numbers) in self.buckets.items():
+            pick = np.flatnonzero((sizes <= width) & (sizes > (0 if width == 8 else width // 2)))
+            for i in range(0, len(pick), max(1, (1 << 24) // width)):  # bounded grids
+                part = pick[i:i + max(1, (1 << 24) // width)]
+                wanted = self._keys(raw, starts[part], sizes[part], width)
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                out[part] = np.where(keys[at] == wanted, numbers[at], -1)
+        return out

@@ -16,6 +16,8 @@ from shelfrate.llm.near_dup import near_duplicates
 from shelfrate.llm.pii import find_pii
 from shelfrate.llm.quality_classifier import score_documents, train
 from shelfrate.llm.quality_rules import compression_rules
+from shelfrate.llm.ranked_search import oracle_sql as search_sql
+from shelfrate.llm.ranked_search import ranked_search
 from shelfrate.llm.substring_dedup import remove_repeats
 from shelfrate.llm.suffix_dedup import remove_repeated_bytes
 from shelfrate.llm.url_filter import judge_urls
@@ -140,3 +142,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_source_divergence"] = divergence_sql()
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_ranked_search"] = search_sql()
