@@ -14,6 +14,7 @@ from shelfrate.llm.mixing import mix
 from shelfrate.llm.mixing import oracle_sql as mixing_sql
 from shelfrate.llm.near_dup import near_duplicates
 from shelfrate.llm.pii import find_pii
+from shelfrate.llm.ppm import score_texts
 from shelfrate.llm.quality_classifier import score_documents, train
 from shelfrate.llm.quality_rules import compression_rules
 from shelfrate.llm.ranked_search import oracle_sql as search_sql
@@ -144,6 +145,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op11_source_divergence"] = divergence_sql()
 
 
+@query
+def op12_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under a byte-context model of the training documents."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents of every benchmark item."""
