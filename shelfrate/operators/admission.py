@@ -16,21 +16,17 @@ requests is decided at once:
    components (a later window that starts after every earlier window has
    ended cannot interact with them; labelled by a distributed prefix scan,
    so a hot target spreads over many tasks) and each (target, component) is
-   folded in arrival order: one-request components need no fold, small ones
-   fold inside Catalyst, large ones stream through a pandas fold over rows
-   sorted by arrival (sorted interval list, O(log n) per request, memory
-   bounded by the accepted windows).
+   folded in arrival order: small ones fold inside Catalyst, large ones
+   stream through a pandas fold over rows sorted by arrival (sorted interval
+   list, O(log n) per request, memory bounded by the accepted windows), and
+   very large ones are first decided in rounds over all tasks
+   (``decide_in_rounds``), as far as rounds get ahead.
 4. The reported conflict of every rejected request is recomputed
-   relationally as the first (oldest ``created_at``, then ``id``) blocker
-   that arrived before it.
+   relationally as the first blocker that arrived before it (see
+   ``first_blockers``).
 
-The two steps that still pair windows (earlier-admitted CATEGORY requests
-in stage 2, and the reasons) pair a request only with *admitted* or
-*existing* windows of its target. Admitted windows of one target are
-pairwise disjoint by construction, and so are existing unfinished ones
-when they were created under the same rule, so each request meets at most
-(its length / the shortest window) + 2 of them per key: the pairs grow
-linearly with the requests, not quadratically with a hot target.
+No step pairs windows: stage 2 and the reasons ask for the first blocker by
+``plans.ranges.earliest_overlap``, however many windows of a target meet.
 
 Requests carry ``id, scope, target_product_id, target_category_id,
 starts_at, ends_at, created_at`` and an ``arrival`` rank (ties broken by
@@ -42,14 +38,14 @@ from __future__ import annotations
 import bisect
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfrate.functions.timeutil import epoch_micros
 from shelfrate.operators import rules
 from shelfrate.plans.joins import join_small
 from shelfrate.plans.ordering import interval_components
-from shelfrate.plans.ranges import overlap_join, overlaps_any
+from shelfrate.plans.ranges import earliest_overlap, overlaps_any
 
 
 
@@ -106,41 +102,87 @@ def _catalyst_fold(df: DataFrame, key: str, id_type: str) -> DataFrame:
     return grouped.select(F.inline(fold))
 
 
+# Components beyond this many requests are first decided in rounds.
+ROUNDS_MIN = 200_000
+# Rounds go on while each decides at least this share of what is left.
+MIN_PROGRESS = 0.05
+
+
+def decide_in_rounds(requests: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Greedy admission of overlapping requests without a sequential fold.
+
+    ``requests`` has ``id``, the key, ``starts_at``, ``ends_at`` and
+    ``arrival``. In each round every request that arrived before all
+    undecided ones it overlaps is admitted, which is what the fold would do,
+    and whatever overlaps an admitted request is rejected. A round is two
+    sweeps over the sorted line, however dense a target is. Arrivals in no
+    particular order need about log(n) rounds; where each request waits for
+    the one before it (arrivals in the order of the windows), a round decides
+    little and the rounds end.
+
+    Returns (id, ok, round) of the decided requests and the undecided rest.
+    """
+    left = requests.select("id", F.col(key).alias("key"), F.col("starts_at").alias("start"),
+                           F.col("ends_at").alias("end"), "arrival").checkpoint(eager=True)
+    decided, count, number = None, left.count(), 0
+    while count:
+        number += 1
+        first = earliest_overlap(
+            left.select("key", "start", "end", F.struct("arrival", "id").alias("id")),
+            left.select("key", "start", "end", "arrival", F.col("id").alias("bid")),
+            {"first": F.struct(F.col("arrival"), F.col("bid").alias("id"))})
+        blocked = first.filter(F.col("first") < F.col("id")).select("id.id")
+        admitted = left.join(blocked, "id", "left_anti").checkpoint(eager=True)
+        waiting = left.join(admitted.select("id"), "id", "left_anti")
+        lost = overlaps_any(waiting, admitted.select(F.col("key").alias("bk"), F.col("start").alias("bs"),
+                                                     F.col("end").alias("be")),
+                            "key", "bk", "start", "end", "bs", "be").checkpoint(eager=True)
+        now = admitted.select("id", F.lit(True).alias("ok"), F.lit(number).alias("round")).unionByName(
+            lost.select("id", F.lit(False).alias("ok"), F.lit(number).alias("round")))
+        decided = now if decided is None else decided.unionByName(now)
+        left = waiting.join(lost, "id", "left_anti").checkpoint(eager=True)
+        before, count = count, left.count()
+        if before - count < MIN_PROGRESS * before:
+            break
+    if decided is None:
+        decided = left.select("id", F.lit(True).alias("ok"), F.lit(0).alias("round"))
+    rest = requests.join(left.select("id"), "id", "left_semi")
+    return decided, rest
+
+
 def _fold_by_key(df: DataFrame, key: str) -> DataFrame:
-    """``id, ok`` for every request. A component with one request is
-    accepted outright, small components fold in Catalyst, only large ones
-    reach Python."""
+    """``id, ok`` for every request: small components fold in Catalyst, larger
+    ones in a stream of sorted rows, very large ones first go through rounds."""
     comp = _components(df, key)
-    size = F.count(F.lit(1)).over(Window.partitionBy(key, "__comp"))
-    comp = comp.withColumn("__size", size)
-    single = comp.filter(F.col("__size") == 1).select("id", F.lit(True).alias("ok"))
-    multi = comp.filter(F.col("__size") > 1).select(
-        "id", key, "__comp", "arrival", "__size",
-        epoch_micros(comp, "starts_at").alias("s"),
-        epoch_micros(comp, "ends_at").alias("e"))
     id_type = df.schema["id"].dataType.simpleString()
-    small = _catalyst_fold(multi.filter(F.col("__size") <= CATALYST_FOLD_MAX), key, id_type)
+    # A component's label holds the id that opened it, so it is unique over all targets.
+    sizes = comp.groupBy("__comp").agg(F.count("*").alias("__size")).filter(
+        F.col("__size") > CATALYST_FOLD_MAX).checkpoint(eager=True)
+    comp = join_small(comp, sizes, "__comp", "left")
+    if not sizes.filter(F.col("__size") > ROUNDS_MIN).isEmpty():
+        decided, rest = decide_in_rounds(comp.filter(F.col("__size") > ROUNDS_MIN), key)
+        other = comp.filter(F.coalesce("__size", F.lit(0)) <= ROUNDS_MIN).select(*df.columns)
+        if not rest.isEmpty():
+            rest = _fold_components(_components(rest.select(*df.columns), key).withColumn(
+                "__size", F.lit(ROUNDS_MIN)), key, id_type)
+            decided = decided.select("id", "ok").unionByName(rest)
+        return decided.select("id", "ok").unionByName(_fold_by_key(other, key))
+    return _fold_components(comp, key, id_type)
+
+
+def _fold_components(comp: DataFrame, key: str, id_type: str) -> DataFrame:
+    """``id, ok`` of requests labelled with their component; ``__size`` is set on large components."""
+    rows = comp.select("id", key, "__comp", "arrival", "__size",
+                       epoch_micros(comp, "starts_at").alias("s"), epoch_micros(comp, "ends_at").alias("e"))
+    small = _catalyst_fold(rows.filter(F.col("__size").isNull()), key, id_type)
     # Large components: each lands whole in one partition (hash on target and
     # component), sorted by arrival inside it, and is folded as a stream.
-    large = (multi.filter(F.col("__size") > CATALYST_FOLD_MAX).drop("__size")
+    large = (rows.filter(F.col("__size").isNotNull()).drop("__size")
              .withColumnRenamed(key, "__key")
              .repartition("__key", "__comp")
              .sortWithinPartitions("__key", "__comp", "arrival", "id")
              .mapInPandas(_fold_sorted, f"id {id_type}, ok boolean"))
-    return single.unionByName(small).unionByName(large)
-
-
-def _blocked_by_existing(requests: DataFrame, existing: DataFrame, req_key: str,
-                         ex_key: str) -> DataFrame:
-    """Ids of requests overlapping an unfinished existing promotion on the
-    key: a pair-free sweep (``plans.ranges.overlaps_any``), linear however
-    many windows one key holds."""
-    ex = existing.filter(rules.is_unfinished()).select(
-        F.col(ex_key).alias("__exk"), F.col("starts_at").alias("__exs"),
-        F.col("ends_at").alias("__exe"))
-    rq = requests.select("id", F.col(req_key).alias("__rk"), F.col("starts_at").alias("__rs"),
-                         F.col("ends_at").alias("__re"))
-    return overlaps_any(rq, ex, "__rk", "__exk", "__rs", "__re", "__exs", "__exe")
+    return small.unionByName(large)
 
 
 def admit(requests: DataFrame, existing: DataFrame, products: DataFrame) -> DataFrame:
@@ -181,10 +223,12 @@ def admit(requests: DataFrame, existing: DataFrame, products: DataFrame) -> Data
     rq = prod_req_c.select(F.col("id").alias("__rid"), F.col("req_category_id").alias("__rk"),
                            F.col("starts_at").alias("__rs"), F.col("ends_at").alias("__re"),
                            F.col("arrival").alias("__ra"))
-    b3 = (overlap_join(rq, ca, "__rk", "__ck", "__rs", "__re", "__cs", "__ce")
-          .filter((F.col("__ca") < F.col("__ra")) | ((F.col("__ca") == F.col("__ra"))
-                                                     & (F.col("__cid") < F.col("__rid"))))
-          .select(F.col("__rid").alias("id")))
+    earliest = earliest_overlap(
+        rq.select(F.col("__rk").alias("key"), F.col("__rs").alias("start"), F.col("__re").alias("end"),
+                  F.struct(F.col("__ra").alias("arrival"), F.col("__rid").alias("id")).alias("id")),
+        ca.select(F.col("__ck").alias("key"), F.col("__cs").alias("start"), F.col("__ce").alias("end"), "__ca", "__cid"),
+        {"blocker": F.struct(F.col("__ca").alias("arrival"), F.col("__cid").alias("id"))})
+    b3 = earliest.filter(F.col("blocker") < F.col("id")).select("id.id")
     blocked = blocked_existing.unionByName(b3).distinct()
     prod_free = prod_req_c.join(blocked, "id", "left_anti")
     prod_ok = _fold_by_key(prod_free.drop("req_category_id"), "target_product_id").filter("ok").select("id")
@@ -222,11 +266,15 @@ def _target_keys(df: DataFrame, cat_col: str) -> DataFrame:
 
 def first_blockers(candidates: DataFrame, blockers: DataFrame, products: DataFrame,
                    order_col: str) -> DataFrame:
-    """W3 over a set: per candidate the first blocker (oldest created_at,
-    then id) that applies to its target, overlaps its window and precedes it
-    (blocker ``order_col`` NULL, smaller, or equal with a smaller id).
-    Returns ``id, scope, reason, conflicting_promotion_id`` for candidates
-    with a hit. Runs as a time-bucketed overlap join on the target key."""
+    """W3 over a set: per candidate the first blocker that applies to its
+    target, overlaps its window and precedes it (blocker ``order_col`` NULL,
+    smaller, or equal with a smaller id).
+
+    First is: the smallest (``order_col``, id) of those with an order, the
+    oldest created_at, then id, of those without, and of these two the one
+    with the older created_at. Returns ``id, scope, reason,
+    conflicting_promotion_id`` for candidates with a hit. No pairs are made
+    (``ranges.earliest_overlap``)."""
     pcat = products.select(F.col("id").alias("__pid"), F.col("category_id").alias("__pc"))
     c = candidates.select("id", "scope", "target_product_id", "target_category_id", "starts_at",
                           "ends_at", F.col(order_col).alias("__ord"))
@@ -243,10 +291,23 @@ def first_blockers(candidates: DataFrame, blockers: DataFrame, products: DataFra
          .otherwise(F.concat(F.lit("C|"), F.col("target_category_id").cast("string"))).alias("__bkk"),
         F.col("starts_at").alias("__bs"), F.col("ends_at").alias("__be"),
         F.col("created_at").alias("existing_created_at"), F.col(order_col).alias("__bord"))
-    pairs = overlap_join(ck, b, "__kk", "__bkk", "starts_at", "ends_at", "__bs", "__be")
-    pairs = pairs.filter(F.col("__bord").isNull() | (F.col("__bord") < F.col("__ord"))
-                         | ((F.col("__bord") == F.col("__ord")) & (F.col("__bid") < F.col("id"))))
-    first = rules.top1_per_key(pairs.withColumnRenamed("__bid", "existing_id"), "id",
-                               [F.col("existing_created_at").asc_nulls_last(), F.col("existing_id").asc()])
-    return first.select("id", "scope", rules.conflict_reason().alias("reason"),
-                        F.col("existing_id").alias("conflicting_promotion_id"))
+    # A blocker with an order value must come before the candidate; one without always does.
+    oldest = [F.col("existing_created_at").isNull().alias("undated"), F.col("existing_created_at").alias("created"),
+              F.col("__bid").alias("bid"), F.col("existing_scope").alias("existing_scope")]
+    first = earliest_overlap(
+        ck.select(F.col("__kk").alias("key"), F.col("starts_at").alias("start"), F.col("ends_at").alias("end"), "id"),
+        b.select(F.col("__bkk").alias("key"), F.col("__bs").alias("start"), F.col("__be").alias("end"),
+                 "__bid", "__bord", "existing_created_at", "existing_scope"),
+        {"ordered": F.when(F.col("__bord").isNotNull(), F.struct(F.col("__bord").alias("ord"), F.col("__bid").alias("bid"),
+                                                                F.struct(*oldest).alias("blocker"))),
+         "standing": F.when(F.col("__bord").isNull(), F.struct(*oldest))})
+    hit = c.select("id", "scope", "__ord").join(first, "id")
+    before = (F.col("ordered.ord") < F.col("__ord")) | ((F.col("ordered.ord") == F.col("__ord"))
+                                                        & (F.col("ordered.bid") < F.col("id")))
+    blocker = F.array_min(F.filter(F.array(F.when(before, F.col("ordered.blocker")), F.col("standing")),
+                                   lambda x: x.isNotNull()))
+    hit = hit.withColumn("__blocker", blocker).filter(F.col("__blocker").isNotNull())
+    hit = hit.select("id", "scope", F.col("__blocker.existing_scope").alias("existing_scope"),
+                     F.col("__blocker.bid").alias("existing_id"))
+    return hit.select("id", "scope", rules.conflict_reason().alias("reason"),
+                      F.col("existing_id").alias("conflicting_promotion_id"))

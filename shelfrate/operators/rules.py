@@ -178,34 +178,11 @@ def applicable_promotions(products: DataFrame, promotions: DataFrame,
 
 # ---------------------------------------------------------------- conflicts
 
-def overlapping_pairs(existing: DataFrame, candidates: DataFrame, key_existing: str,
-                      key_candidate: str) -> DataFrame:
-    """Candidate x existing unfinished promotions on the same key whose
-    windows overlap. Equi join on the key with the F2 residual (stays a
-    hash/sort-merge join, never a nested loop)."""
-    e = existing.filter(is_unfinished()).select(
-        F.col(key_existing).alias("__ek"), F.col("id").alias("existing_id"),
-        F.col("scope").alias("existing_scope"), F.col("starts_at").alias("existing_starts_at"),
-        F.col("ends_at").alias("existing_ends_at"), F.col("created_at").alias("existing_created_at"))
-    c = candidates
-    cond = (c[key_candidate] == e["__ek"]) & windows_overlap(
-        c["starts_at"], c["ends_at"], e["existing_starts_at"], e["existing_ends_at"])
-    return c.join(e, cond, "inner").drop("__ek")
-
-
 def conflict_reason(existing_scope="existing_scope") -> Column:
     return F.when(_c(existing_scope) == "PRODUCT", F.lit(REASON_PRODUCT)).otherwise(
         F.lit(REASON_CATEGORY))
 
 
-def first_conflicts(pairs: DataFrame, candidate_id: str = "id") -> DataFrame:
-    """Per candidate the first conflicting promotion (oldest created_at,
-    then id) and the reason."""
-    top = top1_per_key(pairs, candidate_id,
-                       [F.col("existing_created_at").asc_nulls_last(), F.col("existing_id").asc()])
-    return top.withColumn("reason", conflict_reason())
-
-
 def conflict_payload(df: DataFrame) -> DataFrame:
     """The conflict payload fields."""
     return df.select("*", F.lit(CONFLICT_ERROR).alias("error"),

@@ -1,12 +1,10 @@
-"""Interval-overlap join on a key, bucketed by time.
-
-Joining two sets of [start, end) windows on ``key`` with only an overlap
-residual puts every pair of a hot key through one task and compares all of
-them. Here each window is exploded into the fixed-width time buckets it
-touches and the equi-join runs on (key, bucket): a key's windows spread
-over as many tasks as its timeline has buckets, and only windows that
-share a bucket are compared. A pair is emitted once, in the bucket holding
-the start of the overlap.
+"""Joins of [start, end) windows on a key.
+
+``overlap_join`` gives all pairs, by dyadic covers of time buckets: a window
+of any length is a few rows. ``earliest_overlap`` gives each window the first
+of the windows it overlaps, without making pairs: a segment tree over the
+sorted line of all starts and ends, as aggregates and equi-joins.
+``overlaps_any`` only tells whether there is one.
 """
 
 from __future__ import annotations
@@ -15,39 +13,127 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfrate.functions.timeutil import epoch_micros
-from shelfrate.plans.ordering import range_partition
+from shelfrate.plans.dyadic import cover, levels_in, nodes_of
+from shelfrate.plans.ordering import global_row_number, range_partition
+
+# With two days, timestamps of the years 1 to 9999 need 21 levels: at most 42 rows for a window and 21 for its start.
+DEFAULT_BUCKET_SECONDS = 2 * 86400
+
 
-DEFAULT_BUCKET_SECONDS = 30 * 86400
+def _micros(df: DataFrame, col: str) -> Column:
+    """Epoch microseconds of an instant, or of a column that holds them already."""
+    return F.col(col) if dict(df.dtypes)[col] == "bigint" else epoch_micros(df, col)
 
 
 def _bucket_of(micros: Column, width: int) -> Column:
     return F.floor(micros / F.lit(width * 1_000_000)).cast("bigint")
 
 
-def _explode_buckets(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    first = _bucket_of(epoch_micros(df, start), width)
+def cover_rows(df: DataFrame, start: str, end: str, width: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    """One row for each dyadic node of the time buckets that a window touches (``__level``, ``__node``)."""
+    first = _bucket_of(_micros(df, start), width)
     # end is exclusive: the last touched bucket is the one of (end - 1 us)
-    last = _bucket_of(epoch_micros(df, end) - F.lit(1), width)
-    return df.withColumn("__b", F.explode(F.sequence(first, F.greatest(first, last))))
+    last = F.greatest(first, _bucket_of(_micros(df, end) - F.lit(1), width))
+    return (df.withColumn("__n", F.explode(cover(first, last)))
+            .withColumn("__level", F.col("__n.level")).withColumn("__node", F.col("__n.node")).drop("__n"))
+
+
+def _start_rows(df: DataFrame, start: str, levels: list[int], width: int) -> DataFrame:
+    point = _bucket_of(_micros(df, start), width)
+    return (df.withColumn("__n", F.explode(nodes_of(point, levels)))
+            .withColumn("__at_level", F.col("__n.level")).withColumn("__at_node", F.col("__n.node")).drop("__n"))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                  left_start: str, left_end: str, right_start: str, right_end: str,
-                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS, how: str = "inner") -> DataFrame:
+                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Pairs (l, r) with l[left_key] == r[right_key] and overlapping windows.
 
-    Column names of ``left`` and ``right`` must be disjoint. Only ``inner``
-    (pairs) is supported; anti/semi forms can be built from the pairs.
+    Of two overlapping windows one holds the start of the other. So each
+    side's covers meet the other side's starts: on (key, level, node), which
+    spreads a key over as many tasks as its timeline has nodes. A pair comes
+    from the side that starts first (from the left at equal starts), once.
+    Column names of ``left`` and ``right`` must be disjoint.
+    """
+    overlap = ((F.col(left_start) < F.col(right_end)) & (F.col(right_start) < F.col(left_end)))
+    from_left = _starts_inside(left, right, left_key, right_key, left_start, left_end, right_start, bucket_seconds)
+    from_right = _starts_inside(right, left, right_key, left_key, right_start, right_end, left_start, bucket_seconds)
+    return (from_left.filter(overlap & (F.col(left_start) <= F.col(right_start)))
+            .unionByName(from_right.filter(overlap & (F.col(right_start) < F.col(left_start)))))
+
+
+def _starts_inside(outer: DataFrame, inner: DataFrame, outer_key: str, inner_key: str, outer_start: str,
+                   outer_end: str, inner_start: str, width: int) -> DataFrame:
+    covers = cover_rows(outer, outer_start, outer_end, width)
+    levels = levels_in(covers.select(F.col("__level").alias("level")))
+    starts = _start_rows(inner, inner_start, levels, width)
+    cond = ((covers[outer_key] == starts[inner_key]) & (covers["__level"] == starts["__at_level"])
+            & (covers["__node"] == starts["__at_node"]))
+    return covers.join(starts, cond).drop("__level", "__node", "__at_level", "__at_node")
+
+
+def earliest_overlap(candidates: DataFrame, blockers: DataFrame, ranks: dict[str, Column]) -> DataFrame:
+    """``id`` of every candidate that overlaps a blocker, with the smallest of each of the ``ranks`` among these.
+
+    ``candidates`` is (key, start, end, id), ``blockers`` (key, start, end)
+    and the columns of the rank expressions. A candidate's id may come with
+    several keys. Windows that do not end after they start, which validation
+    refuses, are paired by ``overlap_join``.
+
+    All starts and ends are numbered along one line, sorted by key and time,
+    at equal times: blocker ends, candidates, blocker starts. A blocker that
+    overlaps either starts inside the candidate - the smallest rank over a
+    range of numbers, from a table with the smallest rank of each dyadic node
+    - or holds its start - the smallest rank over the point's nodes in a
+    table of the blockers' covers. Both tables are aggregates, so nothing
+    grows with how many windows meet; and numbers lie evenly however
+    the windows are spread over keys and time.
     """
-    assert how == "inner"
-    lb = _explode_buckets(left, left_start, left_end, bucket_seconds).withColumnRenamed("__b", "__lb")
-    rb = _explode_buckets(right, right_start, right_end, bucket_seconds).withColumnRenamed("__b", "__rb")
-    cond = ((lb[left_key] == rb[right_key]) & (lb["__lb"] == rb["__rb"])
-            & (lb[left_start] < rb[right_end]) & (rb[right_start] < lb[left_end]))
-    j = lb.join(rb, cond, "inner")
-    overlap_start = F.greatest(epoch_micros(lb, left_start), epoch_micros(rb, right_start))
-    j = j.filter(_bucket_of(overlap_start, bucket_seconds) == F.col("__lb"))
-    return j.drop("__lb", "__rb")
+    names = list(ranks)
+    c = candidates.select(F.col("key").alias("__key"), _micros(candidates, "start").alias("__s"),
+                          _micros(candidates, "end").alias("__e"), F.col("id").alias("__id"))
+    b = blockers.select(F.col("key").alias("__key"), _micros(blockers, "start").alias("__s"),
+                        _micros(blockers, "end").alias("__e"), *[v.alias(n) for n, v in ranks.items()])
+    b = b.withColumn("__id", F.lit(None).cast(dict(c.dtypes)["__id"]))
+    for n, t in [(n, dict(b.dtypes)[n]) for n in names]:
+        c = c.withColumn(n, F.lit(None).cast(t))
+    rows = c.withColumn("__side", F.lit(1)).unionByName(b.withColumn("__side", F.lit(0)))
+    rows = rows.filter(F.col("__key").isNotNull() & F.col("__s").isNotNull() & F.col("__e").isNotNull())
+    every = rows.withColumn("__row", F.monotonically_increasing_id()).checkpoint(eager=True)
+    rows, malformed = every.filter("__s < __e"), every.filter("__s >= __e")
+    kind = F.when(F.col("__side") == 1, F.lit(1))
+    events = rows.select("__row", "__key", F.explode(F.array(
+        F.struct(F.col("__s").alias("t"), kind.otherwise(F.lit(2)).alias("kind"), F.lit(0).alias("last")),
+        F.struct(F.col("__e").alias("t"), kind.otherwise(F.lit(0)).alias("kind"), F.lit(1).alias("last")))).alias("ev"))
+    events = events.select("__row", "__key", "ev.t", "ev.kind", "ev.last")
+    numbered = global_row_number(events, [F.col("__key"), F.col("t"), F.col("kind"), F.col("__row")], out="__n")
+    ends = numbered.groupBy("__row").agg(F.min("__n").alias("__first"), F.max("__n").alias("__last"))
+    placed = rows.join(ends, "__row").select("__side", "__id", "__first", "__last", *names).checkpoint(eager=True)
+    cand, block = placed.filter("__side = 1"), placed.filter("__side = 0")
+
+    inside = cover(F.col("__first") + 1, F.col("__last") - 1)
+    smallest = [F.min(n).alias(n) for n in names]
+    spread = lambda df, nodes, cols: df.select(*cols, F.explode(nodes).alias("x")).select(
+        *cols, "x.level", "x.node")
+    ranges = spread(cand, inside, ["__id"])
+    starts = spread(block, nodes_of(F.col("__first"), levels_in(ranges)), names).groupBy("level", "node").agg(*smallest)
+    covers = spread(block, inside, names).groupBy("level", "node").agg(*smallest).checkpoint(eager=True)
+    points = spread(cand, nodes_of(F.col("__first"), levels_in(covers)), ["__id"])
+    hits = (ranges.join(starts, ["level", "node"]).unionByName(points.join(covers, ["level", "node"])))
+    if not malformed.isEmpty():
+        hits = hits.drop("level", "node").unionByName(_malformed_pairs(rows, malformed, names))
+    return hits.groupBy(F.col("__id").alias("id")).agg(*smallest)
+
+
+def _malformed_pairs(rows: DataFrame, malformed: DataFrame, names: list[str]) -> DataFrame:
+    """(__id, ranks) of the overlaps in which a window does not end after its start."""
+    def pairs(cand: DataFrame, block: DataFrame) -> DataFrame:
+        block = block.filter("__side = 0").select(
+            F.col("__key").alias("__bk"), F.col("__s").alias("__bs"), F.col("__e").alias("__be"), *names)
+        cand = cand.filter("__side = 1").select("__id", "__key", "__s", "__e")
+        return overlap_join(cand, block, "__key", "__bk", "__s", "__e", "__bs", "__be").select("__id", *names)
+
+    return pairs(malformed, rows.unionByName(malformed)).unionByName(pairs(rows, malformed))
 
 
 def overlaps_any(candidates: DataFrame, blockers: DataFrame, cand_key: str, block_key: str,
