@@ -76,3 +76,11 @@ DISCOUNT_TYPES = ("PERCENTAGE", "FIXED_AMOUNT")
 SCOPES = ("PRODUCT", "CATEGORY")
 PROMOTION_STATUSES = ("SCHEDULED", "ACTIVE", "CANCELLED", "EXPIRED")
 UNFINISHED_STATUSES = ("ACTIVE", "SCHEDULED")
+
+# Key by which a stored table is divided into buckets: what an ingest looks its rows up by.
+TABLE_KEYS = {
+    "products": ("sku",),
+    "categories": ("name",),
+    "ingest_batches": ("vendor_id", "source_file"),
+    "ingest_row_results": ("batch_id",),
+}
