@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfrate.llm.common import prepare, table, written
 from shelfrate.llm.decontaminate import decontaminate
 from shelfrate.llm.mixing import mix
-from shelfrate.llm.near_dup import near_duplicates
+from shelfrate.llm.near_dup import one_of_each
 from shelfrate.llm.pii import redact_documents
 from shelfrate.llm.quality_classifier import CUT, score_documents, train
 
@@ -21,7 +21,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the classifier, trained on the stage's own input, accepts."""
+    """Keep the documents that the classifier, trained on the stage's own input, accepts.
+
+    A null or empty text is scored like any other; repeated rows fare alike; without labels of both kinds the
+    scores are all equal and reach the cut.
+    """
     prepare(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score_documents(docs, model, carry=(*COLUMNS[2:], "text"))
@@ -29,30 +33,29 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document (the smallest id) of each group of near-duplicates: five words, similarity 0.8."""
+    """Keep one document (the smallest id) of each group of near-duplicates: five words, similarity 0.8.
+
+    Null ids, repeated ids and rows without words: see ``one_of_each``; an empty table stays empty.
+    """
     prepare(spark)
-    # Rows that repeat an id are one document.
-    groups = near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
-    without_id = docs.where(F.col("doc_id").isNull()).select(*COLUMNS)
-    return (docs.join(groups, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
-            .unionByName(without_id.dropDuplicates(["text"])))
+    return one_of_each(docs.select(*COLUMNS), size=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop every document that holds a window of a benchmark item."""
+    """Drop every document that holds a window of a benchmark item; texts without words and an empty table pass."""
     prepare(spark)
     judged = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS)
     return judged.where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every personal data span by its kind; ``n_chars`` follows the new text."""
+    """Replace every personal data span by its kind; ``n_chars`` follows the new text (a null text is empty)."""
     prepare(spark)
     return redact_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample the documents to the raked source, language and topic weights."""
+    """Sample the documents to the raked source, language and topic weights; null sources and languages are ''."""
     prepare(spark)
     return (mix(docs).where("_kept").select(*COLUMNS, F.col("_topic").alias("topic"), F.round("_prob", 6).alias("prob")))
 
