@@ -9,7 +9,8 @@ the anchor are equal there. Only places whose context differs from others
 of the same anchor are compared window by window.
 
 Places are (id, position); "earlier" is their order. Rows that repeat an id
-are read as one document; rows with a null id are left out.
+and text are read as one document, one id with several texts as several in
+the order of their hashes; rows with a null id are left out.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from shelfrate.llm.common import written
 from shelfrate.llm.tokens import prefix_sums, stretch_hash
 from shelfrate.llm.winnow import Runs, anchor_runs
+from shelfrate.plans.ordering import global_row_number
 
 # Contexts of one anchor that a map task sends on one by one.
 MAX_CONTEXTS = 64
@@ -232,21 +234,87 @@ def with_lists(docs: DataFrame, seeds: DataFrame, *states: tuple[int, ...]) -> D
     return docs.join(lists, "doc").select("doc", "text", *[f"wanted{i}" for i in range(len(states))])
 
 
+_WINDOW_ROWS = "gram long, window long, doc long, start long"
+
+
+def _marks(keep_first: bool):
+    """The repeated rows of one sorted partition; its first and last row also come back as edges."""
+    names = ["gram", "window", "doc", "start", "edge"]
+
+    def out(cols, pick, edge):
+        rows = [c[pick] for c in cols]
+        return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.full(len(rows[0]), edge))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(i).to_numpy() for i in range(4)]
+            if tail is None:
+                yield out(cols, slice(0, 1), True)
+            else:
+                cols = [np.concatenate((t, c)) for t, c in zip(tail, cols, strict=True)]
+            gram, window, doc, start = cols
+            # a row that repeats a place is no other place
+            again = ((gram[1:] == gram[:-1]) & (window[1:] == window[:-1])
+                     & ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1])))
+            hit = np.append(False, again)
+            if not keep_first:
+                hit[:-1] |= again
+            yield out(cols, hit, False)
+            tail = [c[-1:] for c in cols]
+        if tail is not None:
+            yield out(tail, slice(0, 1), True)
+    return run
+
+
 def repeated_windows(windows: DataFrame, search: Search) -> DataFrame:
-    """(doc, start) of the repeated ones of the written ``windows`` (gram, window, doc, start)."""
-    place = F.struct("doc", "start")
-    groups = (windows.groupBy("gram", "window").agg(F.min(place).alias("lead"), F.max(place).alias("tail"))
-              .where(F.col("lead") != F.col("tail")))
-    hits = windows.join(groups, ["gram", "window"])
-    if search.keep_first:
-        hits = hits.where(place != F.col("lead"))
-    return hits.select("doc", "start")
+    """(doc, start) of the repeated ones of ``windows`` (gram, window, doc, start).
+
+    All windows are sorted over all partitions, equal ones by place, so a row
+    is repeated if the row before it is equal (or behind it, where the first
+    one counts as well). A window found very often spreads like any others,
+    and nothing is joined. Rows at the ends of partitions are compared again
+    among themselves.
+    """
+    order = ["gram", "window", "doc", "start"]
+    schema = f"{_WINDOW_ROWS}, edge boolean"
+    marked = written(windows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+                     .mapInArrow(_marks(search.keep_first), schema), "repeated")
+    ends = (marked.where("edge").select(*order).coalesce(1).sortWithinPartitions(*order)
+            .mapInArrow(_marks(search.keep_first), schema))
+    return marked.unionByName(ends).where(~F.col("edge")).select("doc", "start")
+
+
+def ordered_texts(src: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``src`` (doc, text) with a number for each text in place of ids that stand for several texts.
+
+    Places are known by ``doc``, so an id with unrelated texts would get the
+    removals of each on all of them. If there is any such id, all texts are
+    numbered in the order of id and text hash, and (doc, id) tells the ids.
+    """
+    texts = src.where(F.col("doc").isNotNull()).select("doc", F.xxhash64("text").alias("mark")).distinct()
+    texts = written(texts, "texts")
+    if texts.groupBy("doc").count().where(F.col("count") > 1).isEmpty():
+        return src, None
+    numbers = written(global_row_number(texts, [F.col("doc"), F.col("mark")], out="number"), "numbers")
+    joined = src.withColumn("mark", F.xxhash64("text")).join(numbers, ["doc", "mark"], "left")
+    return joined.select(F.col("number").alias("doc"), "text"), numbers.select(
+        F.col("number").alias("doc"), F.col("doc").alias("id"))
+
+
+def with_ids(out: DataFrame, numbers: DataFrame | None, id_col: str) -> DataFrame:
+    """``out`` with the ids instead of the numbers of ``ordered_texts``."""
+    if numbers is None:
+        return out.withColumnRenamed("doc", id_col)
+    named = out.join(numbers, "doc", "left")
+    return named.select(F.col("id").alias(id_col), *[c for c in out.columns if c != "doc"])
 
 
 def compare_windows(listed_docs: DataFrame, search: Search) -> DataFrame:
     """(doc, start) of the repeated windows among all windows of the listed places."""
-    rows = listed_docs.mapInArrow(_windows(search), "gram long, window long, doc long, start long")
-    return repeated_windows(written(rows, "windows"), search)
+    return repeated_windows(listed_docs.mapInArrow(_windows(search), _WINDOW_ROWS), search)
 
 
 def window_starts(runs: Runs, wanted: np.ndarray) -> np.ndarray:

@@ -7,8 +7,9 @@ the length threshold. The earliest copy (smaller id, or earlier start in one doc
 stays, the words of later copies go.
 
 Edge cases: a null text has no words; texts shorter than a window lose
-nothing; repeated rows of an id are one document and get the same result; a
-row with a null id loses nothing and is compared with nothing; an empty
+nothing; repeated rows of an id and text are one document and get the same
+result, one id with several texts is several documents in the order of their
+hashes; a row with a null id loses nothing and is compared with nothing; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from shelfrate.llm.common import written
 from shelfrate.llm.repeats import (COMPARE, MANY, WHOLE, Search, compare_windows, covered, find_seeds, listed,
-                                   window_starts, with_lists)
+                                   ordered_texts, window_starts, with_ids, with_lists)
 from shelfrate.llm.tokens import hashed_words, utf8
 from shelfrate.llm.winnow import anchor_runs
 
@@ -78,6 +79,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     """id, n_words, n_removed, kept_sha256, removed word spans and (on request) the kept text of every row."""
     search = Search(hashed_words, length, gram, keep_first=True)
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    src, numbers = ordered_texts(src)
     known = src.where(F.col("doc").isNotNull() & F.col("text").isNotNull())
     seeds = written(find_seeds(known, search), "seeds")
     later = written(compare_windows(with_lists(known, seeds, (COMPARE, MANY)), search), "later-windows")
@@ -86,6 +88,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
              .groupBy("doc").agg(F.collect_list("whole").alias("whole"), F.collect_list("start").alias("start")))
     out = (src.join(lists, "doc", "left").select("doc", "text", "whole", "start")
            .mapInArrow(_removed(search, with_text), _OUT))
-    return out.withColumnRenamed("doc", id_col)
+    return with_ids(out, numbers, id_col)
 
 

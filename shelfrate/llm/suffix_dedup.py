@@ -12,7 +12,8 @@ By default later copies go and the earliest one stays; with
 
 Edge cases: null and empty texts have no bytes; texts shorter than the
 length lose nothing; overlapping repeats within a text count; repeated rows
-of an id are one document and get the same result; a row with a null id
+of an id and text are one document and get the same result, one id with
+several texts is several documents in the order of their hashes; a row with a null id
 loses nothing and is compared with nothing; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfrate.llm.common import written
-from shelfrate.llm.repeats import (BOTH, COMPARE, MANY, WHOLE, Search, covered, find_seeds, listed, repeated_windows,
-                                   window_rows, with_lists)
+from shelfrate.llm.repeats import (BOTH, COMPARE, MANY, WHOLE, Search, covered, find_seeds, listed, ordered_texts,
+                                   repeated_windows, window_rows, with_ids, with_lists)
 from shelfrate.llm.substring_dedup import spans_of
 from shelfrate.llm.suffix_array import repeated_factors
 from shelfrate.llm.tokens import BYTE_TABLE, utf8
@@ -153,6 +154,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     """id, n_bytes, n_removed, n_spans, kept_sha256, removed byte spans and (on request) the kept bytes of every row."""
     search = Search(byte_symbols, length, gram, keep_first)
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    src, numbers = ordered_texts(src)
     known = src.where(F.col("doc").isNotNull() & F.col("text").isNotNull())
     seeds = written(find_seeds(known, search), "seeds")
     places = written(with_lists(known, seeds, (COMPARE, BOTH), (MANY,)).mapInArrow(
@@ -171,4 +173,4 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
              .select("doc", "whole", F.col("runs.first").alias("first"), F.col("runs.last").alias("last")))
     out = (src.join(lists, "doc", "left").select("doc", "text", "whole", "first", "last")
            .mapInArrow(_removed(search, with_bytes), _OUT))
-    return out.withColumnRenamed("doc", id_col)
+    return with_ids(out, numbers, id_col)

@@ -128,3 +128,38 @@ def test_nulls_repeats_and_empty_table(spark):
     assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("5", 0), ("5", 0), ("6", 0), ("7", 0), ("None", 0)]
     assert remove_repeats(docs_frame(spark, rows).limit(0)).count() == 0
     assert remove_repeated_bytes(docs_frame(spark, rows).limit(0)).count() == 0
+
+
+def test_one_id_with_unrelated_texts(spark):
+    """Texts of one id keep their own spans: a text without any repeat loses nothing."""
+    rng = random.Random(21)
+    passage = prose(rng, 45, 10**6)
+    u, v, w, x = (c + prose(rng, 30, 10**6) for c in "UVWX")
+    rows = [(1, passage + " " + u), (2, passage + " " + v), (2, w), (2, w), (3, x + " " + passage), (None, passage)]
+    docs = docs_frame(spark, rows).repartition(3)
+    got = {(r.doc_id, r.kept) for r in remove_repeats(docs, with_text=True).collect()}
+    assert got == {(1, passage + " " + u), (2, v), (2, w), (3, x), (None, passage)}
+    out = remove_repeated_bytes(docs, keep_first=False, with_bytes=True).collect()
+    assert len(out) == len(rows)
+    kept = {(r.doc_id, bytes(r.kept).decode().strip(), r.n_spans) for r in out}
+    assert kept == {(1, u, 1), (2, v, 1), (2, w, 0), (3, x, 1), (None, passage, 0)}
+
+
+def test_sorted_windows_over_many_partitions(spark):
+    """Equal windows over partition ends, repeated places, and both ways of counting the first one."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(4), rng.randrange(3), rng.randrange(6), rng.randrange(5)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "gram long, window long, doc long, start long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for keep_first in (True, False):
+            search = repeats.Search(None, 20, 6, keep_first)
+            got = {tuple(r) for r in repeats.repeated_windows(df, search).collect()}
+            want = set()
+            for g, w, d, s in rows:
+                places = {(y, z) for a, b, y, z in rows if (a, b) == (g, w)}
+                if len(places) > 1 and not (keep_first and (d, s) == min(places)):
+                    want.add((d, s))
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
