@@ -106,7 +106,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"),
                         F.coalesce("lang", F.lit("")).alias("lang"), F.col("_topic").alias("topic"),
                         F.col("_tokens").alias("n_tokens"), F.round("_weight", 6).alias("weight"),
-                        F.round("_prob", 6).alias("prob"), F.col("_kept").alias("kept"))
+                        F.round("_prob", 6).alias("prob"), F.round("_miss", 6).alias("miss"),
+                        F.col("_kept").alias("kept"))
 
 
 ORACLE["op9_mixing"] = mixing_sql()

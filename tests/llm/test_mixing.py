@@ -69,3 +69,51 @@ def test_no_python_in_the_plan(spark):
     docs = spark.range(5).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit("s").alias("source"),
                                  F.lit("l").alias("lang"))
     assert "Python" not in mix(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def spread(spark, table):
+    """Documents whose tokens by (source, lang) are ``table``: texts of 400 code points, 100 tokens each."""
+    rows, at = [], 0
+    for (s, lang), n in table.items():
+        for _ in range(n):
+            rows.append((at, "x" * 400, lang, s))
+            at += 1
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def shares(mixed, dim):
+    got = mixed.groupBy(dim).agg(F.sum(F.col("_tokens") * F.col("_prob")).alias("v")).collect()
+    whole = sum(r.v for r in got)
+    return {r[dim]: r.v / whole for r in got}, whole
+
+
+def test_attainable_targets_are_met_though_probabilities_are_cut(spark):
+    docs = spread(spark, {("hot", "en"): 500, ("hot", "de"): 100, ("cold", "en"): 100, ("cold", "de"): 300})
+    targets = {"source": values(spark, [("hot", 0.5), ("cold", 0.5)], "source string, share double"),
+               "lang": values(spark, [("en", 0.5), ("de", 0.5)], "lang string, share double")}
+    mixed = mix(docs, targets=targets, budget=0.78).cache()
+    assert mixed.agg(F.max("_prob")).head()[0] == pytest.approx(1.0, abs=1e-4)
+    for dim in ("source", "lang"):
+        got, whole = shares(mixed, dim)
+        assert all(v == pytest.approx(0.5, abs=1e-3) for v in got.values()), got
+        assert whole == pytest.approx(0.78 * 100_000, rel=1e-3)
+    assert mixed.agg(F.max("_miss")).head()[0] < 1e-3
+
+
+def test_a_target_beyond_the_tokens_takes_all_and_says_so(spark):
+    docs = spread(spark, {("hot", "en"): 900, ("cold", "en"): 100})
+    targets = {"source": values(spark, [("hot", 0.5), ("cold", 0.5)], "source string, share double")}
+    mixed = mix(docs, targets=targets, budget=0.5).cache()
+    probs = {r.source: r._prob for r in mixed.select("source", "_prob").distinct().collect()}
+    assert probs["cold"] == 1.0 and probs["hot"] == pytest.approx(400 / 900)
+    assert mixed.select("_miss").distinct().head()[0] == pytest.approx(0.3)
+
+
+def test_many_cells_are_raked_alike_by_joins(spark, monkeypatch):
+    docs = frame(spark, 300)
+    want = {r.doc_id: (r._prob, r._miss) for r in mix(docs).select("doc_id", "_prob", "_miss").collect()}
+    monkeypatch.setattr("shelfrate.llm.mixing.MAX_BROADCAST_CELLS", 0)
+    got = {r.doc_id: (r._prob, r._miss) for r in mix(docs).select("doc_id", "_prob", "_miss").collect()}
+    assert got.keys() == want.keys()
+    for k, v in got.items():
+        assert v == pytest.approx(want[k], abs=1e-9)
