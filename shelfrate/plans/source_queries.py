@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfrate.functions.text import feed_file_error, object_key_parts
 from shelfrate.plans.catalog import register
+from shelfrate.plans.joins import release_measured
+from shelfrate.session import scratch_dir
 from shelfrate.sources import driver_tables as dt
+from shelfrate.sources.feed_csv import list_csv_files
 from shelfrate.sources.messages import split_messages
+from shelfrate.sources.quoted_csv import read_quoted_feed
 from shelfrate.sources.synthetic import synthetic_rows
 
 
@@ -75,3 +81,22 @@ def dead_letter_split(spark, sf_dir):
                         F.col("message.k").cast("bigint").alias("k"))
             .unionByName(dead.select("event_id", F.lit("DEAD_LETTER").alias("outcome"),
                                      F.lit(None).cast("bigint").alias("k"))))
+
+
+@register("quoted_feed", """
+SELECT CAST(doc_id AS VARCHAR) AS sku, md5(coalesce(text, '')) AS text_md5, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars,
+       CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines, coalesce(lang, '') AS category, FALSE AS corrupt
+FROM documents""")
+def quoted_feed(spark, sf_dir):
+    """Whole texts delivered as quoted CSV cells with line breaks, read back in splits."""
+    release_measured()
+    folder = scratch_dir(spark, f"quoted-{uuid.uuid4().hex}")
+    docs = dt.read_table(spark, sf_dir, "documents")
+    (docs.select(F.col("doc_id").alias("sku"), F.col("text").alias("name"), F.col("lang").alias("category"))
+     .write.options(header="true", quoteAll="true", escape='"', ignoreLeadingWhiteSpace="false",
+                    ignoreTrailingWhiteSpace="false").csv(folder))
+    feed = read_quoted_feed(spark, list_csv_files(spark, [folder]), ("sku", "name", "category"))
+    return feed.select("sku", F.md5(F.col("name").cast("binary")).alias("text_md5"),
+                       F.length("name").cast("bigint").alias("n_chars"),
+                       F.size(F.split("name", "\n")).cast("bigint").alias("n_lines"), "category",
+                       F.col("_corrupt_record").isNotNull().alias("corrupt"))
