@@ -15,6 +15,7 @@ from shelfrate.sources.feed_csv import list_csv_files
 from shelfrate.sources.messages import split_messages
 from shelfrate.sources.quoted_csv import read_quoted_feed
 from shelfrate.sources.synthetic import synthetic_rows
+from shelfrate.streaming.retries import MAX_ATTEMPTS, MessageLog, drain, final_outcomes, start_message_stream
 
 
 @register("synthetic_feed", """
@@ -100,3 +101,32 @@ def quoted_feed(spark, sf_dir):
                        F.length("name").cast("bigint").alias("n_chars"),
                        F.size(F.split("name", "\n")).cast("bigint").alias("n_lines"), "category",
                        F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
+@register("message_retries", f"""
+WITH m AS (SELECT event_id, CASE WHEN event_type = 'error' THEN substr(props, 1, length(props) - 1) ELSE props END AS body FROM events),
+d AS (SELECT event_id, json_valid(body) AS ok,
+             CASE WHEN json_valid(body) THEN CAST(json_extract(body, '$.k') AS BIGINT) % 5 END AS failures FROM m)
+SELECT event_id, CASE WHEN ok AND failures < {MAX_ATTEMPTS} THEN 'OK' ELSE 'DEAD_LETTER' END AS outcome,
+       CASE WHEN NOT ok THEN 1 WHEN failures < {MAX_ATTEMPTS} THEN failures + 1 ELSE {MAX_ATTEMPTS} END::INTEGER AS attempts,
+       CASE WHEN NOT ok THEN 'MALFORMED_JSON' WHEN failures >= {MAX_ATTEMPTS} THEN 'busy' END AS reason
+FROM d""")
+def message_retries(spark, sf_dir):
+    """The events as a message stream whose messages fail k mod 5 times; error events arrive truncated."""
+    folder = scratch_dir(spark, f"messages-{uuid.uuid4().hex}")
+    body = F.when(F.col("event_type") == "error", F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    (dt.read_table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("message_id"), body.alias("body"))
+     .repartition("message_id").write.parquet(f"{folder}/inbox"))
+    n_files = len(spark.read.parquet(f"{folder}/inbox").inputFiles())
+    stream = (spark.readStream.schema("message_id string, body string").option("maxFilesPerTrigger", -(-n_files // 3))
+              .parquet(f"{folder}/inbox"))
+    log = MessageLog(spark, f"{folder}/log")
+
+    def process(good):
+        busy = F.col("attempts") <= F.col("message.k") % 5
+        return good.select("message_id", F.when(busy, F.lit("busy")).alias("error"))
+
+    query = start_message_stream(stream, log, process, f"{folder}/checkpoint")
+    query.awaitTermination()
+    drain(log, process)
+    return final_outcomes(log).select(F.col("message_id").cast("bigint").alias("event_id"), "outcome", "attempts", "reason")
