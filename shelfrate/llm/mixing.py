@@ -46,8 +46,8 @@ WHOLE = 1e50
 ALPHA = 0.7
 SEED = "mix-1"
 CHARS_PER_TOKEN = 4
-# Cells up to this number are broadcast to the documents (about 100 bytes a cell), and a category's cells are summed
-# by a window; beyond it by an aggregate that is joined back, so that a category may hold any number of cells.
+# Cells up to this number are broadcast to the documents (about 100 bytes a cell) and raked by one task, with windows
+# over a category; beyond it all tasks rake, with sums joined back, so that a category may hold any number of cells.
 MAX_BROADCAST_CELLS = 200_000
 
 
@@ -142,7 +142,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
     out = written(out.withColumn("weight", weight).drop(*[f"_whole_{d}" for d in targets]), "raked")
     every = ROUND if few else 1
     for done in range(0, sweeps, every):
-        nxt = out
+        nxt = out.coalesce(1) if few else out  # few cells need no shuffle for each dimension
         for dim in list(targets) * min(every, sweeps - done):
             nxt = _stepped(nxt, dim, given, few)
         last, out = out, written(nxt, "raked")  # each round reads the last one: plans stay small
