@@ -63,13 +63,20 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
     return model
 
 
-def threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray, precision: float) -> float:
-    """The lowest score above which the weighted precision holds; infinite if none does."""
-    order = np.argsort(-score, kind="stable")
-    s, hits, all_ = score[order], np.cumsum((y * weight)[order]), np.cumsum(weight[order])
-    last = np.append(s[1:] != s[:-1], True)  # a tie is taken or left as a whole
-    ok = np.flatnonzero(last & (hits >= precision * all_))
-    return float(s[ok[-1]]) if len(ok) else float("inf")
+def threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> float:
+    """The lowest score whose calibrated share of label 1 reaches ``rate``; infinite if none does.
+
+    Shares are calibrated by isotonic regression: of equal scores the weighted
+    mean, and neighbours that would fall with the score are pooled.
+    """
+    blocks: list[list[float]] = []  # lowest score, weight of label 1, weight
+    for s in np.unique(score):
+        at = score == s
+        blocks.append([float(s), float((y * weight)[at].sum()), float(weight[at].sum())])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            low = blocks.pop(-2)
+            blocks[-1] = [low[0], low[1] + blocks[-1][1], low[2] + blocks[-1][2]]
+    return next((s for s, hits, all_ in blocks if hits >= rate * all_), float("inf"))
 
 
 def as_column(model: dict, columns: list[Column]) -> Column:

@@ -1,15 +1,18 @@
 """Personal data: overlapping candidate spans scored by boosted trees.
 
-High-recall generators (regular expressions) propose spans; a proposal is
-described by its format and its context; boosted trees, trained for each
-generator on which proposals pass the generator's own evidence (grammar,
-check digits, digit count with a telephone form or word; not the strict
-patterns), score it; a threshold for each generator, calibrated for precision
-on a separate fold of documents, selects the spans that are added to the
-strict ones. A generator's weights are scaled to one sum, so what is rare in
-the corpus is judged like what is frequent. Only DataFrame functions touch the rows;
-the driver sees the counts of the feature grid, whose size is bounded by
-the number of feature values.
+High-recall generators (regular expressions) propose spans. Each proposal is
+seen twice. Its check (address grammar, address groups, octets, check digits
+and issuer, digit count with a telephone form or word) is the label; its shape and
+context (lengths, separators, neighbouring characters and words) are the
+features, and no feature is a part of the check. A check can be passed by
+chance, as by one in ten order numbers, so passing it is not enough: boosted
+trees for each generator learn how often proposals of a shape and context
+pass, and a threshold, calibrated on a separate fold of documents, is the
+lowest score at which at most one in five of those that pass would do so by
+chance. Spans that pass and reach the threshold are added to the strict ones.
+A generator's weights are scaled to one sum, so the amount of data does not
+matter. Only DataFrame functions touch the rows; the driver sees the counts
+of the feature grid, whose size is bounded by the number of feature values.
 
 Positions count code points, ends are exclusive. The strict patterns are
 written so that every search is linear in the length of the text: a match
@@ -32,7 +35,7 @@ from shelfrate.llm.boosted_trees import as_column, boost, margins, threshold
 from shelfrate.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
-PRECISION = 0.98
+PRECISION = 0.8
 CONTEXT = 24
 
 # The strict patterns in linear-time form, in the order of KINDS.
@@ -46,7 +49,8 @@ STRICT = {
 GENERATORS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]{1,63}+"
               r"(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{1,63}+){1,6}+", "(?i)@|[\\[(]at[\\])]"),
-    ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", "[0-9A-Fa-f]:[0-9A-Fa-f]"),
+    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z]|:[0-9A-Fa-f:])",
+     "[0-9A-Fa-f]:[0-9A-Fa-f:]"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?: ?[.,] ?[0-9]{1,3}){3}(?![0-9])", "[0-9] ?[.,] ?[0-9]"),
     ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])", "[0-9]{13}"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[ ._/-]{1,2}[0-9]{4}){3}(?![0-9])", "[0-9]{4}[ ._/-]{1,2}[0-9]{4}"),
@@ -56,16 +60,23 @@ GENERATORS = (
 )
 # No pattern above matches a text without one of these.
 ANY = r"(?i)[0-9@]|[\[(]at[\])]|[a-f]:[a-f]"
-# Of features that separate a generator's proposals equally well the trees take the first.
-FEATURES = ("format", "form", "tel", "gen", "digits", "groups", "sep", "luhn", "octets", "plus", "left", "right", "word")
+# Shape and context. Of features that separate a generator's proposals equally well the trees take the first.
+FEATURES = ("alpha", "digits", "groups", "gaps", "sep", "plus", "left", "right", "prev", "word")
+# How often something else of a generator's shape passes its check: a tenth of all numbers has a right check digit.
+CHANCE = (0.02, 0.02, 0.02, 0.1, 0.1, 0.02, 0.02)
+MIN_FOLD = 20
 # Weight that a generator's proposals have together.
 WEIGHT = 1000.0
 _TEL = r"(?i)(phone|tel|call|mobile|cell|fax|contact)[^a-z]*$"
 _ADDRESS = r"(?i)^[a-z0-9._%+-]+(?:@| ?[\[(]at[\])] ?)[a-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[a-z0-9-]+)*(?:\.| ?[\[(]dot[\])] ?)[a-z]{2,24}$"
 # Card numbers of 13 to 15 digits have few issuers.
 _SHORT_CARD = r"^(?:4[0-9]{12}|3[0689][0-9]{12}|3[47][0-9]{13}|(?:1800|2131)[0-9]{11})$"
-_DATE = r"^(?:(?:19|20)[0-9]{2}[ ./-][0-9]{2}[ ./-][0-9]{2}|[0-9]{2}[ ./-][0-9]{2}[ ./-](?:19|20)[0-9]{2})"
-_HINTS = r"(?i)(card|visa|credit|phone|tel|call|mobile|mail|contact|address|host|server|ip)[^a-z]*$"
+_DATE = r"^(?:\(?(?:19|20)[0-9]{2}\)?[ ./-][0-9]{2}[ ./-][0-9]{2}|[0-9]{2}[ ./-][0-9]{2}[ ./-](?:19|20)[0-9]{2})"
+# Eight groups, or fewer around one "::".
+_GROUPS = r"(?i)^(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?=[^0-9]*[0-9])(?!(?:[^:]*:){8})(?:[0-9a-f]{1,4}:)+(?::[0-9a-f]{1,4})+)$"
+# The word before a span: what numbers of another kind go by, and what personal data goes by.
+_OTHER = r"(?i)(order|number|item|invoice|code|ref|id|no|version|date|part|serial|isbn|on|at)[^a-z]*$"
+_HINTS = r"(?i)(card|visa|credit|pay|mail|contact|address|host|server|ip)[^a-z]*$"
 
 
 def _matches(text: Column, pattern: str, needs: str | None) -> tuple[Column, Column]:
@@ -132,7 +143,7 @@ def _format(gen: int, match: Column, after: Column) -> Column:
     if gen == 0:
         return match.rlike(_ADDRESS)
     if gen == 1:
-        return F.size(F.split(match, ":")) == 8
+        return match.rlike(_GROUPS)
     if gen == 2:
         return match.rlike(_OCTETS)
     if gen in (3, 4):
@@ -159,20 +170,23 @@ def _described(text: Column, kind: str, gen: int, spans: Column) -> Column:
         form = F.when(match.startswith("("), 1).when(match.startswith("00"), 2).otherwise(0)
         tel = before.rlike(_TEL)
         # A number without + needs a telephone form or word.
-        evident = valid & ((form > 0) | tel) if gen == 5 else valid
+        passes = valid & ((form > 0) | tel) if gen == 5 else valid
+        prev = F.substring(F.rtrim(before), -1, 1)
+        # An address may hold any number.
+        number = F.lit(0) if kind == "email" else F.least(n, F.lit(20))
+        groups = (F.lit(0) if kind == "email" else
+                  F.least(F.size(F.regexp_extract_all(match, F.lit("[0-9]+"), F.lit(0))), F.lit(9)))
         return F.struct(
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-            F.lit(gen).alias("gen"),
-            F.when(n < 8, 0).when(n < 13, 1).when(n < 16, 2).when(n == 16, 3).when(n < 20, 4).otherwise(5).alias("digits"),
-            F.least(F.size(F.regexp_extract_all(match, F.lit("[0-9]+"), F.lit(0))), F.lit(5)).alias("groups"),
+            F.lit(gen).alias("gen"), number.alias("digits"),
+            groups.alias("groups"),
+            F.least(F.length(match) - F.length(F.translate(match, " ", "")), F.lit(3)).alias("gaps"),
             F.when(seps == "", 0).when(seps.rlike("^ +$"), 1).when(seps.rlike("^-+$"), 2).when(seps.rlike(r"^\.+$"), 3)
              .otherwise(4).alias("sep"),
-            F.when(n.between(13, 19), _luhn(digits).cast("int")).otherwise(0).alias("luhn"),
-            match.rlike(_OCTETS).cast("int").alias("octets"),
-            match.startswith("+").cast("int").alias("plus"),
-            _char_class(left).alias("left"), _char_class(right).alias("right"),
-            before.rlike(_HINTS).cast("int").alias("word"), valid.cast("int").alias("format"), form.alias("form"),
-            tel.cast("int").alias("tel"), evident.cast("int").alias("y"))
+            match.rlike(r"\p{L}").cast("int").alias("alpha"), match.startswith("+").cast("int").alias("plus"),
+            _char_class(left).alias("left"), _char_class(right).alias("right"), _char_class(prev).alias("prev"),
+            F.when(before.rlike(_HINTS), 2).when(before.rlike(_OTHER), 0).otherwise(1).alias("word"),
+            passes.cast("int").alias("y"))
     return F.transform(spans, one)
 
 
@@ -221,32 +235,36 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("_id", *base, cands.alias("_cands"), *[f"_c{i}" for i in range(len(carry))])
 
 
-def train_selector(candidates: DataFrame, precision: float = PRECISION) -> dict | None:
+def train_selector(candidates: DataFrame, precision: float = PRECISION, features: tuple[str, ...] = FEATURES) -> dict | None:
     """Trees and threshold by generator, from all proposals of all documents.
 
-    Label 1: the proposal passes the evidence of its generator. Three
-    quarters of the documents train, one quarter calibrates; a generator
-    whose proposals leave one of them without a label uses all for both.
+    Label 1: the proposal passes the check of its generator. Three quarters
+    of the documents train, one quarter calibrates; a generator with fewer
+    than ``MIN_FOLD`` proposals of a label in one of them uses all for both. Where a
+    share r of proposals pass and others pass with probability c, a share
+    c (1 - r) / (r (1 - c)) of what passes does so by chance; the threshold
+    is where one less that share reaches ``precision``.
     """
     grid = (candidates.where(F.size("_cands") > 0).select("_id", F.explode("_cands").alias("c"))
-            .groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES], F.col("c.y").alias("y"),
+            .groupBy(F.col("c.gen").alias("gen"), *[F.col(f"c.{f}").alias(f) for f in features], F.col("c.y").alias("y"),
                      (F.pmod(F.xxhash64("_id"), F.lit(4)) == 0).alias("calibrate"))
-            .count().orderBy(*FEATURES, "y", "calibrate").collect())
+            .count().orderBy("gen", *features, "y", "calibrate").collect())
     out = {}
     for gen in sorted({r.gen for r in grid}):
         rows = [r for r in grid if r.gen == gen]
-        x = np.array([[r[f] for f in FEATURES] for r in rows])
+        x = np.array([[r[f] for f in features] for r in rows])
         y, w = np.array([r.y for r in rows], float), np.array([r["count"] for r in rows], float)
-        w *= WEIGHT / w.sum()
         cal = np.array([bool(r.calibrate) for r in rows])
         fit = ~cal
-        if len(set(y[fit])) < len(set(y)) or len(set(y[cal])) < len(set(y)):
+        if min(w[fold & (y == label)].sum() for fold in (fit, cal) for label in set(y)) < MIN_FOLD:
             cal = fit = np.ones(len(rows), bool)
+        w *= WEIGHT / w.sum()
         model = boost(x[fit], y[fit], w[fit])
         score = margins(model, x)
-        cut = threshold(score[cal], y[cal], w[cal], precision)
+        chance = CHANCE[gen]
+        cut = threshold(score[cal], y[cal], w[cal], chance / (chance + (1 - chance) * (1 - precision)))
         if np.isfinite(cut):
-            out[gen] = {"trees": model, "cut": cut}
+            out[gen] = {"trees": model, "cut": cut, "features": features}
     return out or None
 
 
@@ -257,9 +275,9 @@ def select_spans(candidates: DataFrame, model: dict | None) -> DataFrame:
         def picked(c: Column) -> Column:
             high = F.lit(False)
             for gen, m in model.items():
-                score = as_column(m["trees"], [c[f] for f in FEATURES])
+                score = as_column(m["trees"], [c[f] for f in m["features"]])
                 high = F.when(c["gen"] == gen, score >= m["cut"] - 1e-9).otherwise(high)
-            return high & ~F.exists("_base", lambda b: _overlaps(b, c))
+            return (c["y"] == 1) & high & ~F.exists("_base", lambda b: _overlaps(b, c))
 
         plain = F.transform(F.filter("_cands", picked),
                             lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
@@ -277,10 +295,10 @@ def select_spans(candidates: DataFrame, model: dict | None) -> DataFrame:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             candidates: DataFrame | None = None) -> DataFrame:
+             candidates: DataFrame | None = None, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """Counts by kind, digest of the strict spans, all spans as text and as an array, of every row."""
     cands = written(find_candidates(docs, id_col, text_col), "pii-candidates") if candidates is None else candidates
-    rows = select_spans(cands, train_selector(cands))
+    rows = select_spans(cands, train_selector(cands, features=features))
     return rows.select(
         F.col("_id").alias(id_col), *[F.size(f"_b_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(_joined([F.col(f"_b_{k}") for k in KINDS]).cast("binary"), 256).alias("base_sha256"),

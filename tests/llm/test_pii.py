@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfrate.llm.boosted_trees import as_column, boost, margins, threshold
-from shelfrate.llm.pii import KINDS, find_pii, redact_documents
+from shelfrate.llm.pii import FEATURES, KINDS, find_candidates, find_pii, redact_documents
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
             "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
@@ -93,6 +93,43 @@ def test_rare_and_frequent_forms_alike(spark, share):
         assert set(filter(None, r.spans.split(","))) == strict | want
 
 
+def numbers(prefix, n):
+    """Numbers of 15 digits, of which one in ten has a right check digit."""
+    return [f"{prefix}{i * 7919 % 10**11:011d}2" for i in range(n)]
+
+
+def test_context_decides(spark):
+    """Order numbers that pass the check by chance are left alone; without the context features they are added."""
+    cards = [c for c in numbers("378", 3000) if luhn(c)][:150]
+    orders = numbers("371", 300)
+    rows = [(i, f"they pay by card {c} today") for i, c in enumerate(cards)]
+    rows += [(1000 + i, f"we sent order number {c} today") for i, c in enumerate(orders)]
+    frame = docs_frame(spark, rows)
+    got = {r.doc_id: r.spans for r in find_pii(frame).collect()}
+    assert all(got[i] == "card:17:32" for i in range(150)) and all(got[1000 + i] == "" for i in range(300))
+    shape = tuple(f for f in FEATURES if f not in ("left", "right", "prev", "word"))
+    blind = {r.doc_id: r.spans for r in find_pii(frame, features=shape).collect()}
+    chance = [i for i, c in enumerate(orders) if luhn(c)]
+    assert 20 < len(chance) < 40 and all((blind[1000 + i] != "") == (i in chance) for i in range(300))
+
+
+def test_no_feature_is_the_label(spark):
+    """Equal features with either label: a check digit cannot be read from shape and context."""
+    rows = [(i, f"see {c} here") for i, c in enumerate(numbers("371", 200))]
+    cands = find_candidates(docs_frame(spark, rows)).select(F.explode("_cands").alias("c")).select("c.*")
+    kinds = cands.groupBy("gen", *FEATURES).agg(F.min("y").alias("low"), F.max("y").alias("high")).collect()
+    assert len(kinds) == 1 and (kinds[0].low, kinds[0].high) == (0, 1)
+
+
+def test_compressed_addresses_and_dates(spark):
+    """Short forms of addresses are found among many times of day; dates in parentheses are no telephone numbers."""
+    rows = [(i, f"at 12:34:{i % 50 + 10} we met, (2023) 12 31 15 44 and std::vector a::b") for i in range(80)]
+    rows += [(100, "host 2001:db8::1 is up"), (101, "from fe80::1ff:fe23:4567:890a, again"), (102, "12::34::56 1:2:3:4:5:6:7:8:9")]
+    got = {r.doc_id: r.spans for r in find_pii(docs_frame(spark, rows)).collect()}
+    assert got[100] == "ip:5:16" and got[101] == "ip:5:29" and got[102] == ""
+    assert all(got[i] == "" for i in range(80))
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.co or 1.2.3.4!"), (2, None), (3, "none"), (4, "\U0001f600 a@b.co")]
     got = {r.doc_id: r for r in redact_documents(docs_frame(spark, rows)).collect()}
