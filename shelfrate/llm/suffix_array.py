@@ -1,4 +1,4 @@
-"""Order of suffixes by their first bytes, and an equality test in place of longest-previous-factor arrays."""
+"""Suffixes in the order of their first bytes, common prefixes of neighbours, and longest-previous-factor arrays."""
 
 from __future__ import annotations
 
@@ -41,22 +41,61 @@ def prefix_keys(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray
         rank, have = key, parts * have
 
 
-def repeated_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start: is its longest previous factor, and is its longest next factor, at least ``length``?
+def common_prefixes(data: np.ndarray, left: np.ndarray, right: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that the suffixes at ``left`` and ``right`` share, pair by pair; ``length`` at most."""
+    word = np.zeros(len(data) - 7, np.uint64)
+    for j in range(8):
+        word = (word << np.uint64(8)) | data[j:len(word) + j].astype(np.uint64)
+    out = np.zeros(len(left), np.int64)
+    going = np.arange(len(left))
+    while len(going):
+        step = np.minimum(out[going], length - 8)  # the last word may overlap the one before it
+        differ = word[left[going] + step] ^ word[right[going] + step]
+        same = differ == 0
+        out[going[same]] = step[same] + 8
+        # Leading equal bytes of words that differ: the exponent of the difference tells the first other byte.
+        other = differ[~same]
+        out[going[~same]] = step[~same] + sum((other < np.uint64(1 << (64 - 8 * k))).astype(np.int64) for k in range(1, 8))
+        going = going[same]
+        going = going[out[going] < length]
+    return out
+
+
+def _to_smaller(value: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Common prefix of each row with the nearest row before it that has a smaller value; 0 without one.
 
-    ``starts`` are in corpus order. In suffix order, neighbours with equal
-    keys share ``length`` bytes, so each key is one stretch of the order.
-    The nearest smaller position before or behind a start in the suffix
-    order lies in its stretch exactly if the start is not the stretch's
-    smallest position; only then the longest previous factor reaches
-    ``length``. The mirror holds for larger positions.
+    ``lcp[i]`` is the common prefix of rows i - 1 and i. A row points at the
+    row before it and, while that has a larger value, goes on to where that
+    row points: everything between has a larger value, so no smaller one is missed, and
+    the ways double in length.
     """
-    key = prefix_keys(data, starts, length)
-    order = np.argsort(key)
-    ordered = key[order]
-    change = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    head, group = np.flatnonzero(change), np.cumsum(change) - 1
-    previous, following = np.empty(len(starts), bool), np.empty(len(starts), bool)
-    previous[order] = order > np.minimum.reduceat(order, head)[group]
-    following[order] = order < np.maximum.reduceat(order, head)[group]
-    return previous, following
+    n = len(value)
+    at, shared = np.arange(-1, n - 1), lcp.copy()
+    going = np.arange(1, n)
+    while len(going := going[(at[going] >= 0) & (value[at[going]] > value[going])]):
+        over = at[going]
+        shared[going], at[going] = np.minimum(shared[going], shared[over]), at[over]
+    return np.where(at >= 0, shared, 0)
+
+
+def previous_factors(data: np.ndarray, starts: np.ndarray, length: int,
+                     later: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """For each start the length of the longest string that also begins at an earlier start, up to ``length``.
+
+    ``starts`` are in corpus order. The previous and the next smaller
+    position of a start in suffix order share the longest prefixes with it
+    among all earlier starts. With ``later`` the second array holds the same
+    for later starts. Suffixes are ordered by their first ``length`` bytes,
+    equal ones by position.
+    """
+    order = np.argsort(prefix_keys(data, starts, length), kind="stable")
+    lcp = np.zeros(len(order), np.int64)
+    lcp[1:] = common_prefixes(data, starts[order[:-1]], starts[order[1:]], length)
+    back = np.concatenate(([0], lcp[:0:-1])) if len(lcp) else lcp  # common prefixes of the order read backwards
+
+    def longest(value: np.ndarray) -> np.ndarray:
+        out = np.empty(len(value), np.int64)
+        out[order] = np.maximum(_to_smaller(value, lcp), _to_smaller(value[::-1], back)[::-1])
+        return out
+
+    return longest(order), longest(-order) if later else None

@@ -2,10 +2,13 @@
 
 Every text is its UTF-8 bytes. Winnowed anchors of ``GRAM`` bytes bring the
 places together that can share a string of ``LENGTH`` bytes; the fragments
-around the places of one anchor meet in one task, which sorts their
-suffixes and tests for each start whether its longest previous (and next)
-factor reaches the length. Anchors with very many contexts are compared by
-window digests instead, spread over all tasks.
+around the places of one anchor meet in one task, which puts their suffixes
+in order, takes the common prefixes of neighbours and, through the previous
+and next smaller positions, the longest previous (or next) factor of each
+start; a start whose factor reaches the length begins a repeated string.
+Of an anchor with very many contexts the windows are sorted over all tasks by
+digest and position: there the row before an equal one is its previous
+smaller position.
 
 By default later copies go and the earliest one stays; with
 ``keep_first=False`` every copy goes.
@@ -32,7 +35,7 @@ from shelfrate.llm.common import written
 from shelfrate.llm.repeats import (BOTH, COMPARE, MANY, WHOLE, Search, covered, find_seeds, listed, ordered_texts,
                                    repeated_windows, window_rows, with_ids, with_lists)
 from shelfrate.llm.substring_dedup import spans_of
-from shelfrate.llm.suffix_array import repeated_factors
+from shelfrate.llm.suffix_array import previous_factors
 from shelfrate.llm.tokens import BYTE_TABLE, utf8
 from shelfrate.llm.winnow import anchor_runs
 
@@ -85,8 +88,9 @@ def _sorted_part(doc: np.ndarray, start: np.ndarray, pieces: list[bytes], search
     count = size - search.length + 1
     which = np.repeat(np.arange(len(pieces)), count)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    previous, following = repeated_factors(np.frombuffer(b"".join(pieces), np.uint8), begin[which] + inner, search.length)
-    hit = previous if search.keep_first else previous | following
+    previous, following = previous_factors(np.frombuffer(b"".join(pieces), np.uint8), begin[which] + inner, search.length,
+                                           later=not search.keep_first)
+    hit = (previous if search.keep_first else np.maximum(previous, following)) >= search.length
     same = which[1:] == which[:-1]
     first = np.flatnonzero(hit & ~np.concatenate(([False], hit[:-1] & same)))
     last = np.flatnonzero(hit & ~np.concatenate((hit[1:] & same, [False])))

@@ -9,7 +9,7 @@ from helpers import corpus, docs_frame, prose, words
 
 from shelfrate.llm import repeats, winnow
 from shelfrate.llm.substring_dedup import remove_repeats
-from shelfrate.llm.suffix_array import repeated_factors
+from shelfrate.llm.suffix_array import previous_factors
 from shelfrate.llm.suffix_dedup import remove_repeated_bytes
 
 
@@ -109,14 +109,24 @@ def test_long_text_in_pieces(monkeypatch):
 
 @pytest.mark.parametrize("length,letters,n", [(8, 2, 400), (12, 2, 400), (37, 1, 300), (200, 1, 900), (24, 2, 700)])
 def test_longest_factors_against_brute_force(length, letters, n):
-    rng = np.random.default_rng(length)
-    data = np.tile(rng.integers(97, 98 + letters, n // 2).astype(np.uint8), 2)
-    starts = np.arange(len(data) - length + 1)
-    previous, following = repeated_factors(data, starts, length)
-    raw = data.tobytes()
-    for s in starts:
-        same = [t for t in starts if raw[t:t + length] == raw[s:s + length]]
-        assert previous[s] == (min(same) < s) and following[s] == (max(same) > s)
+    """Lengths of the longest earlier and later factors, cut at ``length``, for every start and for some."""
+    rng = np.random.default_rng(n + length)
+    data = rng.integers(0, letters, n).astype(np.uint8)
+    data[n // 2:n // 2 + n // 4] = data[:n // 4]
+    text = data.tobytes()
+
+    def shared(a, b):
+        k = 0
+        while k < length and text[a + k] == text[b + k]:
+            k += 1
+        return k
+
+    every = np.arange(n - length + 1)
+    for starts in (every, every[rng.random(len(every)) < 0.3]):
+        previous, following = previous_factors(data, starts, length, later=True)
+        for i, s in enumerate(starts.tolist()):
+            assert previous[i] == max((shared(s, t) for t in starts[:i].tolist()), default=0)
+            assert following[i] == max((shared(s, t) for t in starts[i + 1:].tolist()), default=0)
 
 
 def test_nulls_repeats_and_empty_table(spark):
