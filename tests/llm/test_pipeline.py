@@ -132,5 +132,5 @@ def test_stages_on_empty_input_and_extra_columns(spark, data):
 
 def test_every_dealt_operator_is_registered_once():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
-    assert {"op1_url_filter", "op9_mixing"} <= set(entry.oracle_sql())
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
+    assert {"op1_url_filter", "op9_mixing", "op11_source_divergence", "op13_ranked_search"} <= set(entry.oracle_sql())
