@@ -4,7 +4,8 @@ High-recall generators (regular expressions) propose spans. Each proposal is
 seen twice. Its check (address grammar, address groups, octets, check digits
 and issuer, digit count with a telephone form or word) is the label; its shape and
 context (lengths, separators, neighbouring characters and words) are the
-features, and no feature is a part of the check. A check can be passed by
+features. No feature is the outcome of a check; the number of digits and of
+groups, which some checks also bound, are among them. A check can be passed by
 chance, as by one in ten order numbers, so passing it is not enough: boosted
 trees for each generator learn how often proposals of a shape and context
 pass, and a threshold, calibrated on a separate fold of documents, is the
