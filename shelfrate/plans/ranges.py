@@ -2,22 +2,30 @@
 
 ``overlap_join`` gives all pairs, by dyadic covers of time buckets: a window
 of any length is a few rows. ``earliest_overlap`` gives each window the first
-of the windows it overlaps, without making pairs: a segment tree over the
-sorted line of all starts and ends, as aggregates and equi-joins.
+of the windows it overlaps, without making pairs: the sorted line of all
+starts and ends is cut into blocks, a block answers for its own places, and
+whole blocks meet as dyadic nodes.
 ``overlaps_any`` only tells whether there is one.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from shelfrate.functions.timeutil import epoch_micros
 from shelfrate.plans.dyadic import cover, levels_in, nodes_of
+from shelfrate.plans.joins import join_small
 from shelfrate.plans.ordering import global_row_number, range_partition
 
 # With two days, timestamps of the years 1 to 9999 need 21 levels: at most 42 rows for a window and 21 for its start.
 DEFAULT_BUCKET_SECONDS = 2 * 86400
+# Places of the sorted line that a task answers for at a time.
+BLOCK = 1 << 14
 
 
 def _micros(df: DataFrame, col: str) -> Column:
@@ -82,47 +90,127 @@ def earliest_overlap(candidates: DataFrame, blockers: DataFrame, ranks: dict[str
 
     All starts and ends are numbered along one line, sorted by key and time,
     at equal times: blocker ends, candidates, blocker starts. A blocker that
-    overlaps either starts inside the candidate - the smallest rank over a
-    range of numbers, from a table with the smallest rank of each dyadic node
-    - or holds its start - the smallest rank over the point's nodes in a
-    table of the blockers' covers. Both tables are aggregates, so nothing
-    grows with how many windows meet; and numbers lie evenly however
-    the windows are spread over keys and time.
+    overlaps either starts inside the candidate or holds its start. The line
+    is cut into blocks of ``BLOCK`` places: a window is one or two rows there,
+    and a task answers for one block at a time (``_in_block``). The whole
+    blocks between a window's two ends are dyadic nodes over the blocks: the
+    smallest rank of the starts in a node for candidates, and for blockers
+    the smallest rank of each block, which comes into the block as one more
+    row. So a window is few rows, nothing grows with how many windows meet,
+    and numbers lie evenly however the windows are spread over keys and time.
+
+    Ranks travel as numbers in their order, and are looked up at the end.
     """
     names = list(ranks)
+    numbers = [f"__r{i}" for i in range(len(names))]
     c = candidates.select(F.col("key").alias("__key"), _micros(candidates, "start").alias("__s"),
                           _micros(candidates, "end").alias("__e"), F.col("id").alias("__id"))
     b = blockers.select(F.col("key").alias("__key"), _micros(blockers, "start").alias("__s"),
                         _micros(blockers, "end").alias("__e"), *[v.alias(n) for n, v in ranks.items()])
+    b = b.filter(F.col("__key").isNotNull() & F.col("__s").isNotNull() & F.col("__e").isNotNull())
+    lookups = []
+    for n, number in zip(names, numbers, strict=True):
+        # Rows without a rank are left out of the sort: they would all lie in one range.
+        some = global_row_number(b.filter(F.col(n).isNotNull()), [F.col(n)], out=number)
+        lookups.append(some.select(number, n))
+        b = some.drop(n).unionByName(b.filter(F.col(n).isNull()).drop(n).withColumn(number, F.lit(None).cast("long")))
     b = b.withColumn("__id", F.lit(None).cast(dict(c.dtypes)["__id"]))
-    for n, t in [(n, dict(b.dtypes)[n]) for n in names]:
-        c = c.withColumn(n, F.lit(None).cast(t))
+    c = c.filter(F.col("__key").isNotNull() & F.col("__s").isNotNull() & F.col("__e").isNotNull())
+    c = c.select("*", *[F.lit(None).cast("long").alias(r) for r in numbers])
     rows = c.withColumn("__side", F.lit(1)).unionByName(b.withColumn("__side", F.lit(0)))
-    rows = rows.filter(F.col("__key").isNotNull() & F.col("__s").isNotNull() & F.col("__e").isNotNull())
     every = rows.withColumn("__row", F.monotonically_increasing_id()).checkpoint(eager=True)
     rows, malformed = every.filter("__s < __e"), every.filter("__s >= __e")
     kind = F.when(F.col("__side") == 1, F.lit(1))
     events = rows.select("__row", "__key", F.explode(F.array(
-        F.struct(F.col("__s").alias("t"), kind.otherwise(F.lit(2)).alias("kind"), F.lit(0).alias("last")),
-        F.struct(F.col("__e").alias("t"), kind.otherwise(F.lit(0)).alias("kind"), F.lit(1).alias("last")))).alias("ev"))
-    events = events.select("__row", "__key", "ev.t", "ev.kind", "ev.last")
+        F.struct(F.col("__s").alias("t"), kind.otherwise(F.lit(2)).alias("kind")),
+        F.struct(F.col("__e").alias("t"), kind.otherwise(F.lit(0)).alias("kind")))).alias("ev"))
+    events = events.select("__row", "__key", "ev.t", "ev.kind")
     numbered = global_row_number(events, [F.col("__key"), F.col("t"), F.col("kind"), F.col("__row")], out="__n")
     ends = numbered.groupBy("__row").agg(F.min("__n").alias("__first"), F.max("__n").alias("__last"))
-    placed = rows.join(ends, "__row").select("__side", "__id", "__first", "__last", *names).checkpoint(eager=True)
+    block_of = lambda c: F.floor(F.col(c) / F.lit(BLOCK)).cast("bigint")
+    placed = rows.join(ends, "__row").select(
+        "__side", "__id", "__first", "__last", block_of("__first").alias("__fb"), block_of("__last").alias("__lb"),
+        *numbers).checkpoint(eager=True)
     cand, block = placed.filter("__side = 1"), placed.filter("__side = 0")
 
-    inside = cover(F.col("__first") + 1, F.col("__last") - 1)
-    smallest = [F.min(n).alias(n) for n in names]
+    smallest = [F.min(r).alias(r) for r in numbers]
+    whole = cover(F.col("__fb") + 1, F.col("__lb") - 1)
     spread = lambda df, nodes, cols: df.select(*cols, F.explode(nodes).alias("x")).select(
         *cols, "x.level", "x.node")
-    ranges = spread(cand, inside, ["__id"])
-    starts = spread(block, nodes_of(F.col("__first"), levels_in(ranges)), names).groupBy("level", "node").agg(*smallest)
-    covers = spread(block, inside, names).groupBy("level", "node").agg(*smallest).checkpoint(eager=True)
-    points = spread(cand, nodes_of(F.col("__first"), levels_in(covers)), ["__id"])
-    hits = (ranges.join(starts, ["level", "node"]).unionByName(points.join(covers, ["level", "node"])))
+    across = lambda df: df.filter("__lb > __fb + 1")
+    ranges = spread(across(cand), whole, ["__id"])
+    fewer = block.groupBy("__fb").agg(*smallest).checkpoint(eager=True)  # one row a block at most
+    starts = spread(fewer, nodes_of(F.col("__fb"), levels_in(ranges)), numbers).groupBy("level", "node").agg(*smallest)
+    covers = spread(across(block), whole, numbers).groupBy("level", "node").agg(*smallest).checkpoint(eager=True)
+    held = (spread(cand.select("__fb").distinct(), nodes_of(F.col("__fb"), levels_in(covers)), ["__fb"])
+            .join(covers, ["level", "node"]).groupBy("__fb").agg(*smallest))
+
+    low, high = F.col("__first") % BLOCK, F.col("__last") % BLOCK
+    piece = lambda at, first, last, start: F.struct(
+        at.alias("__block"), first.cast("int").alias("__a"), last.cast("int").alias("__b"), start.cast("int").alias("__p"))
+    alone = F.col("__fb") == F.col("__lb")
+    pieces = F.array(piece(F.col("__fb"), low + 1, F.when(alone, high - 1).otherwise(BLOCK - 1), low),
+                     F.when(~alone, piece(F.col("__lb"), F.lit(0), high - 1, F.lit(-1))))
+    parts = (placed.select("__side", "__id", *numbers, F.explode(F.filter(pieces, lambda x: x.isNotNull())).alias("x"))
+             .select("x.*", "__side", "__id", *numbers))
+    parts = parts.unionByName(held.select(
+        F.col("__fb").alias("__block"), F.lit(0).alias("__a"), F.lit(BLOCK - 1).alias("__b"), F.lit(-1).alias("__p"),
+        F.lit(0).alias("__side"), F.lit(None).cast(dict(c.dtypes)["__id"]).alias("__id"), *numbers))
+    found = StructType([StructField("__id", c.schema["__id"].dataType), *[StructField(r, LongType()) for r in numbers]])
+    hits = (parts.groupBy("__block").applyInArrow(_in_block(numbers), found)
+            .unionByName(join_small(ranges, starts, ["level", "node"], "inner").select("__id", *numbers)))
     if not malformed.isEmpty():
-        hits = hits.drop("level", "node").unionByName(_malformed_pairs(rows, malformed, names))
-    return hits.groupBy(F.col("__id").alias("id")).agg(*smallest)
+        hits = hits.unionByName(_malformed_pairs(rows, malformed, numbers))
+    out = hits.groupBy(F.col("__id").alias("id")).agg(*smallest)
+    for number, lookup in zip(numbers, lookups, strict=True):
+        out = out.join(lookup, number, "left").drop(number)
+    return out.select("id", *names)
+
+
+def _in_block(numbers: list[str]):
+    """Smallest ranks of a block's candidates.
+
+    A row is the part ``__a``..``__b`` of a window that lies in the block (none
+    if ``__b`` is smaller), and the place ``__p`` of its start, -1 if that lies
+    before. Two sparse tables over the places: the smallest rank of the
+    starts in a span, and of the blockers that hold a place.
+    """
+    none = np.iinfo(np.int64).max
+
+    def run(table: pa.Table) -> pa.Table:
+        side, a, b, p = (table.column(n).to_numpy() for n in ("__side", "__a", "__b", "__p"))
+        size = b.astype(np.int64) - a + 1
+        level = np.where(size > 0, np.frexp(np.maximum(size, 1).astype(float))[1] - 1, -1)
+        is_cand, best = side == 1, {}
+        for r in numbers:
+            rank = pc.fill_null(table.column(r), none).to_numpy()
+            top = BLOCK.bit_length()
+            starting = np.full((top, BLOCK), none)
+            begins = np.flatnonzero(~is_cand & (p >= 0))
+            starting[0][p[begins]] = rank[begins]
+            for k in range(1, top):
+                half = 1 << (k - 1)
+                starting[k] = starting[k - 1]
+                np.minimum(starting[k - 1][:-half], starting[k - 1][half:], out=starting[k][:-half])
+            holding = np.full((top, BLOCK), none)
+            held = np.flatnonzero(~is_cand & (size > 0))
+            np.minimum.at(holding, (level[held], a[held]), rank[held])
+            np.minimum.at(holding, (level[held], b[held] + 1 - (1 << level[held])), rank[held])
+            for k in range(top - 1, 0, -1):
+                half = 1 << (k - 1)
+                np.minimum(holding[k - 1], holding[k], out=holding[k - 1])
+                np.minimum(holding[k - 1][half:], holding[k][:-half], out=holding[k - 1][half:])
+            low = np.full(len(side), none)
+            asks = np.flatnonzero(is_cand & (size > 0))
+            low[asks] = np.minimum(starting[level[asks], a[asks]],
+                                   starting[level[asks], b[asks] + 1 - (1 << level[asks])])
+            points = np.flatnonzero(is_cand & (p >= 0))
+            low[points] = np.minimum(low[points], holding[0][p[points]])
+            best[r] = low
+        hit = np.flatnonzero(np.min([best[r] for r in numbers], axis=0) < none)
+        found = [pa.array(best[r][hit], mask=best[r][hit] == none) for r in numbers]
+        return pa.Table.from_arrays([table.column("__id").take(pa.array(hit)), *found], names=["__id", *numbers])
+    return run
 
 
 def _malformed_pairs(rows: DataFrame, malformed: DataFrame, names: list[str]) -> DataFrame:

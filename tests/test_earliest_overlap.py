@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfrate.operators import admission
+from shelfrate.plans import ranges
 from shelfrate.plans.dyadic import cover, nodes_of
 from shelfrate.plans.ranges import cover_rows, earliest_overlap, overlap_join
 
@@ -116,3 +117,29 @@ def test_first_blocker_takes_orders_and_standing_blockers(spark):
             b = min(ordered + standing, key=old)
             want[c[0]] = (f"EXISTING_{b[1]}_PROMOTION", b[0])
     assert got == want
+
+
+@pytest.mark.parametrize("block", [4, 16, 1 << 14])
+def test_windows_over_many_blocks(spark, monkeypatch, block):
+    """Windows that lie in one block, reach into the next, or hold many; a window is some rows, however many it meets."""
+    monkeypatch.setattr(ranges, "BLOCK", block)
+    rnd = random.Random(block)
+    c, b = _windows(rnd, 150, 0, True), _windows(rnd, 140, 10_000, True)
+    rank = {y[0]: rnd.randrange(30) for y in b}
+    cdf = spark.createDataFrame(c, "id long, key string, start timestamp, end timestamp")
+    bdf = spark.createDataFrame([(*y, rank[y[0]]) for y in b], "bid long, key string, start timestamp, end timestamp, rank int")
+    got = earliest_overlap(cdf, bdf, {"low": F.struct("rank", "bid"), "none": F.when(F.col("bid") < 0, F.col("bid"))}).collect()
+    want = {x[0]: min((rank[y[0]], y[0]) for y in b if _meet(x, y)) for x in c if any(_meet(x, y) for y in b)}
+    assert {r.id: (tuple(r.low), r.none) for r in got} == {i: (w, None) for i, w in want.items()}
+
+
+def test_a_window_is_few_rows_in_blocks(spark, monkeypatch):
+    n, joins = 5000, []
+    rows = spark.range(n).selectExpr(
+        "id", "'hot' AS key", "timestamp_micros(1700000000000000 + id * 1000000) AS start",
+        "timestamp_micros(1800000000000000 + ((id * 7919) % 10007) * 1000000) AS end", "id AS rank")
+    join, kind = type(rows).join, type(rows)
+    monkeypatch.setattr(kind, "join", lambda *args, **kw: joins.append(join(*args, **kw)) or joins[-1])
+    got = earliest_overlap(rows.select("id", "key", "start", "end"), rows, {"low": F.col("rank")}).collect()
+    assert len(got) == n and {r.low for r in got} == {0}
+    assert max(j.count() for j in joins) <= 4 * n  # the starts and ends of candidates and blockers
