@@ -6,9 +6,12 @@ on feature differences. The rejection threshold is a quantile of the
 training scores: the share of label 0. Scores are shifted so that this
 quantile maps to ``CUT``.
 
-The fit reads a bounded sample of the labelled rows: at most
-``MAX_PER_CLASS`` of each class, the smallest by a hash of the id (the same
-rows whatever the partitioning). Everything else covers all rows.
+The fit and the quantile take every labelled row outside the held-out fold.
+The rows of each class are dealt by hash into pieces of about ``PIECE``, each
+piece of the larger class meets one of the other, and a Newton step adds up
+the gradients of all pieces in Spark. The sums are decimal, so the model does
+not change with the partitioning. The quantile is exact, by histograms that
+are narrowed until few scores are left.
 
 Edge cases: a null or empty text has a score like any other (all its
 features are zero); a null id is never held out; label rows with a null id
@@ -20,19 +23,23 @@ result; other columns of the inputs are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfrate.llm.common import written
 from shelfrate.llm.quality_rules import repeated_window_words
 
-MAX_PER_CLASS = 4000
+# Rows of a class in a piece, expected.
+PIECE = 4000
 PAIRS_PER_DOC = 8
 L2 = 1e-3
 CUT = 0.3
+# Distinct scores the driver looks at to find the quantile, and bins of a histogram.
+FEW, BINS = 4096, 1024
 # Folds of crc32(id): fold 0 is held out.
 FOLDS = 5
 FEATURES = ("few_words", "many_words", "symbols", "pipes", "upper", "exclaim", "digits", "repeat", "same_next",
@@ -71,17 +78,26 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-def fit_bradley_terry(good: np.ndarray, bad: np.ndarray, seed: int = 17) -> np.ndarray:
-    """Weights that minimize the logistic loss of good-minus-bad differences (Newton steps)."""
+def pair_differences(good: np.ndarray, bad: np.ndarray, seed: int = 17) -> np.ndarray:
+    """Features of a good document minus those of a bad one, ``PAIRS_PER_DOC`` pairs for each of the larger class."""
     rng = np.random.default_rng(seed)
     n = PAIRS_PER_DOC * max(len(good), len(bad))
-    diff = good[rng.integers(len(good), size=n)] - bad[rng.integers(len(bad), size=n)]
-    w = np.zeros(diff.shape[1])
+    return good[rng.integers(len(good), size=n)] - bad[rng.integers(len(bad), size=n)]
+
+
+def loss_sums(diff: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Number of pairs, negative gradient and Hessian of their logistic loss, one after the other."""
+    p = 1.0 / (1.0 + np.exp(np.clip(diff @ w, -30, 30)))
+    return np.concatenate([[len(diff)], (diff * p[:, None]).sum(0), ((diff * (p * (1 - p))[:, None]).T @ diff).ravel()])
+
+
+def newton(sums: Callable[[np.ndarray], np.ndarray], k: int = len(FEATURES)) -> np.ndarray:
+    """Weights of k features that minimize the mean logistic loss; ``sums`` gives ``loss_sums`` over all pairs."""
+    w = np.zeros(k)
     for _ in range(30):
-        p = 1.0 / (1.0 + np.exp(np.clip(diff @ w, -30, 30)))
-        grad = -(diff * p[:, None]).mean(0) + L2 * w
-        hess = (diff * (p * (1 - p))[:, None]).T @ diff / n + L2 * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
+        got = sums(w)
+        n, grad, hess = got[0], got[1:k + 1], got[k + 1:].reshape(k, k)
+        step = np.linalg.solve(hess / n + L2 * np.eye(k), L2 * w - grad / n)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -89,11 +105,12 @@ def fit_bradley_terry(good: np.ndarray, bad: np.ndarray, seed: int = 17) -> np.n
 
 
 def fit(sample: np.ndarray, label: np.ndarray) -> dict | None:
-    """Model from the sampled rows: weights and the score that maps to ``CUT``; None without both classes."""
+    """Model of rows in memory: weights and the scores of each class; None without both classes."""
     good, bad = sample[label == 1], sample[label == 0]
     if not len(good) or not len(bad):
         return None
-    w = fit_bradley_terry(good, bad)
+    diff = pair_differences(good, bad)
+    w = newton(lambda at: loss_sums(diff, at), sample.shape[1])
     return {"w": w, "good": good @ w, "bad": bad @ w}
 
 
@@ -115,30 +132,101 @@ def held_out(id_col: Column) -> Column:
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [features(t.as_py()) for t in b.column(2)]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["id", "label", "f"])
+        rows = [features(t.as_py()) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "f"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+
+
+def _pieces(rows: DataFrame, good: int, bad: int) -> DataFrame:
+    """(piece, good, bad): feature rows of both classes that are paired, from (id, label, f) with so many of each class.
+
+    Every row of the larger class is in one piece; those of the other are in
+    as many as it takes to meet all pieces.
+    """
+    parts = {1: -(-good // PIECE), 0: -(-bad // PIECE)}
+    count = max(parts.values())
+    own = F.when(F.col("label") == 1, parts[1]).otherwise(parts[0]).cast("long")
+    dealt = rows.withColumn("own", own).withColumn("p", F.pmod(F.xxhash64("id", "f"), "own"))
+    dealt = dealt.select("id", "label", "f", F.explode(F.expr(f"sequence(p, p + (({count} - 1 - p) div own) * own, own)")).alias("piece"))
+    of = lambda k: F.flatten(F.transform(F.sort_array(F.collect_list(
+        F.when(F.col("label") == k, F.struct("id", "f")))), lambda x: x["f"]))
+    return written(dealt.groupBy("piece").agg(of(1).alias("good"), of(0).alias("bad")), "pieces")
+
+
+def _sums(pieces: DataFrame, w: np.ndarray) -> np.ndarray:
+    """``loss_sums`` over the pairs of all pieces."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                good, bad = (_matrix(b.column(c).slice(i, 1)) for c in (1, 2))
+                if len(good) and len(bad):
+                    got = loss_sums(pair_differences(good, bad, 17 + b.column(0)[i].as_py()), w)
+                    yield pa.RecordBatch.from_arrays([pa.array(range(len(got)), pa.int32()), pa.array(got)], names=["k", "v"])
+
+    # Decimals add up to the same in any order.
+    total = pieces.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum(F.col("v").cast("decimal(28,15)")).alias("v"))
+    return np.array([float(r.v) for r in total.orderBy("k").collect()])
+
+
+def exact_cut(scores: DataFrame, share: tuple[int, int]) -> float:
+    """``quantile_cut`` of (score, good, bad): distinct scores and their rows; ``share`` counts the labels 0 and 1."""
+    n = scores.agg(F.sum("good"), F.sum("bad")).head()
+    weigh = {"good": share[1] * n[1], "bad": share[0] * n[0]}  # whole numbers, so nothing is rounded
+    need = share[0] * n[0] * n[1]
+    weight = lambda r: r.good * weigh["good"] + r.bad * weigh["bad"]
+    below, part = 0, scores
+    while True:
+        low, high, count = part.agg(F.min("score"), F.max("score"), F.count("score")).head()
+        if count <= FEW:
+            break
+        bins = part.groupBy(F.floor((F.col("score") - low) / ((high - low) / BINS)).alias("bin")).agg(
+            F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.min("score").alias("low"), F.max("score").alias("high"))
+        for r in bins.orderBy("bin").collect():  # BINS + 1 rows
+            if below + weight(r) >= need:
+                break
+            below += weight(r)
+        part = scores.where(F.col("score").between(r.low, r.high))
+    for r in part.orderBy("score").collect():
+        if below + weight(r) >= need:
+            break
+        below += weight(r)
+    if below + weight(r) - weigh["bad" if r.bad else "good"] >= need:
+        return float(r.score)  # the next row has this score too
+    after = scores.where(F.col("score") > r.score).agg(F.min("score")).head()[0]
+    if after is None:  # the last row of all: between it and the one before
+        before = scores.where(F.col("score") < r.score).agg(F.max("score")).head()[0]
+        after = r.score if r.good + r.bad > 1 or before is None else before
+    return float((r.score + after) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality") -> dict | None:
-    """Fit on a bounded, hash-ordered sample of the labelled rows outside the held-out fold."""
+    """Fit on all labelled rows outside the held-out fold; an id with several texts counts with each of them."""
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
              .where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id"))).distinct())
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
-    order = [F.xxhash64("id"), F.col("id")]
-    picked = [known.where(F.col("label") == k).orderBy(*order).limit(MAX_PER_CLASS) for k in (0, 1)]
-    sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * MAX_PER_CLASS rows of two numbers
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = (texts.join(sample, "id").select("id", "label", "text").dropDuplicates(["id", "label"])
-            .mapInArrow(_feature_batches, f"id {dict(known.dtypes)['id']}, label int, f array<double>")
-            .orderBy("id", "label").collect())
-    model = fit(np.array([r.f for r in rows]), np.array([r.label for r in rows])) if rows else None
-    if model is None:
+    described = (texts.where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+                 .mapInArrow(_feature_batches, f"id {dict(texts.dtypes)['id']}, f array<double>"))
+    rows = written(described.join(known, "id").select("id", "label", "f").distinct(), "labelled")
+    found = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(found) < 2:
         return None
-    return {"w": model["w"].tolist(), "cut": quantile_cut(model, counts[0] / (counts[0] + counts[1]))}
+    pieces = _pieces(rows, found[1], found[0])
+    w = newton(lambda at: _sums(pieces, at))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_matrix(b.column(1)) @ w)], names=["label", "score"])
+
+    scores = written(rows.select("label", "f").mapInArrow(scored, "label int, score double").groupBy("score").agg(
+        F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad")), "scores")
+    return {"w": w.tolist(), "cut": exact_cut(scores, (counts[0], counts[1]))}
 
 
 def score_documents(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text",

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 from helpers import docs_frame, prose
 
+from shelfrate.llm import quality_classifier
 from shelfrate.llm.quality_classifier import CUT, FEATURES, features, fit, quantile_cut, score_documents, train
 
 
@@ -64,3 +65,36 @@ def test_quantile_and_features():
     assert model["bad"].max() < cut < model["good"].min()
     assert features(None) == features("") == [0.0] * len(FEATURES)
     assert all(0 <= v <= 1 for t in ("a", "A! # 9 |", "x " * 5000, "é" * 9000) for v in features(t))
+
+
+def test_every_labelled_row_counts(spark, monkeypatch):
+    """Pieces hold each row of both classes, and every label decides about the model."""
+    monkeypatch.setattr(quality_classifier, "PIECE", 20)
+    rows, labels = labelled(300)
+    docs = docs_frame(spark, rows)
+    used = [x for x in labels if zlib.crc32(str(x[0]).encode()) % 5]
+    frame = spark.createDataFrame([(i, q, [float(i)] * len(FEATURES)) for i, q, _ in used], "id long, label int, f array<double>")
+    n_good = sum(q for _, q, _ in used)
+    got = quality_classifier._pieces(frame, n_good, len(used) - n_good).collect()
+    assert sorted(x for r in got for x in r.good[::len(FEATURES)]) == sorted(i for i, q, _ in used if q)
+    assert {x for r in got for x in r.bad[::len(FEATURES)]} == {i for i, q, _ in used if not q}
+    assert all(r.good and r.bad for r in got) and len(got) > 5
+    model = train(docs, spark.createDataFrame(labels, LABELS))
+    assert model == train(docs.repartition(7), spark.createDataFrame(labels, LABELS).repartition(3))
+    for one in used[:3]:
+        other = [x for x in labels if x != one]
+        assert model != train(docs, spark.createDataFrame(other, LABELS))
+
+
+def test_exact_cut_is_the_quantile(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "FEW", 5)
+    monkeypatch.setattr(quality_classifier, "BINS", 3)
+    rng = random.Random(8)
+    for ties in (8, 10**6):
+        good, bad = ([rng.randrange(ties) / 7 for _ in range(n)] for n in (90, 40))
+        for share in ((40, 90), (1, 129), (129, 1), (65, 65)):
+            frame = spark.createDataFrame([(x, 1) for x in good] + [(x, 0) for x in bad], "score double, label int")
+            scores = frame.groupBy("score").agg({"label": "sum", "*": "count"}).selectExpr(
+                "score", "`sum(label)` AS good", "`count(1)` - `sum(label)` AS bad")
+            want = quantile_cut({"good": np.array(good), "bad": np.array(bad)}, share[0] / sum(share))
+            assert quality_classifier.exact_cut(scores, share) == want
