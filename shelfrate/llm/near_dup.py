@@ -20,11 +20,16 @@ node's direct predecessors in the trees, which joins most of a group. The
 second sorts the same rows again, each with the component of its node, and
 only then makes the candidates of whole regions, and only between
 components: what is connected already makes none, nor do two nodes of which
-too few of all minhash values agree. Hubs come last. So no
+too few of all minhash values agree. Hubs come third. So no
 component is lost, and a dense group of n nodes costs some candidates for
-each node instead of all that its regions hold. A pair of similarity 0.8
-whose regions are compared in full escapes all trees with probability below
-1e-10 (``MIN_AGREE``).
+each node instead of all that its regions hold. What larger regions hold
+beyond that is settled last and in full: their nodes meet in blocks of equal
+first value and two other equal values of the tree, and all pairs of a block
+that are still in different components, and of which enough values agree,
+are compared (``rest_pairs``). So the order and the hubs only save work. A
+pair of similarity 0.8 escapes all trees with probability below 1e-10
+(``MIN_AGREE``). A block of any size is cut into cells of ``TILE`` by
+``TILE`` nodes, so no task holds a whole one.
 
 Edge cases: a null, empty or wordless text has no shingles, is linked with
 nothing and forms its own component; exact copies of any number are one
@@ -38,6 +43,7 @@ another id; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -58,6 +64,8 @@ BEST = 3
 MIN_AGREE = 3
 # Nodes of a component beyond which it gets hubs; half of FULL, as the neighbours may have shown only a part of it.
 DENSE = FULL // 2
+# Nodes of a block's tile, expected.
+TILE = 512
 # Hubs of a large component, and the members they are chosen from.
 HUBS, CENTRAL = 4, 24
 _rng = np.random.default_rng(77)
@@ -264,6 +272,52 @@ def hub_pairs(known: DataFrame, roots: DataFrame, texts: DataFrame, size: int, p
     return found.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def rest_blocks(nodes: DataFrame) -> DataFrame:
+    """(block, tiles, node): nodes of regions of more than ``FULL``, with those that share ``MIN_AGREE`` values of the tree."""
+    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(
+        t.alias("tree"), F.substring("sig", t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("values")))
+    value = lambda k: F.substring("values", 4 * k + 1, 4)
+    regions = nodes.select("node", F.explode(trees).alias("x")).select("node", "x.*").withColumn(
+        "region", F.xxhash64("tree", value(0)))
+    large = regions.groupBy("region").count().where(F.col("count") > FULL).select("region")
+    shared = [F.xxhash64("region", *[x for k in some for x in (F.lit(k), value(k))])
+              for some in itertools.combinations(range(1, DEPTH), MIN_AGREE - 1)]
+    blocks = written(regions.join(large, "region", "left_semi").select("node", F.explode(F.array(*shared)).alias("block")), "blocks")
+    several = blocks.groupBy("block").count().where(F.col("count") > 1).select(
+        "block", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    return written(blocks.join(several, "block"), "rest-blocks")
+
+
+def _agreeing(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
+            score = (x == y).sum(1)
+            near = pa.array(np.flatnonzero(score >= least))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(near), b.column(1).take(near), pa.array(score, pa.int64()).take(near)],
+                                             names=["a", "b", "score"])
+    return run
+
+
+def rest_pairs(blocks: DataFrame, known: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b, score): all pairs of a block in different components of which enough values agree."""
+    sketch = F.concat(*[F.substring("sig", 4 * k + 4, 1) for k in range(TREES * DEPTH)])
+    rooted = known.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), sketch.alias("sketch"))
+    rows = blocks.join(rooted, "node")
+    mixed = rows.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
+    rows = written(rows.join(mixed, "block", "left_semi").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")), "mixed")
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    left = rows.select("block", F.col("tile").alias("i"), every.alias("j"), F.col("node").alias("a"),
+                       F.col("root").alias("ra"), F.col("sketch").alias("sa"))
+    right = rows.select("block", every.alias("i"), F.col("tile").alias("j"), F.col("node").alias("b"),
+                        F.col("root").alias("rb"), F.col("sketch").alias("sb"))
+    met = left.join(right, ["block", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
+    return met.select("a", "b", "sa", "sb").mapInArrow(
+        _agreeing(least_agreement(percent)), "a binary, b binary, score long").distinct()
+
+
 def _compared(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +351,7 @@ def _best(pairs: DataFrame) -> DataFrame:
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link_nodes(pairs: DataFrame, known: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def link_nodes(pairs: DataFrame, known: DataFrame, blocks: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) of the components; ``pairs`` are the candidates of the first round, ``known`` is (node, sig)."""
     tried = written(_best(pairs), "tried")
     links = written(confirm(tried, texts, size, percent), "links")
@@ -305,7 +359,18 @@ def link_nodes(pairs: DataFrame, known: DataFrame, texts: DataFrame, size: int,
     across, _ = candidate_pairs(rooted, True, percent)
     links = written(links.unionByName(confirm(across.join(tried, ["a", "b"], "left_anti"), texts, size, percent)), "links")
     more = written(confirm(hub_pairs(known, components(links), texts, size, percent), texts, size, percent), "hub-links")
-    return components(links.unionByName(more))
+    links = links.unionByName(more)
+    roots = components(links)
+    if blocks.isEmpty():
+        return roots
+    rest = written(rest_pairs(blocks, known, roots, percent), "rest")
+    best = written(_best(rest), "best")
+    links = written(links.unionByName(confirm(best, texts, size, percent)), "links")
+    roots = components(links)
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    apart = (rest.select("a", "b").join(best, ["a", "b"], "left_anti").join(root_of("a"), "a", "left")
+             .join(root_of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")))
+    return components(links.unionByName(confirm(apart, texts, size, percent)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -320,12 +385,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
                      "signed")
     nodes = signed.where(F.col("node").isNotNull()).select("node", "sig").dropDuplicates(["node"])
     pairs, wanted = candidate_pairs(nodes.withColumn("root", F.col("node")), False, percent)
+    blocks = rest_blocks(nodes)
+    wanted = wanted.unionByName(blocks.select("node")).distinct()
     # One document of each wanted node gives the text.
     owners = (signed.where(F.col("id").isNotNull()).groupBy("node").agg(F.min(F.struct("id", "mark")).alias("o"))
               .join(wanted, "node", "left_semi").select("node", "o.id", "o.mark"))
     texts = written(src.join(owners, ["id", "mark"]).select("node", "text").dropDuplicates(["node"]), "node-texts")
     known = signed.join(owners, ["id", "mark"], "left_semi").select("node", "sig").dropDuplicates(["node"])
-    roots = link_nodes(pairs, known, texts, size, percent)
+    roots = link_nodes(pairs, known, blocks, texts, size, percent)
     # The smallest id of each node first: any number of exact copies is one row in the steps that follow.
     smallest = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("smallest"))
     linked = smallest.join(roots, "node")

@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from helpers import corpus, docs_frame, lower, prose, words
 
+from shelfrate.llm import near_dup
 from shelfrate.llm.near_dup import near_duplicates
 
 
@@ -106,3 +107,24 @@ def test_one_of_each_keeps_every_unrelated_text(spark):
     assert texts == sorted([("1", a), ("2", b), ("None", c), ("4", ""), ("4", ""), ("5", ""), ("None", "")])
     assert all(lang == "de" for i, t, lang in got if t in (b, c))
     assert one_of_each(docs.limit(0)).columns == docs.columns and one_of_each(docs.limit(0)).count() == 0
+
+
+def test_large_regions_lose_no_link(spark, monkeypatch):
+    """Regions far larger than what is compared in order, without hubs: pairs of variants of one text, in tiles of a few nodes."""
+    monkeypatch.setattr(near_dup, "FULL", 3)
+    monkeypatch.setattr(near_dup, "REACH", 1)
+    monkeypatch.setattr(near_dup, "DENSE", 10**6)
+    monkeypatch.setattr(near_dup, "TILE", 7)
+    rng = random.Random(21)
+    base = prose(rng, 120, 10**6).split()
+    texts = []
+    for _ in range(40):  # far enough from the base and each other, with a near partner
+        w = list(base)
+        for at in rng.sample(range(120), 9):
+            w[at] = f"edit{rng.randrange(10**7)}"
+        texts += [" ".join(w), " ".join([*w[:-2], f"edit{rng.randrange(10**7)}", w[-1]])]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs_frame(spark, rows), 3, 85).collect()}
+    want = {i: w[1] for i, w in brute(rows, 3, 85).items()}
+    assert got == want and len(set(want.values())) >= 30
