@@ -28,6 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
             "low", F.struct(rank("a").alias("rank"), F.col("a").alias("node")))["node"].alias("to")), "pointers")
         step = written(one.join(one.select(F.col("node").alias("to"), F.col("to").alias("next")), "to")
                        .select("node", F.col("next").alias("to")), "contraction")
+        drop_written(one)
         maps.append(step)
         ends = (edges.join(step.withColumnRenamed("node", "a").withColumnRenamed("to", "ra"), "a")
                 .join(step.withColumnRenamed("node", "b").withColumnRenamed("to", "rb"), "b"))
@@ -43,4 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         out = out.join(hop, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         if k % 4 == 0:  # plans stay small
             out = written(out, "components")
-    return written(out, "components")
+    out = written(out, "components")
+    for step in maps:
+        drop_written(step)
+    return out

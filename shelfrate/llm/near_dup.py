@@ -23,13 +23,18 @@ components: what is connected already makes none, nor do two nodes of which
 too few of all minhash values agree. Hubs come third. So no
 component is lost, and a dense group of n nodes costs some candidates for
 each node instead of all that its regions hold. What larger regions hold
-beyond that is settled last and in full: their nodes meet in blocks of equal
-first value and two other equal values of the tree, and all pairs of a block
-that are still in different components, and of which enough values agree,
-are compared (``rest_pairs``). So the order and the hubs only save work. A
-pair of similarity 0.8 escapes all trees with probability below 1e-10
-(``MIN_AGREE``). A block of any size is cut into cells of ``TILE`` by
-``TILE`` nodes, so no task holds a whole one.
+beyond that is settled last and exactly: nodes of such regions that share
+three values of a tree with a node of another component
+(``crowded_blocks``) are joined by their rarest shingles (``rest_pairs``).
+Two sets of the similarity share one among the first of each in an order of
+all shingles, rare ones first, and so early that enough can follow in both;
+a shingle that many texts hold comes late. So variants of one text that are
+not near each other make hardly any pair, however many they are. The order
+and the hubs only save work. A pair of similarity ``percent`` escapes all
+trees with probability below 1e-10 (``MIN_AGREE``, ``shared_values``). The
+nodes of a shingle are cut into cells of ``TILE`` by ``TILE``, so no task
+holds a whole group, and a group's largest component is not paired with
+itself.
 
 Edge cases: a null, empty or wordless text has no shingles, is linked with
 nothing and forms its own component; exact copies of any number are one
@@ -52,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfrate.llm.common import written
+from shelfrate.llm.common import drop_written, written
 from shelfrate.llm.components import components
 from shelfrate.llm.tokens import hashed_words, mix, shingles, utf8
 
@@ -64,8 +69,10 @@ BEST = 3
 MIN_AGREE = 3
 # Nodes of a component beyond which it gets hubs; half of FULL, as the neighbours may have shown only a part of it.
 DENSE = FULL // 2
-# Nodes of a block's tile, expected.
+# Nodes of a cell's side, expected.
 TILE = 512
+# Places after a tree's first value that a block takes; ``shared_values`` says how many of these it needs.
+_PLACES = ((1, 2), (4, 5), (2, 3), (1, 3), (1, 4), (1, 5), (2, 4), (2, 5), (3, 4), (3, 5))
 # Hubs of a large component, and the members they are chosen from.
 HUBS, CENTRAL = 4, 24
 _rng = np.random.default_rng(77)
@@ -272,50 +279,86 @@ def hub_pairs(known: DataFrame, roots: DataFrame, texts: DataFrame, size: int, p
     return found.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def rest_blocks(nodes: DataFrame) -> DataFrame:
-    """(block, tiles, node): nodes of regions of more than ``FULL``, with those that share ``MIN_AGREE`` values of the tree."""
+def shared_values(percent: int) -> tuple[tuple[int, int], ...]:
+    """So many of ``_PLACES`` that a pair of the similarity shares, with a probability above 1 - 1e-10, a tree's first value
+    and one of these pairs of values."""
+    p, others = percent / 100, range(1, DEPTH)
+    same = [set(x) for k in range(DEPTH) for x in itertools.combinations(others, k)]
+    for n in range(1, len(_PLACES)):
+        hit = sum(p**len(x) * (1 - p)**(len(others) - len(x)) for x in same if any(x.issuperset(y) for y in _PLACES[:n]))
+        if (1 - p * hit)**TREES <= 1e-10:
+            return _PLACES[:n]
+    return _PLACES
+
+
+def crowded_blocks(nodes: DataFrame, percent: int) -> DataFrame:
+    """(block, node): nodes of regions of more than ``FULL``, with those that share ``MIN_AGREE`` values of the tree."""
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(
         t.alias("tree"), F.substring("sig", t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("values")))
     value = lambda k: F.substring("values", 4 * k + 1, 4)
     regions = nodes.select("node", F.explode(trees).alias("x")).select("node", "x.*").withColumn(
         "region", F.xxhash64("tree", value(0)))
     large = regions.groupBy("region").count().where(F.col("count") > FULL).select("region")
-    shared = [F.xxhash64("region", *[x for k in some for x in (F.lit(k), value(k))])
-              for some in itertools.combinations(range(1, DEPTH), MIN_AGREE - 1)]
+    shared = [F.xxhash64("region", *[x for k in some for x in (F.lit(k), value(k))]) for some in shared_values(percent)]
     blocks = written(regions.join(large, "region", "left_semi").select("node", F.explode(F.array(*shared)).alias("block")), "blocks")
-    several = blocks.groupBy("block").count().where(F.col("count") > 1).select(
-        "block", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    return written(blocks.join(several, "block"), "rest-blocks")
+    several = blocks.groupBy("block").count().where(F.col("count") > 1).select("block")
+    out = written(blocks.join(several, "block", "left_semi").select("block", "node"), "crowded-blocks")
+    drop_written(blocks)
+    return out
 
 
-def _agreeing(least: int):
+def _shingled(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-            score = (x == y).sum(1)
-            near = pa.array(np.flatnonzero(score >= least))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(near), b.column(1).take(near), pa.array(score, pa.int64()).take(near)],
-                                             names=["a", "b", "score"])
+            sets = _sets(b.column(2).to_pylist(), size)
+            at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            tokens = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(tokens))],
+                                             names=["node", "root", "tokens"])
     return run
 
 
-def rest_pairs(blocks: DataFrame, known: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b, score): all pairs of a block in different components of which enough values agree."""
-    sketch = F.concat(*[F.substring("sig", 4 * k + 4, 1) for k in range(TREES * DEPTH)])
-    rooted = known.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), sketch.alias("sketch"))
-    rows = blocks.join(rooted, "node")
-    mixed = rows.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
-    rows = written(rows.join(mixed, "block", "left_semi").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")), "mixed")
-    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = rows.select("block", F.col("tile").alias("i"), every.alias("j"), F.col("node").alias("a"),
-                       F.col("root").alias("ra"), F.col("sketch").alias("sa"))
-    right = rows.select("block", every.alias("i"), F.col("tile").alias("j"), F.col("node").alias("b"),
-                        F.col("root").alias("rb"), F.col("sketch").alias("sb"))
-    met = left.join(right, ["block", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-    return met.select("a", "b", "sa", "sb").mapInArrow(
-        _agreeing(least_agreement(percent)), "a binary, b binary, score long").distinct()
+def rest_pairs(blocks: DataFrame, texts: DataFrame, roots: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): all pairs in different components, among the nodes that share a block with another component, whose full
+    shingle sets can reach the similarity.
+
+    All shingles have one order, rare ones first. ``rest`` counts a node's
+    shingles from one of them on: the first that two sets share leaves room
+    for no more than the smaller ``rest`` in their intersection. A node's
+    shingles with too few behind them, and those that no other component
+    has, join nothing.
+    """
+    rooted = written(blocks.join(roots, "node", "left").select("block", "node", F.coalesce("root", "node").alias("root")), "rooted-blocks")
+    several = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
+    nodes = rooted.join(several, "block", "left_semi").select("node", "root").distinct()
+    sets = written(texts.join(nodes, "node").select("node", "root", "text").mapInArrow(
+        _shingled(size), "node binary, root binary, tokens array<long>"), "shingles")
+    held = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > 1)
+    order = Window.partitionBy("node").orderBy(F.col("count").desc(), F.col("token").desc())
+    first = written(sets.select("node", "root", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(held, "token")
+                    .withColumn("rest", F.row_number().over(order)).where(100 * F.col("rest") >= percent * F.col("n"))
+                    .select("token", "node", "root", "n", "rest"), "rare-shingles")
+    tiles = lambda rows: F.ceil(rows / TILE).cast("int")
+    groups = (first.groupBy("token", "root").count().groupBy("token")
+              .agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("rows"))
+              .where(F.col("most.count") < F.col("rows"))
+              .select("token", F.col("most.root").alias("main"), tiles(F.col("rows") - F.col("most.count")).alias("high"),
+                      tiles(F.col("rows")).alias("wide")))
+    rows = written(first.join(groups, "token"), "mixed")
+    tile = lambda side: F.pmod(F.xxhash64("node"), side).cast("int")
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
+    left = rows.where(F.col("root") != F.col("main")).select(
+        "token", tile("high").alias("i"), every("wide").alias("j"), F.col("node").alias("a"), F.col("root").alias("ra"),
+        F.col("n").alias("na"), F.col("rest").alias("sa"))
+    right = rows.select("token", every("high").alias("i"), tile("wide").alias("j"), F.col("node").alias("b"),
+                        F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rest").alias("sb"), "main")
+    once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
+    room = (100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb"))
+    met = left.join(right, ["token", "i", "j"]).where((F.col("ra") != F.col("rb")) & once & room)
+    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    for used in (rooted, sets, first, rows):
+        drop_written(used)
+    return pairs
 
 
 def _compared(size: int):
@@ -351,26 +394,28 @@ def _best(pairs: DataFrame) -> DataFrame:
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def linked_further(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of the components ``roots`` after the links (a, b) have joined some of them or further nodes."""
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    ends = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    merged = components(ends)
+    moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select(
+        "node", F.coalesce("to", "root").alias("root"))
+    return written(moved.unionByName(merged).distinct(), "roots")
+
+
 def link_nodes(pairs: DataFrame, known: DataFrame, blocks: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) of the components; ``pairs`` are the candidates of the first round, ``known`` is (node, sig)."""
     tried = written(_best(pairs), "tried")
-    links = written(confirm(tried, texts, size, percent), "links")
-    rooted = known.join(components(links), "node", "left").select("node", "sig", F.coalesce("root", "node").alias("root"))
+    roots = components(confirm(tried, texts, size, percent))
+    rooted = known.join(roots, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("root"))
     across, _ = candidate_pairs(rooted, True, percent)
-    links = written(links.unionByName(confirm(across.join(tried, ["a", "b"], "left_anti"), texts, size, percent)), "links")
-    more = written(confirm(hub_pairs(known, components(links), texts, size, percent), texts, size, percent), "hub-links")
-    links = links.unionByName(more)
-    roots = components(links)
+    roots = linked_further(roots, confirm(across.join(tried, ["a", "b"], "left_anti"), texts, size, percent))
+    roots = linked_further(roots, confirm(hub_pairs(known, roots, texts, size, percent), texts, size, percent))
     if blocks.isEmpty():
         return roots
-    rest = written(rest_pairs(blocks, known, roots, percent), "rest")
-    best = written(_best(rest), "best")
-    links = written(links.unionByName(confirm(best, texts, size, percent)), "links")
-    roots = components(links)
-    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    apart = (rest.select("a", "b").join(best, ["a", "b"], "left_anti").join(root_of("a"), "a", "left")
-             .join(root_of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")))
-    return components(links.unionByName(confirm(apart, texts, size, percent)))
+    return linked_further(roots, confirm(rest_pairs(blocks, texts, roots, size, percent), texts, size, percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -385,7 +430,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
                      "signed")
     nodes = signed.where(F.col("node").isNotNull()).select("node", "sig").dropDuplicates(["node"])
     pairs, wanted = candidate_pairs(nodes.withColumn("root", F.col("node")), False, percent)
-    blocks = rest_blocks(nodes)
+    blocks = crowded_blocks(nodes, percent)
     wanted = wanted.unionByName(blocks.select("node")).distinct()
     # One document of each wanted node gives the text.
     owners = (signed.where(F.col("id").isNotNull()).groupBy("node").agg(F.min(F.struct("id", "mark")).alias("o"))

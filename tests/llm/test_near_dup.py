@@ -128,3 +128,41 @@ def test_large_regions_lose_no_link(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_duplicates(docs_frame(spark, rows), 3, 85).collect()}
     want = {i: w[1] for i, w in brute(rows, 3, 85).items()}
     assert got == want and len(set(want.values())) >= 30
+
+
+def test_variants_of_one_text_make_few_pairs(spark, monkeypatch):
+    """Variants of one text that are hardly near each other: all regions are large, the pairs grow as the variants do."""
+    for name, value in (("FULL", 3), ("REACH", 1), ("DENSE", 10**6)):
+        monkeypatch.setattr(near_dup, name, value)
+    compared, compare = [], near_dup.compare
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(near_dup, "compare", counted)
+    rng = random.Random(5)
+    base = prose(rng, 150, 10**6).split()
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for at in rng.sample(range(150), 5):
+            w[at] = f"edit{rng.randrange(10**7)}"
+        rows.append((i, " ".join(w)))
+    rows += [(90, " ".join([*rows[40][1].split()[:-1], "other"])), (91, " ".join(["other", *rows[3][1].split()[1:]]))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs_frame(spark, rows), 3, 85).collect()}
+    want = {i: w[1] for i, w in brute(rows, 3, 85).items()}
+    assert got == want and len(set(want.values())) >= 80
+    assert sum(compared) < 20 * len(rows)
+
+
+@pytest.mark.parametrize("percent", [80, 85, 50])
+def test_blocks_hold_every_near_pair(percent):
+    """The chosen places miss a pair with the stated probability; a lower similarity takes all places."""
+    p, places = percent / 100, near_dup.shared_values(percent)
+    hit = 0.0
+    for mask in range(2**5):
+        same = {k for k in range(1, 6) if mask >> (k - 1) & 1}
+        if any(same.issuperset(x) for x in places):
+            hit += p**len(same) * (1 - p)**(5 - len(same))
+    assert (1 - p * hit)**16 <= 1e-10 or len(places) == 10
