@@ -318,8 +318,21 @@ def _shingled(size: int):
     return run
 
 
+def beside_others(rooted: DataFrame) -> DataFrame:
+    """(node, root): all nodes of the components that share a block with another one, of rows (block, node, root, linked).
+
+    Every block holds several nodes, so a node that is linked with none is beside others in all of its blocks. The
+    other components (``linked``) are looked up by block, once for all members that they have in it.
+    """
+    several = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
+    linked = rooted.where("linked")
+    beside = linked.select("block", "root").distinct().join(several, "block", "left_semi").select("root").distinct()
+    members = linked.select("node", "root").distinct().join(beside, "root", "left_semi")
+    return rooted.where("not linked").select("node", "root").distinct().unionByName(members)
+
+
 def rest_pairs(blocks: DataFrame, texts: DataFrame, roots: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): all pairs in different components, among the nodes that share a block with another component, whose full
+    """(a, b): all pairs in different components, among the components that share a block with another, whose full
     shingle sets can reach the similarity.
 
     All shingles have one order, rare ones first. ``rest`` counts a node's
@@ -328,9 +341,9 @@ def rest_pairs(blocks: DataFrame, texts: DataFrame, roots: DataFrame, size: int,
     shingles with too few behind them, and those that no other component
     has, join nothing.
     """
-    rooted = written(blocks.join(roots, "node", "left").select("block", "node", F.coalesce("root", "node").alias("root")), "rooted-blocks")
-    several = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
-    nodes = rooted.join(several, "block", "left_semi").select("node", "root").distinct()
+    rooted = written(blocks.join(roots, "node", "left").select(
+        "block", "node", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked")), "rooted-blocks")
+    nodes = beside_others(rooted)
     sets = written(texts.join(nodes, "node").select("node", "root", "text").mapInArrow(
         _shingled(size), "node binary, root binary, tokens array<long>"), "shingles")
     held = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > 1)

@@ -166,3 +166,30 @@ def test_blocks_hold_every_near_pair(percent):
         if any(same.issuperset(x) for x in places):
             hit += p**len(same) * (1 - p)**(5 - len(same))
     assert (1 - p * hit)**16 <= 1e-10 or len(places) == 10
+
+
+def _joined(plan):
+    """Rows that the joins of an executed plan made."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return _joined(plan.executedPlan())
+    if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        return _joined(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+    return own + sum(_joined(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_nodes_without_links_are_not_looked_up_by_block(spark):
+    """Nodes that are linked with none cost the lookup of blocks no rows, a component one for each of its blocks."""
+    rng = random.Random(8)
+    rows = [(k, f"n{i}", f"n{i}", False) for i in range(300) for k in rng.sample(range(20), 12)]  # one group, not linked
+    rows += [(k, f"m{i}", "m0", True) for i in range(40) for k in (100 + i % 3, 103)]  # one component, alone in its blocks
+    rows += [(300, f"c{i}", "c0", True) for i in range(40)] + [(300, "d0", "d0", False)]  # one component beside a node
+    rows += [(200, "p0", "p0", True), (200, "p1", "p0", True), (200, "q0", "q0", True), (201, "q0", "q0", True), (201, "q1", "q0", True)]
+    roots = defaultdict(set)
+    for k, _, root, _ in rows:
+        roots[k].add(root)
+    out = near_dup.beside_others(spark.createDataFrame(rows, "block long, node string, root string, linked boolean"))
+    got = sorted((r.node, r.root) for r in out.collect())
+    beside = {root for k, _, root, _ in rows if len(roots[k]) > 1}
+    assert got == sorted({(node, root) for _, node, root, _ in rows if root in beside})
+    assert len(got) == 345 and _joined(out._jdf.queryExecution().executedPlan()) <= 3 + 44  # blocks, then members
